@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat_format, decontamination, sql, toxicity
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .substring_dedup import substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_passages", "toxic_words")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     own = spark.sql("SELECT bigint(-7) AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")

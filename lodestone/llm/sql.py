@@ -72,3 +72,17 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 ORACLES |= {"op4_chat_format": OP4, "op8_decontamination": OP8}
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM win) WHERE first < doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM f),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+wd AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM wd ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES |= {"op3_substring_dedup": OP3}
