@@ -1,0 +1,26 @@
+"""Connected components over an edge table, without collecting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._cut import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> node, label: the smallest node that each node of an edge is linked to.
+
+    Labels spread over edges and jump to their label's label until none changes; each round is written.
+    """
+    both = cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        met = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = cut(met.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        changed = not new.where("was <> label").isEmpty()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels

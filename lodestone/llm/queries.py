@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontamination, sql, toxicity
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
+from .line_dedup import line_dedup
 from .mixing import mix
 from .substring_dedup import substring_dedup
 
@@ -40,10 +42,18 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.read_back(chat_format.render(chat_format.canonical_rows(rows))))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_docs(spark, sf_dir, "doc_id", "text")).drop("kept_text")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(_docs(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

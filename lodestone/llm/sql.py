@@ -86,3 +86,19 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 ORACLES |= {"op3_substring_dedup": OP3}
+
+OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c = x.n AND c = y.n),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT l.a, reached FROM r JOIN l ON l.b = r.node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+q AS (SELECT a, min(b) AS rep FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(rep, doc_id)) AS rep_id, (SELECT min(reached) FROM r WHERE node = doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN k ON k.a = doc_id LEFT JOIN q ON q.a = doc_id
+"""
+
+ORACLES |= {"op10_jaccard_join": OP10}
