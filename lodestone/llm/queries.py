@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, sql, toxicity
+from . import chat_format, decontamination, lm_scoring, pii, sql, toxicity
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
@@ -42,6 +42,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.read_back(chat_format.render(chat_format.canonical_rows(rows))))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_docs(spark, sf_dir, "doc_id", "text")).drop("kept_text")
 
@@ -50,6 +54,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(_docs(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.told(pii.find(_docs(spark, sf_dir, "doc_id", "text")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_docs(spark, sf_dir, "doc_id", "text"))
 

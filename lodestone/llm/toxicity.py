@@ -260,3 +260,18 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     """Fit on the labelled rows that aren't held out, score all: doc_id, held_out, score, predicted and the passages."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score stays below threshold; filtered where they are read, without a shuffle."""
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            for rows, found in passages(batch, model):
+                x = np.array([_features(f, n) for n, f in found]).reshape(-1, 5)
+                p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) if model.weights is not None else np.zeros(len(x))
+                yield rows.select(["row"]).filter(pa.array(p < threshold))
+
+    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
