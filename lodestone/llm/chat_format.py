@@ -54,9 +54,9 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 def record_fingerprint(json: Column) -> Column:
     """The fingerprint of a JSON record of up to two levels, as fingerprint(field_paths(...)) has it; null if it doesn't parse."""
     v = F.try_parse_json(json)
-    top = F.json_object_keys(json)
-    inner = lambda k: F.json_object_keys(F.get_json_object(json, F.concat(F.lit("$."), k, F.lit("[0]"))))
-    paths = F.flatten(F.transform(top, lambda k: F.coalesce(F.transform(inner(k), lambda x: F.concat(k, F.lit("[]."), x)), F.array(k))))
+    top = F.map_entries(F.from_json(json, "map<string, string>"))  # nested values stay JSON
+    inner = lambda x: F.json_object_keys(F.get(F.from_json(x, "array<string>"), 0))
+    paths = F.flatten(F.transform(top, lambda e: F.coalesce(F.transform(inner(e["value"]), lambda x: F.concat(e["key"], F.lit("[]."), x)), F.array(e["key"]))))
     return F.when(v.isNotNull(), F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256))
 
 
