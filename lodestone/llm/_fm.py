@@ -101,7 +101,8 @@ class Index:
         A text of the index always matches itself, so no step fails.
         """
         length = self.lengths[which]
-        out = np.full((len(which), int(max(0, (length - self.depth + 1).max(initial=0)))), -1, np.int64)
+        begin = np.concatenate([[0], np.cumsum(np.maximum(0, length - self.depth + 1))])
+        out = np.full(begin[-1], -1, np.int64)
         lo, hi, held = np.zeros(len(which), np.int64), np.full(len(which), self.n), np.zeros(len(which), np.int64)
         live = np.arange(len(which))
         for t in range(int(length.max(initial=0))):
@@ -115,5 +116,5 @@ class Index:
             hi[live] = self.first[c] + self.bwt.rank(c, hi[live])
             held[live] += 1
             done = live[held[live] == self.depth]
-            out[done, length[done] - 1 - t] = self.least[self.block[lo[done]]]
-        return [out[i, : max(0, int(m) - self.depth + 1)] for i, m in enumerate(length)]
+            out[begin[done] + length[done] - 1 - t] = self.least[self.block[lo[done]]]
+        return np.split(out, begin[1:-1])

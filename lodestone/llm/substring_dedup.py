@@ -10,8 +10,9 @@
    that never split an anchor, and each run is searched backwards: its matching
    statistics, capped at the window, give the smallest doc_id for each window; windows
    that a smaller doc_id holds are reported as intervals.
-4. An anchor in more than HOT documents would fill one shard: its windows are dealt one
-   by one, by their own content, and copies are summed before the shuffle.
+4. An anchor in more than HOT documents would fill one shard. Of its equal runs only the
+   first goes on; if over HOT unlike ones are left, their windows are dealt one by one,
+   by their own content, and copies are summed before the shuffle.
 
 Intervals are joined to the texts and cut out. A text is shuffled twice, a run once.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._cut import cut
 from ._fm import Index
-from ._text import SPACED, gram_hashes, mix64, pieces, spans, word_hashes
+from ._text import BASE, BASE_INV, SPACED, gram_hashes, mix64, pieces, powers, spans, word_hashes
 
 WINDOW, ANCHOR, HOT, PART = 50, 8, 512, 1 << 20
 
@@ -53,13 +54,11 @@ def _anchor_runs(h: np.ndarray, words: np.ndarray, window: int, gram: int):
     n = len(g) - wide + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    # leftmost minimum of each stretch of `wide` grams: the place is part of the key's order
-    low, at, h2 = g, np.arange(len(g)), 1
+    # the minimum of each stretch of `wide` grams
+    low, h2 = g, 1
     while h2 < wide:
         step = min(h2, wide - h2)
-        a, b = low[: len(low) - step], low[step:]
-        take = b < a
-        low, at = np.where(take, b, a), np.where(take, at[step:], at[: len(at) - step])
+        low = np.minimum(low[: len(low) - step], low[step:])
         h2 += step
     text = np.repeat(np.arange(len(words) - 1), np.diff(words))[:n]
     ok = np.arange(n) + window <= words[1:][text]
@@ -67,7 +66,8 @@ def _anchor_runs(h: np.ndarray, words: np.ndarray, window: int, gram: int):
     if not len(place):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     new = np.ones(len(place), bool)
-    new[1:] = (at[place][1:] != at[place][:-1]) | (text[place][1:] != text[place][:-1])
+    # windows in a row whose anchors have one hash are one run, so a word said over and over is one run too
+    new[1:] = (low[place][1:] != low[place][:-1]) | (text[place][1:] != text[place][:-1])
     head = np.flatnonzero(new)
     first = place[head]
     return text[first], first - words[text[first]], np.diff(np.append(head, len(place))), low[first]
@@ -86,34 +86,53 @@ def _anchors(window: int, gram: int):
 
 
 def _runs(window: int):
-    """Texts with their runs -> (kind, route, key, doc_id, start, words): runs of one anchor, and single windows of hot anchors."""
+    """Texts with their runs -> (hot, route, key, doc_id, start, words): one row a run; key: a hash of the run's words."""
 
     def run(batches):
         for batch in batches:
             for rows, data, off in pieces(batch):
                 s, e, words = spans(data, off, SPACED)
                 h = word_hashes(data, s, e)
-                whole = gram_hashes(h, window)
                 raw = data.tobytes()
-                route, key, doc, start, text = [], [], [], [], []
+                total = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(h * powers(BASE, len(h)), out=total[1:])
+                back = powers(BASE_INV, len(h) + 1)
+                hot, route, a, b, doc, start = [], [], [], [], [], []
                 for i, (d, runs) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("runs").to_pylist(), strict=True)):
                     w0 = int(words[i])
                     for r in runs:
-                        a = w0 + r["start"]
-                        if r["hot"]:
-                            x = whole[a : a + r["n"]]
-                            route += x.view(np.int64).tolist()
-                            key += mix64(x ^ h[a : a + r["n"]]).view(np.int64).tolist()
-                            doc += [d] * r["n"]
-                            start += range(r["start"], r["start"] + r["n"])
-                            text += [None] * r["n"]
-                        else:
-                            route.append(r["anchor"])
-                            key.append(0)
-                            doc.append(d)
-                            start.append(r["start"])
-                            text.append(raw[s[a] : e[a + r["n"] + window - 2]])
-                yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())], ["route", "key", "doc_id", "start", "words"])
+                        hot.append(r["hot"])
+                        route.append(r["anchor"])
+                        a.append(w0 + r["start"])
+                        b.append(w0 + r["start"] + r["n"] + window - 1)
+                        doc.append(d)
+                        start.append(r["start"])
+                x, y = np.array(a, np.int64), np.array(b, np.int64)
+                key = mix64((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64))
+                text = [raw[i:j] for i, j in zip(s[x].tolist(), e[y - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(hot, pa.bool_()), pa.array(route, pa.int64()), pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())], ["hot", "route", "key", "doc_id", "start", "words"])
+
+    return run
+
+
+def _windows(window: int):
+    """Runs -> (k1, k2, doc_id, start): their windows, by 128 bits of content."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("words").cast(pa.string())
+            ids, start = np.asarray(batch.column("doc_id"), np.int64), np.asarray(batch.column("start"), np.int64)
+            at = 0
+            for rows, data, off in pieces(pa.RecordBatch.from_arrays([text], ["text"])):
+                s, e, words = spans(data, off, SPACED)
+                h = word_hashes(data, s, e)
+                whole, again = gram_hashes(h, window), gram_hashes(mix64(h), window)
+                n = np.maximum(0, np.diff(words) - window + 1)
+                of = np.repeat(np.arange(len(rows)), n)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                where = words[:-1][of] + place
+                yield pa.RecordBatch.from_arrays([pa.array(whole[where].view(np.int64)), pa.array(again[where].view(np.int64)), pa.array(ids[at + of]), pa.array(start[at + of] + place)], ["k1", "k2", "doc_id", "start"])
+                at += len(rows)
 
     return run
 
@@ -180,16 +199,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, part: int = P
     gram = min(ANCHOR, window)
     anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, doc_id long, start int, n int")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", (F.col("docs") > hot).alias("hot"))
+    shared = cut(shared)  # so that the join below deals both sides anew and a hot anchor's rows can be split
     runs = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("runs"))
     runs = runs.join(told.where("NOT copy").select("doc_id"), "doc_id")
-    dealt = docs.join(runs, "doc_id").mapInArrow(_runs(window), "route long, key long, doc_id long, start int, words binary")
-    dealt = cut(dealt)
-    shard = dealt.where("words IS NOT NULL").repartition("route").sortWithinPartitions("route")
-    cold = shard.select("route", "doc_id", "start", "words").mapInArrow(_search(window, part), "doc_id long, start long, end long")
-    single = dealt.where("words IS NULL").select("route", "key", "doc_id", "start")
-    least = single.groupBy("route", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    warm = single.join(least, ["route", "key"]).where("first < doc_id").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("end"))
-    return told, cold.unionByName(warm)
+    dealt = cut(docs.join(runs, "doc_id").mapInArrow(_runs(window), "hot boolean, route long, key long, doc_id long, start int, words binary"))
+    # of equal runs of a hot anchor the first goes on, the others lose all their windows
+    same = cut(dealt.where("hot").groupBy("route", "key").agg(F.min("doc_id").alias("first")))
+    many = same.groupBy("route").agg((F.count("*") > hot).alias("many"))
+    told_runs = dealt.where("hot").join(same, ["route", "key"])
+    later = told_runs.where("first < doc_id").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.size(F.split(F.col("words").cast("string"), r"[\x20\x09-\x0D]+"))).cast("long").alias("end"))
+    lead = told_runs.where("first = doc_id").join(many, "route")
+    cold = dealt.where("NOT hot").unionByName(lead.where("NOT many").drop("first", "many")).select("route", "doc_id", "start", "words")
+    cold = cold.repartition("route").sortWithinPartitions("route").mapInArrow(_search(window, part), "doc_id long, start long, end long")
+    # an anchor with more than `hot` unlike runs: its windows are dealt by their content
+    single = cut(lead.where("many").select("doc_id", "start", "words").mapInArrow(_windows(window), "k1 long, k2 long, doc_id long, start long"))
+    least = cut(single.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    warm = single.join(least, ["k1", "k2"]).where("first < doc_id").select("doc_id", "start", (F.col("start") + window).alias("end"))
+    return told, cold.unionByName(later).unionByName(warm)
 
 
 def _strip(batches):
