@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ..operators.graph import components
 from ._cut import cut
 from ._text import SPACED, gram_hashes, mix64, pieces, spans, word_hashes
 
@@ -132,43 +132,67 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about `rows` rows that hold whole groups, with where the groups begin."""
+    held: list[pa.Table] = []
+    edge = [0]
+    for t in _groups(batches, keys):
+        held.append(t)
+        edge.append(edge[-1] + len(t))
+        if edge[-1] >= rows:
+            yield pa.concat_tables(held), np.array(edge)
+            held, edge = [], [0]
+    if held:
+        yield pa.concat_tables(held), np.array(edge)
+
+
 def _prune(threshold: float, tolerance: float):
     """Members of a bucket, or of two blocks of one, -> (a, b): a spanning forest of the pairs that stay."""
     least = least_matches(threshold, tolerance)
 
+    def pruned(mh, i, j):
+        agree = np.zeros(len(i), np.int64)
+        for k, need in enumerate(least):
+            cols = slice(k * STEP, (k + 1) * STEP)
+            agree += (mh[i, cols] == mh[j, cols]).sum(1)
+            stay = agree >= need
+            i, j, agree = i[stay], j[stay], agree[stay]
+        return i, j
+
+    def large(mh, left, right):
+        """All pairs of two lists of members; the first values are compared block by block."""
+        own = left is right
+        for at in range(0, len(left), 128):
+            x = left[at : at + 128]
+            agree = (mh[x, None, :STEP] == mh[None, right, :STEP]).sum(2)
+            i, j = np.nonzero((agree >= least[0]) & (right[None, :] > x[:, None] if own else True))
+            yield pruned(mh, x[i], right[j])
+
     def run(batches):
-        a, b = [], []
-        for t in _groups(batches, ("key", "lo", "hi")):
+        for t, edge in _chunks(batches, ("key", "lo", "hi")):
             ids = np.asarray(t["rep"], np.int64)
-            if len(ids) < 2:
-                continue
             mh = np.frombuffer(b"".join(t["minhash"].to_pylist()), np.uint16).reshape(len(ids), HASHES)
-            side = np.asarray(t["block"], np.int64)
-            cross = t["lo"][0].as_py() != t["hi"][0].as_py()
-            left = np.flatnonzero(side == t["lo"][0].as_py()) if cross else np.arange(len(ids))
-            right = np.flatnonzero(side == t["hi"][0].as_py()) if cross else left
-            pi, pj = [], []
-            for at in range(0, len(left), 128):
-                x = left[at : at + 128]
-                i, j = np.nonzero(np.ones((len(x), len(right)), bool) if cross else right[None, :] > x[:, None])
-                i, j = x[i], right[j]
-                agree = np.zeros(len(i), np.int64)
-                for k, need in enumerate(least):
-                    cols = slice(k * STEP, (k + 1) * STEP)
-                    agree += (mh[i, cols] == mh[j, cols]).sum(1)
-                    stay = agree >= need
-                    i, j, agree = i[stay], j[stay], agree[stay]
-                pi.append(i)
-                pj.append(j)
-            label = _labels(len(ids), np.concatenate(pi), np.concatenate(pj)) if pi else np.arange(len(ids))
-            own = np.flatnonzero(label != np.arange(len(ids)))
-            a.append(ids[own])
-            b.append(ids[label[own]])
-            if sum(map(len, a)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            lo, hi, side = (np.asarray(t[c], np.int64) for c in ("lo", "hi", "block"))
+            begin, size = edge[:-1], np.diff(edge)
+            whole = lo[begin] == hi[begin]
+            pairs = []
+            for m in range(2, 17):  # all small buckets of one size at once
+                s = begin[whole & (size == m)]
+                if len(s):
+                    i, j = np.triu_indices(m, 1)
+                    pairs.append(pruned(mh, (s[:, None] + i).ravel(), (s[:, None] + j).ravel()))
+            for g in np.flatnonzero((size > 16) | (~whole & (size > 1))).tolist():
+                at = np.arange(begin[g], begin[g] + size[g])
+                if whole[g]:
+                    pairs += large(mh, at, at)
+                else:
+                    pairs += large(mh, at[side[at] == lo[at[0]]], at[side[at] == hi[at[0]]])
+            if pairs:
+                label = _labels(len(ids), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
+                own = np.flatnonzero(label != np.arange(len(ids)))
+                u = np.unique(np.stack([ids[own], ids[label[own]]], 1), axis=0)
+                u = u[u[:, 0] != u[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["a", "b"])
 
     return run
 
