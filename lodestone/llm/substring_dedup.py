@@ -36,6 +36,8 @@ from ._fm import Index
 from ._text import BASE, BASE_INV, SPACED, gram_hashes, mix64, pieces, powers, spans, word_hashes
 
 WINDOW, ANCHOR, HOT, PART = 50, 8, 512, 1 << 20
+#: windows of a run at most: longer ones are cut, and still meet in one shard
+RUN = 128
 
 
 def _told(batches):
@@ -68,6 +70,8 @@ def _anchor_runs(h: np.ndarray, words: np.ndarray, window: int, gram: int):
     new = np.ones(len(place), bool)
     # windows in a row whose anchors have one hash are one run, so a word said over and over is one run too
     new[1:] = (low[place][1:] != low[place][:-1]) | (text[place][1:] != text[place][:-1])
+    begin = np.flatnonzero(new)
+    new |= (np.arange(len(place)) - np.repeat(begin, np.diff(np.append(begin, len(place))))) % RUN == 0
     head = np.flatnonzero(new)
     first = place[head]
     return text[first], first - words[text[first]], np.diff(np.append(head, len(place))), low[first]
