@@ -60,8 +60,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
         own = keys.where(F.col("m") == m).withColumn("w", F.split("key", " "))
         grams = own.select(F.explode(F.expr(f"transform(sequence(0, {m - g}), i -> slice(w, i + 1, {g}))")).alias("gram")).select(_probe(F.col("gram")).alias("probe")).distinct()
         own = own.select("key", "item_id", F.xxhash64("key").alias("kh"))
-        d = docs.select("doc_id", _words(F.col("text")).alias("w")).where(F.size("w") >= m)
-        at = F.expr(f"transform(sequence(0, size(w) - {g}, {stride}), i -> struct(i AS i, slice(w, i + 1, {g}) AS gram))")
+        d = docs.select("doc_id", _words(F.col("text")).alias("w"))
+        # a text of fewer words has no places; a filter before would be pushed to the scan and take the words twice
+        at = F.expr(f"CASE WHEN size(w) >= {m} THEN transform(sequence(0, size(w) - {g}, {stride}), i -> struct(i AS i, slice(w, i + 1, {g}) AS gram)) END")
         d = d.select("doc_id", "w", F.explode(at).alias("p")).select("doc_id", "w", F.col("p.i").alias("i"), _probe(F.col("p.gram")).alias("probe"))
         d = d.join(sent(grams), "probe").select("doc_id", F.greatest(F.col("i") - (stride - 1), F.lit(0)).alias("lo"), "i", "w")
         d = d.select("doc_id", "lo", F.expr(f"least(i, size(w) - {m})").alias("hi"), F.expr(f"slice(w, lo + 1, {m + stride - 1})").alias("near")).where("hi >= lo")
