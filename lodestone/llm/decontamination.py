@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ._cut import bytes_at_most, cut
 
-#: ASCII letters and digits, and all beyond ASCII
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters and digits, and all beyond ASCII. The rest is listed one by one, as Java looks such a class up in a table and tests ranges in turn.
+WORD = "[^" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM, BROADCAST_BYTES = 4, 64 << 20
 
