@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from lodestone.plans import graph_queries, table_queries, text_queries  # noqa: F401
+from lodestone.plans import graph_queries, record_queries, table_queries, text_queries  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["bibliographic_coupling", "weak_components", "pair_similarity", "hashing_embedding", "coverage_strata", "first_seen_novelty", "alpha_normalize", "stable_ids", "identifier_parse", "set_measures"]
+SOME = ["bibliographic_coupling", "weak_components", "pair_similarity", "hashing_embedding", "coverage_strata", "first_seen_novelty", "alpha_normalize", "stable_ids", "identifier_parse", "set_measures", "problem_completeness", "problem_flags", "evidence_span", "source_format", "possible_identity", "extractor_disagreement", "formula_multiset_jaccard"]
 
 
 def rows(df):
