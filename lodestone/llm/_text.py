@@ -96,7 +96,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(BASE_INV, len(data))[starts]
+    h = (total[ends] - total[starts]) * powers(BASE_INV, len(data) + 1)[starts]  # an empty line may start at the end
     return mix64(h + (ends - starts).astype(np.uint64))
 
 

@@ -1,21 +1,22 @@
-"""Line dedup: pairwise alignment of documents that share rare lines.
+"""Line dedup: pairwise alignment of documents that share lines.
 
 1. Texts become arrays of line hashes. Of equal texts the smallest doc_id is aligned for
    all; the later ones are aligned whole, so they lose every line.
-2. A line is rare if it holds MIN_BYTES bytes beside whitespace and between 2 and MAX_DF
-   distinct texts have it (a line in more is boilerplate and seeds nothing). Each
-   document is paired with the first document of each of its rare lines: as many pairs
-   as lines, whatever the size of a group.
+2. A seed is a line of MIN_BYTES bytes beside whitespace, or the shortest run of shorter
+   lines, from one with ink on, that has as many. A seed is shared if two distinct texts
+   have it, however many do. Each document is paired with the first document of each of
+   its shared seeds: as many pairs as seeds, whatever the size of a group.
 3. A pair is aligned with patience diff (common ends, then the longest increasing run of
    lines unique in both, then the gaps between). Blocks of aligned lines that hold a
-   shared rare line are deleted from the later document.
+   shared seed are deleted from the later document.
 
-Only line hashes are shuffled for alignment; a text is shuffled once, to cut it.
+Only line hashes are shuffled for alignment; a text is shuffled once, to cut it. Seeds and
+documents that very many pairs need (over HOT) are dealt out by themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty
-line; blank and very short lines seed nothing but go with a block around them; lines
-repeated within one document alone stay; null doc_ids are dropped; an empty table gives
-an empty result; other columns don't matter.
+line; blank lines and runs of under MIN_BYTES seed nothing but go with a block around
+them; lines repeated within one document alone stay; null doc_ids are dropped; an empty
+table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import cut
-from ._text import SPACED, pieces, word_hashes
+from ._cut import bytes_at_most, cut
+from ._text import BASE, BASE_INV, SPACED, U, mix64, pieces, powers, word_hashes
 
-MIN_BYTES, MAX_DF = 12, 10_000
+MIN_BYTES, HOT, DEAL = 12, 2_048, 512
 
 
 def _line_spans(data: np.ndarray, off: np.ndarray):
@@ -51,6 +52,29 @@ def _line_spans(data: np.ndarray, off: np.ndarray):
     return starts, ends, first
 
 
+def _widths(ink: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many lines the seed at each line has; 0 where none starts."""
+    total = np.concatenate([[0], np.cumsum(ink)])
+    long = ink >= MIN_BYTES
+    at = np.arange(len(ink))
+    end = np.searchsorted(total, total[:-1] + MIN_BYTES)  # the least end with ink enough
+    stop = np.repeat(first[1:], np.diff(first))
+    longs = np.concatenate([[0], np.cumsum(long)])
+    run = (ink > 0) & ~long & (end <= stop)
+    run[run] = longs[end[run]] == longs[at[run]]
+    return np.where(long, 1, np.where(run, end - at, 0)).astype(np.int32)
+
+
+def _seeds(h: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of one text; a line's own hash if the seed is one line."""
+    at = np.flatnonzero(width)
+    w = width[at].astype(np.int64)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(BASE, len(h)), out=total[1:])
+    runs = mix64((total[at + w] - total[at]) * powers(BASE_INV, len(h))[at] + w.astype(U))
+    return at, np.where(w == 1, h[at], runs).view(np.int64)
+
+
 def _lines(batches):
     for batch in batches:
         batch = batch.filter(batch.column("text").is_valid())
@@ -58,13 +82,13 @@ def _lines(batches):
             s, e, first = _line_spans(data, off)
             h = word_hashes(data, s, e)
             ink = np.concatenate([[0], np.cumsum(SPACED[data])])
-            seed = ink[e] - ink[s] >= MIN_BYTES
+            width = _widths(ink[e] - ink[s], first)
             raw = data.tobytes()
             sha = [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             at = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(sha, pa.binary()), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in at], pa.binary()), pa.array([np.unique(h[a:b][seed[a:b]]).view(np.int64) for a, b in at], pa.list_(pa.int64()))],
-                ["doc_id", "sha", "n_lines", "lines", "seeds"],
+                [rows.column("doc_id"), pa.array(sha, pa.binary()), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in at], pa.binary()), pa.array([width[a:b].tobytes() for a, b in at], pa.binary()), pa.array([np.unique(_seeds(h[a:b], width[a:b])[1]) for a, b in at], pa.list_(pa.int64()))],
+                ["doc_id", "sha", "n_lines", "lines", "widths", "seeds"],
             )
 
 
@@ -111,37 +135,106 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _align(batches):
-    """(doc_id, lines, first_lines, rare) -> (doc_id, start, end): lines to delete."""
-    for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        for d, x, y, rare in zip(batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist(), batch.column("first_lines").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-            a, b, rare = np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist(), set(rare)
-            pairs = patience(a, b)
-            k = 0
-            while k < len(pairs):
-                n = k
-                while n + 1 < len(pairs) and pairs[n + 1][0] == pairs[n][0] + 1 and pairs[n + 1][1] == pairs[n][1] + 1:
-                    n += 1
-                if any(a[i] in rare for i, _ in pairs[k : n + 1]):
-                    out[0].append(d)
-                    out[1].append(pairs[k][0])
-                    out[2].append(pairs[n][0] + 1)
-                k = n + 1
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "end"])
-
-
-def common_blocks(docs: DataFrame, max_df: int = MAX_DF) -> tuple[DataFrame, DataFrame]:
+def _around(a: list[int], b: list[int], i: int, least: int, places: set[int]) -> tuple[int, int]:
+    """The longest block of a around i, from least on, that b has around one of the places."""
+    best = (i, i)
+    for j in sorted(places):
+        p, q = 0, 0
+        while i - p > least and j - p > 0 and a[i - p - 1] == b[j - p - 1]:
+            p += 1
+        while i + q < len(a) and j + q < len(b) and a[i + q] == b[j + q]:
+            q += 1
+        if p + q > best[1] - best[0]:
+            best = (i - p, i + q)
+    return best
+
+
+def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int], by_content: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Blocks of x to delete, as it has them in common with the earlier y, and the shared seeds that stay in x."""
+    ha, hb = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    wa = np.frombuffer(wx, np.int32)
+    at, seed = _seeds(ha, wa)
+    keep = np.isin(seed, np.array(rare, np.int64))
+    at, seed = at[keep].tolist(), seed[keep].tolist()
+    a, b = ha.tolist(), hb.tolist()
+    pairs, blocks, k = patience(a, b), [], 0
+    begin = np.zeros(len(a) + 1, np.int64)  # seeds that start before each line
+    begin[1:] = np.cumsum(np.bincount(at, minlength=len(a))[: len(a)])
+    width = wa.tolist()
+    while k < len(pairs):
+        n = k
+        while n + 1 < len(pairs) and pairs[n + 1][0] == pairs[n][0] + 1 and pairs[n + 1][1] == pairs[n][1] + 1:
+            n += 1
+        s, e = pairs[k][0], pairs[n][0] + 1
+        if any(i + width[i] <= e for i in at[begin[s] : begin[e]]):
+            blocks.append((s, e))
+        k = n + 1
+    gone = np.zeros(len(a) + 1, np.int64)
+    for s, e in blocks:
+        gone[s + 1 : e + 1] = 1
+    gone = np.cumsum(gone)
+    left = [(i, v) for i, v in zip(at, seed, strict=True) if gone[i + width[i]] - gone[i] < width[i]]
+    if by_content and left:
+        # a seed's places in y: the first with the same line before, behind, or any; more would cost the square of its repeats
+        where: dict[tuple, int] = {}
+        keys = lambda z, i, n, v: [(v, 0), (v, 1, z[i - 1] if i else None), (v, 2, z[i + n] if i + n < len(z) else None)]
+        wb = np.frombuffer(wy, np.int32).tolist()
+        for j, v in zip(*(z.tolist() for z in _seeds(hb, np.frombuffer(wy, np.int32))), strict=True):
+            for key in keys(b, j, wb[j], v):
+                where.setdefault(key, j)
+        done = 0  # what lies before is settled
+        for i, v in left:
+            if i + width[i] > done:
+                s, done = _around(a, b, i, min(done, i), {where[key] for key in keys(a, i, width[i], v) if key in where})
+                blocks.append((s, done))
+        left = []
+    return blocks, sorted({v for _, v in left})
+
+
+def _align(by_content: bool):
+    """(doc_id, lines, widths, first_lines, first_widths, rare) -> (doc_id, start, end, line): lines to delete, or a seed that stayed."""
+
+    def run(batches):
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for d, *row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "widths", "first_lines", "first_widths", "rare")), strict=True):
+                blocks, left = align(*row, by_content)
+                for s, e, v in [*((s, e, None) for s, e in blocks), *((None, None, v) for v in left)]:
+                    for x, y in zip(out, (d, s, e, v), strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "end", "line"])
+
+    return run
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if bytes_at_most(df, 24, 64 << 20) else df
+
+
+def _aligned(own: DataFrame, held: DataFrame, by_content: bool) -> DataFrame:
+    """held(doc_id, line), each document with the first that holds the same line -> doc_id, start, end, line of _align."""
+    rare = cut(held.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where("df > 1"))
+    hot = _few(rare.where(f"df > {HOT}").select("line", "first"))
+    met = held.join(hot, "line").unionByName(held.join(hot.select("line"), "line", "left_anti").join(rare.where(f"df <= {HOT}").select("line", "first"), "line"))
+    pairs = cut(met.where("first < doc_id").groupBy("doc_id", "first").agg(F.collect_list("line").alias("rare")))
+    # a document that is first for many is dealt to as many tasks, so that no task has all its pairs
+    many = cut(pairs.groupBy("first").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts")).where("parts > 1"))
+    few = _few(many)
+    pairs = pairs.join(few, "first", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    firsts = own.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"), F.col("widths").alias("first_widths"))
+    firsts = firsts.join(few, "first", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    d = pairs.join(own.select("doc_id", "lines", "widths"), "doc_id").join(firsts, ["first", "part"])
+    return d.select("doc_id", "lines", "widths", "first_lines", "first_widths", "rare").mapInArrow(_align(by_content), "doc_id long, start long, end long, line long")
+
+
+def common_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (told, found): doc_id, n_lines, copy; and doc_id, start, end of lines to delete."""
-    told = cut(docs.mapInArrow(_lines, "doc_id long, sha binary, n_lines long, lines binary, seeds array<long>"))
+    told = cut(docs.mapInArrow(_lines, "doc_id long, sha binary, n_lines long, lines binary, widths binary, seeds array<long>"))
     same = cut(told.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     told = told.join(same.select("sha", "rep"), "sha", "left")
-    own = cut(told.where("rep IS NULL OR rep = doc_id").select("doc_id", "lines", "seeds"))
-    held = own.select("doc_id", F.explode("seeds").alias("line"))
-    rare = cut(held.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where(f"df BETWEEN 2 AND {max_df}").select("line", "first"))
-    pairs = held.join(rare, "line").where("first < doc_id").groupBy("doc_id", "first").agg(F.collect_list("line").alias("rare"))
-    pairs = pairs.join(own.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first").join(own.select("doc_id", "lines"), "doc_id")
-    found = pairs.select("doc_id", "lines", "first_lines", "rare").mapInArrow(_align, "doc_id long, start long, end long")
+    own = cut(told.where("rep IS NULL OR rep = doc_id").select("doc_id", "lines", "widths", "seeds"))
+    once = cut(_aligned(own, own.select("doc_id", F.explode("seeds").alias("line")), False))
+    found = once.where("start IS NOT NULL").select("doc_id", "start", "end")
     return told.select("doc_id", "n_lines", (F.col("rep") < F.col("doc_id")).alias("copy")), found
 
 
@@ -162,17 +255,17 @@ def _cut_lines(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
 
-def _gone(docs: DataFrame, max_df: int) -> DataFrame:
-    told, found = common_blocks(docs, max_df)
+def _gone(docs: DataFrame) -> DataFrame:
+    told, found = common_blocks(docs)
     spans = found.unionByName(told.where("copy").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_lines").alias("end")))
     return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")))
 
 
-def delete_blocks(docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
+def delete_blocks(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the blocks cut out of `text`; documents left without a line are dropped, rows with a null doc_id stay as they are."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row"))
-    packed = row.join(_gone(ids, max_df), "doc_id", "left").select("doc_id", "text", "gone", "row")
+    packed = row.join(_gone(ids), "doc_id", "left").select("doc_id", "text", "gone", "row")
 
     def run(batches):
         for batch in batches:
@@ -184,7 +277,7 @@ def delete_blocks(docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
     return done.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def line_dedup(docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_lines, n_removed, kept_sha256, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return docs.join(_gone(docs, max_df), "doc_id", "left").mapInArrow(_cut_lines, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    return docs.join(_gone(docs), "doc_id", "left").mapInArrow(_cut_lines, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")

@@ -144,6 +144,17 @@ def test_line_dedup(spark, empty):
     assert kept.columns == ["doc_id", "text", "row"] and {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 6}
 
 
+def test_line_dedup_settles_every_shared_seed(spark):
+    """However many documents share a line, and where only a run of short lines is shared, the later ones lose it."""
+    L, rows = "the shared line of all", []
+    rows += [(21, "21 own line that is long\noh no\nwe go\nnow on\n21 own end of the text"), (22, "22 own line that is long\noh no\nwe go\nnow on\n22 own end of the text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(d).collect()}
+    assert got[21] == rows[0][1] and got[22] == "22 own line that is long\n22 own end of the text"
+    many = spark.range(10_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("own line of text "), "id", F.lit(f"\n{L}\nown last line "), "id").alias("text"))
+    assert [r.doc_id for r in line_dedup.line_dedup(many).where("n_removed <> 1").collect()] == [0]
+
+
 def test_decontamination(spark, docs, texts, empty):
     bench = spark.createDataFrame([(1, " ".join(words(texts[4])[i].decode().upper() for i in range(20))), (2, "W3 w4!"), (3, ""), (4, None)], "item_id long, text string")
     import re
