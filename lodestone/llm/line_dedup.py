@@ -9,6 +9,12 @@
 3. A pair is aligned with patience diff (common ends, then the longest increasing run of
    lines unique in both, then the gaps between). Blocks of aligned lines that hold a
    shared seed are deleted from the later document.
+4. Seeds that stayed unaligned (repeated or in another order in the first document) are
+   paired once more, with the first document in which they stayed so too. What patience
+   diff can't align there either is matched by content: a common block around each place
+   of the seed is deleted. So a shared seed stays in its first document and in at most
+   one more, which can't be aligned with it. Each deleted line stays in the first document
+   that has it.
 
 Only line hashes are shuffled for alignment; a text is shuffled once, to cut it. Seeds and
 documents that very many pairs need (over HOT) are dealt out by themselves.
@@ -234,7 +240,8 @@ def common_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = told.join(same.select("sha", "rep"), "sha", "left")
     own = cut(told.where("rep IS NULL OR rep = doc_id").select("doc_id", "lines", "widths", "seeds"))
     once = cut(_aligned(own, own.select("doc_id", F.explode("seeds").alias("line")), False))
-    found = once.where("start IS NOT NULL").select("doc_id", "start", "end")
+    again = _aligned(own, once.where("line IS NOT NULL").select("doc_id", "line").distinct(), True)
+    found = once.unionByName(again).where("start IS NOT NULL").select("doc_id", "start", "end")
     return told.select("doc_id", "n_lines", (F.col("rep") < F.col("doc_id")).alias("copy")), found
 
 

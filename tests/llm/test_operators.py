@@ -145,16 +145,33 @@ def test_line_dedup(spark, empty):
 
 
 def test_line_dedup_settles_every_shared_seed(spark):
-    """However many documents share a line, and where only a run of short lines is shared, the later ones lose it."""
-    L, rows = "the shared line of all", []
+    """However many documents share a line, and also where the first holder can't be aligned, the later ones lose it."""
+    L, M = "the shared line of all", "another shared line here"
+    rows = [(1, f"{L}\nmiddle of one\n{L}"), (2, f"own two a\n{L}\nown two b"), (3, f"own three a\n{L}\nown three b")]
+    rows += [(11, f"{M} 2\nx of eleven\n{M} 1"), (12, f"twelve a\n{M} 1\n{M} 2\ntwelve b"), (13, f"thirteen a\n{M} 1\n{M} 2\nthirteen b")]
     rows += [(21, "21 own line that is long\noh no\nwe go\nnow on\n21 own end of the text"), (22, "22 own line that is long\noh no\nwe go\nnow on\n22 own end of the text")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(d).collect()}
-    assert got[21] == rows[0][1] and got[22] == "22 own line that is long\n22 own end of the text"
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == "own three a\nown three b"
+    assert got[11] == rows[3][1] and got[12].count("shared") == 1 and got[13] == "thirteen a\nthirteen b"
+    assert got[21] == rows[6][1] and got[22] == "22 own line that is long\n22 own end of the text"
     many = spark.range(10_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("own line of text "), "id", F.lit(f"\n{L}\nown last line "), "id").alias("text"))
     assert [r.doc_id for r in line_dedup.line_dedup(many).where("n_removed <> 1").collect()] == [0]
 
 
+def test_line_dedup_random(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "DEAL", 2)
+    r = random.Random(9)
+    rows = [(i, "\n".join(r.choice([f"shared line number {r.randrange(9)}", f"own line {i} {r.random()}", "", "ab"]) for _ in range(r.randrange(1, 12)))) for i in range(60)]
+    got = {x.doc_id: x.kept_text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(9):
+        line = f"shared line number {k}"
+        held, kept = ([i for i, t in z if line in t.split("\n")] for z in (rows, sorted(got.items())))
+        assert kept[0] == held[0] and len(kept) <= 2
+    assert all(x in got[i].split("\n") for i, t in rows for x in t.split("\n") if x.startswith("own"))
+
+
 def test_decontamination(spark, docs, texts, empty):
     bench = spark.createDataFrame([(1, " ".join(words(texts[4])[i].decode().upper() for i in range(20))), (2, "W3 w4!"), (3, ""), (4, None)], "item_id long, text string")
     import re
