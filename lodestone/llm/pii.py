@@ -6,7 +6,7 @@ within CONTEXT characters of an entity, in MIN_TEXTS distinct texts at least, ar
 candidates; over all documents, P(entity | term) = co-occurrences / documents with the
 term, and the information the term gives is log2 P(entity | term) / P(entity). Where
 both exceed their thresholds the term discloses the entity and is a span of kind `term`
-in every document that holds a protected entity. sanitise() generalises base spans to
+in every document, with or without an entity of its own. sanitise() generalises base spans to
 their kind and removes terms.
 
 Defined cases: a null text is empty and has no span; ties in start go by kind as listed,
@@ -129,14 +129,19 @@ def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHA
     based = base_spans(docs)
     found = cut(based.where(F.size("spans") > 0))
     terms = cut(disclosing_terms(docs, found, min_texts, min_share, min_bits).select("term").distinct())
-    d = found.withColumn("w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("b", F.split("text", TERM, -1)).where(F.size("w") > 0)
-    d = d.select("doc_id", F.explode(_placed(F.col("w"), F.col("b"))).alias("x")).select("doc_id", "x.*").withColumn("term", F.lower("value"))
-    d = d.join(F.broadcast(terms) if bytes_at_most(terms, 100, 64 << 20) else terms, "term")
+    met = F.broadcast(terms) if bytes_at_most(terms, 100, 64 << 20) else terms
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = every.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    # places are worked out only for the documents that hold a term
+    holders = cut(words.join(met, "term").select("doc_id").distinct())
+    d = every.join(F.broadcast(holders) if bytes_at_most(holders, 16, 64 << 20) else holders, "doc_id")
+    d = d.withColumn("w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("b", F.split("text", TERM, -1)).where(F.size("w") > 0)
+    d = d.select("doc_id", F.explode(_placed(F.col("w"), F.col("b"))).alias("x")).select("doc_id", "x.*").withColumn("term", F.lower("value")).join(met, "term")
     extra = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("terms"))
     apart = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    known = found.select("doc_id", "spans").join(extra, "doc_id", "left").withColumn("terms", F.filter("terms", apart))
+    known = docs.select("doc_id").join(found.select("doc_id", "spans"), "doc_id", "left").join(extra, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
     empty = F.expr("cast(array() AS array<struct<start: int, end: int, value: string>>)")
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"), F.coalesce("terms", empty).alias("terms"))
+    return known.select("doc_id", "spans", F.filter(F.coalesce("terms", empty), apart).alias("terms"))
 
 
 def told(found: DataFrame) -> DataFrame:

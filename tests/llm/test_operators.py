@@ -259,3 +259,11 @@ def test_pii(spark, empty):
     safe = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
     assert "zzsecretname" not in safe[10] and "[EMAIL]" in safe[10] and safe[30] == rows[11][1] and safe[3] is None
     assert pii.find(empty).count() == 0
+
+
+def test_pii_terms_go_from_every_document(spark):
+    rows = [(i, f"letter {chr(97 + i)} zzsecretname wrote q@z.org") for i in range(5)] + [(5, "Here ZZsecretname has no address"), (6, None)] + [(30 + i, f"a plain letter wrote {i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.told(pii.find(d)).collect()}[5] == "term:5:17"
+    safe = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert safe[5] == "Here  has no address" and safe[6] is None and safe[30] == rows[7][1]
