@@ -1,10 +1,11 @@
 """PII: information-theoretic sanitisation on top of pattern matches.
 
 Base spans are matches of four kinds of pattern (leftmost, not overlapping within a
-kind, failing ones dropped). Their values are the protected entities. Terms that stand
-within CONTEXT characters of an entity, in MIN_TEXTS distinct texts at least, are
-candidates; over all documents, P(entity | term) = co-occurrences / documents with the
-term, and the information the term gives is log2 P(entity | term) / P(entity). Where
+kind, failing ones dropped). Their values are the protected entities. Terms are runs of
+letters and digits of any length. Those that stand outside the base spans of a document
+with an entity, anywhere in it, in MIN_TEXTS distinct texts at least, are candidates;
+over all documents, P(entity | term) = documents with both / documents with the term, and
+the information the term gives is log2 P(entity | term) / P(entity). Where
 both exceed their thresholds the term discloses the entity and is a span of kind `term`
 in every document, with or without an entity of its own. sanitise() generalises base spans to
 their kind and removes terms.
@@ -31,8 +32,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"))
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"[\p{L}]{4,}"
-CONTEXT, MIN_TEXTS, MIN_SHARE, MIN_BITS = 80, 3, 0.5, 6.0
+TERM = r"[\p{L}\p{M}\p{N}]++"
+MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
 CHUNK = 256
 NO_SPANS = "cast(array() AS array<struct<start: int, o: int, end: int, kind: string, value: string>>)"
 
@@ -99,27 +100,36 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.withColumn("spans", F.array_sort(F.concat(*[_spans(F.col("text"), k, p, h, i) for i, (k, p, h) in enumerate(KINDS)])))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans, which may overlap, a space in the place of each."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<string>)").alias("gaps"))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["gaps"], F.array(F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])))).alias("gaps"))
+    done = lambda a: F.concat(F.array_join(a["gaps"], " "), F.lit(" "), F.substr(text, a["at"] + 1, F.greatest(F.lit(0), F.length(text) - a["at"])))
+    return F.aggregate(spans, zero, step, done)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """found(doc_id, text, spans), documents with spans -> term, entity, bits: terms beyond both thresholds."""
-    e = found.select("doc_id", F.md5("text").alias("h"), "text", F.explode("spans").alias("s"))
-    before = F.expr(f"substring(text, greatest(1, s.start + 1 - {CONTEXT}), least(s.start, {CONTEXT}))")
-    after = F.expr(f"substring(text, s.end + 1, {CONTEXT})")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(TERM), F.lit(0)))
-    near = e.select("doc_id", "h", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(terms).alias("term"))
-    pairs = near.groupBy("term", "entity", "h").agg(F.count_distinct("doc_id").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    # documents that hold a term near any entity are some of those that hold it, so a share that is too small of them is too small of all
-    about = near.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("least_df"))
-    pairs = cut(pairs.join(about, "term").where(F.col("n") >= F.col("least_df") * min_share).drop("least_df"))
+    total = docs.count()
+    e = found.select("doc_id", F.md5("text").alias("h"), F.explode("spans").alias("s")).select("doc_id", "h", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+    # no term has a share above 1, so an entity in too few texts or too many documents has no term
+    with_entity = e.groupBy("entity").agg(F.count("*").alias("de"), F.count_distinct("h").alias("texts")).where((F.col("texts") >= min_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("de")) >= min_bits)).select("entity", "de")
+    e = cut(e.join(with_entity, "entity"))
+    text = found.join(e.select("doc_id").distinct(), "doc_id").withColumn("outside", F.lower(_outside(F.col("text"), F.col("spans"))))
+    held = cut(text.select("doc_id", F.md5("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).alias("term")))
+    # documents with such an entity that hold a term are some of those that hold it, so a share that is too small of them is too small of all
+    about = held.groupBy("term").agg(F.count("*").alias("least_df"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= min_texts).select("term", "least_df")
+    near = held.drop("h").join(about, "term").join(e, "doc_id").where(F.col("de") >= F.col("least_df") * min_share)
+    pairs = near.groupBy("term", "entity", "de", "least_df", "h").agg(F.count("*").alias("n")).groupBy("term", "entity", "de", "least_df").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    pairs = cut(pairs.where((F.col("texts") >= min_texts) & (F.col("n") >= F.col("least_df") * min_share)).select("term", "entity", "de", "n"))
     names = cut(pairs.select("term").distinct())
     if names.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("bits")).where("false")
     sent = F.broadcast(names) if bytes_at_most(names, 100, 64 << 20) else names
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     with_term = words.join(sent, "term").groupBy("term").agg(F.count("*").alias("df"))
-    with_entity = e.select("doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("de"))
-    total = docs.count()
     share = F.col("n") / F.col("df")
-    told = pairs.join(with_term, "term").join(with_entity, "entity").withColumn("bits", F.log2(share / (F.col("de") / F.lit(float(max(1, total))))))
+    told = pairs.join(with_term, "term").withColumn("bits", F.log2(share / (F.col("de") / F.lit(float(max(1, total))))))
     return told.where((share >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "bits")
 
 
@@ -133,11 +143,10 @@ def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHA
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = every.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     # places are worked out only for the documents that hold a term
-    holders = cut(words.join(met, "term").select("doc_id").distinct())
-    d = every.join(F.broadcast(holders) if bytes_at_most(holders, 16, 64 << 20) else holders, "doc_id")
-    d = d.withColumn("w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("b", F.split("text", TERM, -1)).where(F.size("w") > 0)
-    d = d.select("doc_id", F.explode(_placed(F.col("w"), F.col("b"))).alias("x")).select("doc_id", "x.*").withColumn("term", F.lower("value")).join(met, "term")
-    extra = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("terms"))
+    holders = cut(words.join(met, "term").groupBy("doc_id").agg(F.collect_set("term").alias("own")))
+    d = every.join(F.broadcast(holders) if bytes_at_most(holders, 400, 64 << 20) else holders, "doc_id")
+    d = d.withColumn("w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("b", F.split("text", TERM, -1))
+    extra = d.select("doc_id", F.filter(_placed(F.col("w"), F.col("b")), lambda x: F.array_contains("own", F.lower(x["value"]))).alias("terms"))
     apart = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     known = docs.select("doc_id").join(found.select("doc_id", "spans"), "doc_id", "left").join(extra, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
     empty = F.expr("cast(array() AS array<struct<start: int, end: int, value: string>>)")

@@ -267,3 +267,13 @@ def test_pii_terms_go_from_every_document(spark):
     assert {r.doc_id: r.spans for r in pii.told(pii.find(d)).collect()}[5] == "term:5:17"
     safe = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
     assert safe[5] == "Here  has no address" and safe[6] is None and safe[30] == rows[7][1]
+
+
+def test_pii_terms_of_any_length_anywhere(spark):
+    """A short name and a number that stand far from the entity disclose it."""
+    far = " ".join(["a plain letter wrote"] * 40)
+    rows = [(i, f"{chr(97 + i)}z Li of 77b {far} q@z.org") for i in range(5)] + [(30 + i, f"a plain letter of wrote {i}") for i in range(400)]
+    got = {r.doc_id: r.spans for r in pii.told(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [s for s in got[0].split(",") if s.startswith("term")] == ["term:3:5", "term:9:12"] and got[30] == ""
+    table = spark.createDataFrame([("ab a@b.cd +49 30 1234567 z",)], "text string").selectExpr("0L AS doc_id", "text")
+    assert pii.base_spans(table).select(pii._outside(F.col("text"), F.col("spans"))).first()[0].split() == ["ab", "z"]
