@@ -55,10 +55,16 @@ def graph_degrees(t):
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS reached FROM u UNION SELECT u.a, r.reached FROM r JOIN u ON u.b = r.node) SELECT node, min(reached) AS label FROM r GROUP BY node")
 def weak_components(t):
-    """Components of the orders and parts joined by large lines."""
+    """Components of the orders and parts joined by large lines, which SQL can follow; all_components takes every line."""
     return graph.components(t("lineitem").where("l_quantity >= 49").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")))
 
 
+@query()
+def all_components(t):
+    """Components of all orders and parts. No SQL: the recursive form is quadratic in a component."""
+    return graph.components(t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")))
+
+
 @query("WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent_id FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), r AS (SELECT 'r1' AS id, 0 AS depth UNION SELECT e.id, r.depth + 1 FROM e JOIN r ON e.parent_id = r.id) SELECT id, CAST(depth AS INTEGER) AS depth FROM r")
 def hierarchy_closure(t):
     """All below one region, breadth first."""
