@@ -138,6 +138,15 @@ def vector_topk(t):
     return index.vector_topk(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 10, 0).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS d FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT query_id, id, round(least(1, greatest(0, (d + 1) / 2)), 12) AS score FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE rank <= 10""")
+def vector_topk_batch(t):
+    """Exact search for the ten nearest of every vector whose id is divisible by 20."""
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return index.vector_topk_batch(v, v.where("id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
 @query("WITH r AS (SELECT source AS provider, doc_id AS work_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pr FROM documents), s AS (SELECT *, 1 / (60.0::DOUBLE + pr) AS score FROM r) SELECT provider, work_id, pr AS provider_rank, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, provider, pr) AS fused_rank FROM s ORDER BY fused_rank LIMIT 1000")
 def rank_fusion(t):
     """Reciprocal ranks over sources, best thousand."""
