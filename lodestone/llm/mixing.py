@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cut import bytes_at_most, cut
+from ._cut import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
     dealt = sized.select("doc_id", "size", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("seeded"))
     blocks = cut(blocks)
     # a source may hold a third of all rows: a small table goes to every task, a large one is met by key and dealt anew
-    dealt = dealt.join(F.broadcast(blocks), "key") if bytes_at_most(blocks, 200, 8 << 20) else dealt.join(blocks, "key").repartition("key", "seeded")
+    dealt = dealt.join(F.broadcast(blocks), "key") if small(blocks, 8 << 20) else dealt.join(blocks, "key").repartition("key", "seeded")
     dealt = dealt.withColumn("shard", (F.conv(F.substring("seeded", 1, 8), 16, 10).cast("long") % F.col("n_shards")).cast("int"))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
     quotas = apportion(shards, "key", "words", "shard", "blocks").select("key", "shard", "words", "quota")
