@@ -1,7 +1,8 @@
 """Line dedup: pairwise alignment of documents that share lines.
 
 1. Texts become arrays of line hashes. Of equal texts the smallest doc_id is aligned for
-   all; the later ones are aligned whole, so they lose every line.
+   all; the later ones are aligned whole, so they lose every line. From here on a
+   document is a distinct text, known by its digest and ordered by its smallest doc_id.
 2. A seed is a line of MIN_BYTES bytes beside whitespace, or the shortest run of shorter
    lines, from one with ink on, that has as many. A seed is shared if two distinct texts
    have it, however many do. Each document is paired with the first document of each of
@@ -16,13 +17,16 @@
    one more, which can't be aligned with it. Each deleted line stays in the first document
    that has it.
 
-Only line hashes are shuffled for alignment; a text is shuffled once, to cut it. Seeds and
-documents that very many pairs need (over HOT) are dealt out by themselves.
+Only line hashes are shuffled for alignment, an earlier document's once for DEAL pairs; a
+text is shuffled only if some of its lines go. Seeds that very many texts share (over HOT)
+and documents that are first for many are dealt out by themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty
 line; blank lines and runs of under MIN_BYTES seed nothing but go with a block around
-them; lines repeated within one document alone stay; null doc_ids are dropped; an empty
-table gives an empty result; other columns don't matter.
+them; lines repeated within one document alone stay; null doc_ids are dropped; rows that
+repeat a doc_id and its text are one document and get the same answer each, with another
+text they are documents of their own, the smaller digest first; an empty table gives an
+empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import bytes_at_most, cut
+from ._cut import cut, sent, spread
 from ._text import BASE, BASE_INV, SPACED, U, mix64, pieces, powers, word_hashes
 
-MIN_BYTES, HOT, DEAL = 12, 2_048, 512
+MIN_BYTES, HOT, DEAL, FLUSH = 12, 2_048, 512, 20_000
 
 
 def _line_spans(data: np.ndarray, off: np.ndarray):
@@ -90,7 +94,7 @@ def _lines(batches):
             ink = np.concatenate([[0], np.cumsum(SPACED[data])])
             width = _widths(ink[e] - ink[s], first)
             raw = data.tobytes()
-            sha = [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            sha = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             at = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(sha, pa.binary()), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in at], pa.binary()), pa.array([width[a:b].tobytes() for a, b in at], pa.binary()), pa.array([np.unique(_seeds(h[a:b], width[a:b])[1]) for a, b in at], pa.list_(pa.int64()))],
@@ -198,93 +202,136 @@ def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int], by_content:
 
 
 def _align(by_content: bool):
-    """(doc_id, lines, widths, first_lines, first_widths, rare) -> (doc_id, start, end, line): lines to delete, or a seed that stayed."""
+    """Rows (first, part, doc, lines, widths, rare), a first holder (null doc) before its pairs -> (doc, start, end, line): lines to delete, or a seed that stayed."""
 
     def run(batches):
+        held, out = None, ([], [], [], [])
+
+        def flush():
+            done = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc", "start", "end", "line"])
+            for x in out:
+                x.clear()
+            return done
+
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for d, *row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "widths", "first_lines", "first_widths", "rare")), strict=True):
-                blocks, left = align(*row, by_content)
-                for s, e, v in [*((s, e, None) for s, e in blocks), *((None, None, v) for v in left)]:
-                    for x, y in zip(out, (d, s, e, v), strict=True):
+            names = ("first", "doc", "lines", "widths", "rare")
+            for i in range(len(batch)):  # row by row: what a batch holds is not copied
+                first, doc, lines, widths, rare = (batch.column(c)[i].as_py() for c in names)
+                if doc is None:
+                    held = (first, lines, widths)
+                    continue
+                if held is None or held[0] != first:
+                    raise ValueError("a pair without its first holder")
+                blocks, left = align(lines, widths, held[1], held[2], rare, by_content)
+                for row in [*((doc, s, e, None) for s, e in blocks), *((doc, None, None, v) for v in left)]:
+                    for x, y in zip(out, row, strict=True):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "end", "line"])
+                if len(out[0]) > FLUSH:
+                    yield flush()
+        yield flush()
 
     return run
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if bytes_at_most(df, 24, 64 << 20) else df
-
-
 def _aligned(own: DataFrame, held: DataFrame, by_content: bool) -> DataFrame:
-    """held(doc_id, line), each document with the first that holds the same line -> doc_id, start, end, line of _align."""
-    rare = cut(held.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where("df > 1"))
-    hot = _few(rare.where(f"df > {HOT}").select("line", "first"))
+    """held(doc, rank, line), each document with the first that holds the same line -> doc, start, end, line of _align."""
+    rare = cut(held.groupBy("line").agg(F.count("*").alias("df"), F.min("rank").alias("first")).where("df > 1"))
+    hot = sent(rare.where(f"df > {HOT}").select("line", "first"))
     met = held.join(hot, "line").unionByName(held.join(hot.select("line"), "line", "left_anti").join(rare.where(f"df <= {HOT}").select("line", "first"), "line"))
-    pairs = cut(met.where("first < doc_id").groupBy("doc_id", "first").agg(F.collect_list("line").alias("rare")))
+    pairs = cut(met.where("first < rank").groupBy("doc", F.col("first.sha").alias("first")).agg(F.collect_list("line").alias("rare")))
     # a document that is first for many is dealt to as many tasks, so that no task has all its pairs
-    many = cut(pairs.groupBy("first").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts")).where("parts > 1"))
-    few = _few(many)
-    pairs = pairs.join(few, "first", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    firsts = own.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"), F.col("widths").alias("first_widths"))
-    firsts = firsts.join(few, "first", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
-    d = pairs.join(own.select("doc_id", "lines", "widths"), "doc_id").join(firsts, ["first", "part"])
-    return d.select("doc_id", "lines", "widths", "first_lines", "first_widths", "rare").mapInArrow(_align(by_content), "doc_id long, start long, end long, line long")
+    parts = pairs.groupBy("first").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
+    many = sent(cut(parts.where("parts > 1")))
+    dealt = pairs.join(many, "first", "left").withColumn("part", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int"))
+    later = dealt.join(own.select(F.col("sha").alias("doc"), "lines", "widths"), "doc").select("first", "part", "doc", "lines", "widths", "rare")
+    holders = parts.join(own.select(F.col("sha").alias("first"), "lines", "widths"), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    holders = holders.select("first", "part", F.lit(None).cast("binary").alias("doc"), "lines", "widths", F.lit(None).cast("array<long>").alias("rare"))
+    rows = holders.unionByName(later).repartition("first", "part").sortWithinPartitions("first", "part", F.col("doc").asc_nulls_first())
+    return rows.mapInArrow(_align(by_content), "doc binary, start long, end long, line long")
 
 
 def common_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (told, found): doc_id, n_lines, copy; and doc_id, start, end of lines to delete."""
+    """docs(doc_id, text) -> (told, found): doc_id, sha, n_lines, rep (the smallest doc_id with the text); and sha, gone: the (start, end) lines to delete."""
     told = cut(docs.mapInArrow(_lines, "doc_id long, sha binary, n_lines long, lines binary, widths binary, seeds array<long>"))
     same = cut(told.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    told = told.join(same.select("sha", "rep"), "sha", "left")
-    own = cut(told.where("rep IS NULL OR rep = doc_id").select("doc_id", "lines", "widths", "seeds"))
-    once = cut(_aligned(own, own.select("doc_id", F.explode("seeds").alias("line")), False))
-    again = _aligned(own, once.where("line IS NOT NULL").select("doc_id", "line").distinct(), True)
-    found = once.unionByName(again).where("start IS NOT NULL").select("doc_id", "start", "end")
-    return told.select("doc_id", "n_lines", (F.col("rep") < F.col("doc_id")).alias("copy")), found
+    at = spread(told, same, ["sha"], "n", "doc_id")
+    what = ["sha", F.coalesce("rep", "doc_id").alias("rep"), "lines", "widths", "seeds"]
+    own = cut(at.where("rep IS NULL").select(*what).unionByName(at.where("rep = doc_id").select(*what).dropDuplicates(["sha"])))
+    rank = F.struct(F.col("rep").alias("rep"), F.col("sha").alias("sha")).alias("rank")
+    once = cut(_aligned(own, own.select(F.col("sha").alias("doc"), rank, F.explode("seeds").alias("line")), False))
+    stayed = once.where("line IS NOT NULL").select(F.col("doc").alias("sha"), "line").distinct().join(own.select("sha", "rep"), "sha")
+    again = _aligned(own, stayed.select(F.col("sha").alias("doc"), rank, "line"), True)
+    gone = once.unionByName(again).where("start IS NOT NULL").groupBy(F.col("doc").alias("sha")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    return at.select("doc_id", "sha", "n_lines", F.coalesce("rep", "doc_id").alias("rep")), gone
 
 
 def _cut_lines(batches):
+    """(doc_id, text, gone) -> doc_id, n_lines, n_removed, kept: the text without the lines of gone."""
     for batch in batches:
-        texts, removed, lines, sha = [], [], [], []
-        gone = batch.column("gone").to_pylist()
-        for t, g in zip(batch.column("text").to_pylist(), gone, strict=True):
-            x = t.split("\n") if t is not None else []
-            drop = set()
-            for s in g or ():
-                drop.update(range(s["start"], min(s["end"], len(x))))
-            kept = [line for i, line in enumerate(x) if i not in drop] if drop else x
-            lines.append(len(x))
-            removed.append(len(drop))
-            texts.append(None if t is None else "\n".join(kept))
-            sha.append(hashlib.sha256((texts[-1] or "").encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
-
-
-def _gone(docs: DataFrame) -> DataFrame:
-    told, found = common_blocks(docs)
-    spans = found.unionByName(told.where("copy").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_lines").alias("end")))
-    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")))
+        for rows, data, off in pieces(batch):
+            s, e, first = _line_spans(data, off)
+            raw, gone, there = data.tobytes(), rows.column("gone"), rows.column("text").is_valid().to_pylist()
+            lines, removed, texts = np.diff(first), [], []
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                if not there[i]:
+                    lines[i] = 0
+                    removed.append(0)
+                    texts.append(None)
+                    continue
+                spans = gone[i].as_py()
+                if not spans:
+                    removed.append(0)
+                    texts.append(raw[off[i] : off[i + 1]])
+                    continue
+                keep = np.ones(b - a, bool)
+                for x in spans:
+                    keep[x["start"] : x["end"]] = False
+                removed.append(int((~keep).sum()))
+                texts.append(b"\n".join(raw[s[a + k] : e[a + k]] for k in np.flatnonzero(keep).tolist()))
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rows.schema.names if c not in ("text", "gone")], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], [*[c for c in rows.schema.names if c not in ("text", "gone")], "n_lines", "n_removed", "kept"])
+
+
+def _digests(batches):
+    """_cut_lines without the texts."""
+    for done in _cut_lines(batches):
+        sha = [hashlib.sha256(x.as_py().encode() if x.is_valid else b"").hexdigest() for x in done.column("kept")]
+        yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("n_lines"), done.column("n_removed"), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
+
+
+def _digest(name: str):
+    """What _lines calls sha."""
+    return F.unhex(F.sha2(name, 256))
+
+
+def _ided(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
 
 
 def delete_blocks(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the blocks cut out of `text`; documents left without a line are dropped, rows with a null doc_id stay as they are."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row"))
-    packed = row.join(_gone(ids), "doc_id", "left").select("doc_id", "text", "gone", "row")
-
-    def run(batches):
-        for batch in batches:
-            done = next(iter(_cut_lines([batch])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), done.column("kept_text"), done.column("n_lines"), done.column("n_removed")], ["row", "kept", "n_lines", "n_removed"])
-
+    told, found = common_blocks(_ided(docs))
+    whole = told.where("rep < doc_id").select("doc_id", "sha").distinct().withColumn("copy", F.lit(True))
+    some = told.where("rep = doc_id").select("doc_id", "sha").distinct().join(found, "sha").select("doc_id", "sha", "gone")
+    plan = cut(whole.withColumn("gone", F.lit(None).cast(found.schema["gone"].dataType)).unionByName(some.withColumn("copy", F.lit(False))))
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row")).withColumn("sha", _digest("text"))
+    packed = row.join(sent(plan), ["doc_id", "sha"], "left").where("NOT coalesce(copy, false)").select("text", "gone", "row")
     kind = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(run, f"row {kind}, kept string, n_lines long, n_removed long").where("n_removed = 0 OR n_removed < n_lines")
+    done = packed.mapInArrow(_cut_lines, f"row {kind}, n_lines long, n_removed long, kept string").where("n_removed = 0 OR n_removed < n_lines")
     return done.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_lines, n_removed, kept_sha256, kept_text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return docs.join(_gone(docs), "doc_id", "left").mapInArrow(_cut_lines, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    """docs(doc_id, text) -> doc_id, n_lines, n_removed, kept_sha256, one row for each row; the texts left: delete_blocks()."""
+    docs = _ided(docs)
+    told, found = common_blocks(docs)
+    told = cut(told)
+    nothing = F.sha2(F.lit(""), 256)
+    copies = told.where("rep < doc_id").select("doc_id", "n_lines", F.col("n_lines").alias("n_removed"), nothing.alias("kept_sha256"))
+    first = told.where("rep = doc_id")
+    # only texts that lose a part are fetched; rows that repeat a doc_id and its text are fetched once each
+    plan = cut(first.select("doc_id", "sha").distinct().join(found, "sha"))
+    texts = docs.withColumn("sha", _digest("text")).join(sent(plan), ["doc_id", "sha"]).select("doc_id", "text", "gone")
+    some = texts.mapInArrow(_digests, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    same = first.join(plan.select("doc_id", "sha"), ["doc_id", "sha"], "left_anti").select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("sha")).alias("kept_sha256"))
+    none = docs.where("text IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), nothing.alias("kept_sha256"))
+    return copies.unionByName(some).unionByName(same).unionByName(none)
