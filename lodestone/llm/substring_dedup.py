@@ -1,25 +1,30 @@
-"""Substring dedup: a compressed FM-index per shard, searched backwards for repeated windows.
+"""Substring dedup: a compressed FM-index per shard, past which the other documents stream.
 
 1. Documents with the same words are met by hash; only the first is searched, the later
    ones lose all windows.
 2. Each window of `window` words has an anchor, its leftmost smallest ANCHOR-gram hash.
-   Equal windows have equal anchors, so anchors that one document alone holds are
-   dropped, and the others deal the text into shards: a run of windows with one anchor
-   goes, as words, to the shard of that anchor.
-3. Each shard is indexed (k-ordered BWT in a wavelet tree) in parts of about PART words
-   that never split an anchor, and each run is searched backwards: its matching
-   statistics, capped at the window, give the smallest doc_id for each window; windows
-   that a smaller doc_id holds are reported as intervals.
-4. An anchor in more than HOT documents would fill one shard. Of its equal runs only the
-   first goes on; if over HOT unlike ones are left, their windows are dealt one by one,
-   by their own content, and copies are summed before the shuffle.
-
-Intervals are joined to the texts and cut out. A text is shuffled twice, a run once.
+   Equal windows have equal anchors, so anchors that one text alone holds are dropped,
+   and the others deal the text into shards: a run of windows with one anchor goes, as
+   words, to the shard of that anchor. Of runs with equal words the first goes on, the
+   later ones lose all their windows.
+3. In a shard the first document of each anchor is indexed (k-ordered BWT in a wavelet
+   tree) and the runs of the others stream past the index: backward search gives their
+   matching statistics, windows of full length are reported as intervals and what is
+   left goes on. Of it the next two documents are indexed, then four, and so on, until
+   no anchor has a second document left. So a window is indexed once, in its first holder.
+4. An anchor with runs of more than SHARD texts would fill a shard. Its windows are
+   counted by their own hash, which tells what a run may hold of which first document;
+   those parts alone are met, an index of the first document's runs with the runs
+   that stream past it, as many to a shard as it takes.
+
+Intervals are joined to the texts and cut out. Of a text its shared runs are shuffled, the
+whole only if it loses a part.
 
 Defined cases: a null text has no words; a document of fewer than `window` words keeps
-all; windows repeated within one document only are kept; rows that repeat a doc_id are
-told apart by nothing, so they need distinct ids; null doc_ids are dropped; an empty
-table gives an empty result; other columns don't matter.
+all; windows repeated within one document only are kept; a document is known by its
+doc_id and text, so rows that repeat both are answered once each, and rows that repeat the
+doc_id alone are searched by themselves and lose nothing to each other; null doc_ids are
+dropped; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,24 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import cut
+from ._cut import cut, sent, spread
 from ._fm import Index
 from ._text import BASE, BASE_INV, SPACED, gram_hashes, mix64, pieces, powers, spans, word_hashes
 
-WINDOW, ANCHOR, HOT, PART = 50, 8, 512, 1 << 20
+WINDOW, ANCHOR, SHARD, PART = 50, 8, 512, 1 << 19
 #: windows of a run at most: longer ones are cut, and still meet in one shard
 RUN = 128
 
 
-def _told(batches):
-    """doc_id, n_words, sha256 of the words joined by one space."""
-    for batch in batches:
-        for rows, data, off in pieces(batch):
-            raw = data.tobytes()
-            words = [raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], ["doc_id", "n_words", "sha"])
-
-
 def _anchor_runs(h: np.ndarray, words: np.ndarray, window: int, gram: int):
     """(text, first window, windows, anchor hash) of each run of windows of one text with one anchor."""
     g = gram_hashes(h, gram)
@@ -77,20 +73,25 @@ def _anchor_runs(h: np.ndarray, words: np.ndarray, window: int, gram: int):
     return text[first], first - words[text[first]], np.diff(np.append(head, len(place))), low[first]
 
 
-def _anchors(window: int, gram: int):
+def _told(window: int, gram: int):
+    """(doc_id, text, t) -> doc_id, t, n_words, sha256 of the words joined by one space, and the runs: anchor, first window, windows."""
+
     def run(batches):
         for batch in batches:
             for rows, data, off in pieces(batch):
+                raw = data.tobytes()
                 s, e, words = spans(data, off, SPACED)
                 text, first, count, low = _anchor_runs(word_hashes(data, s, e), words, window, gram)
-                ids = np.asarray(rows.column("doc_id").cast(pa.int64()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(ids[text]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "doc_id", "start", "n"])
+                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                edge = np.searchsorted(text, np.arange(len(rows) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (low.view(np.int64), first.astype(np.int32), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("t"), pa.array(np.diff(words)), pa.array(sha, pa.binary()), *lists], ["doc_id", "t", "n_words", "sha", "anchors", "starts", "ns"])
 
     return run
 
 
 def _runs(window: int):
-    """Texts with their runs -> (hot, route, key, doc_id, start, words): one row a run; key: a hash of the run's words."""
+    """Texts with their runs -> (route, k1, k2, doc_id, t, start, n, words): one row a run; k1, k2: 128 bits of its content."""
 
     def run(batches):
         for batch in batches:
@@ -98,170 +99,275 @@ def _runs(window: int):
                 s, e, words = spans(data, off, SPACED)
                 h = word_hashes(data, s, e)
                 raw = data.tobytes()
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * powers(BASE, len(h)), out=total[1:])
-                back = powers(BASE_INV, len(h) + 1)
-                hot, route, a, b, doc, start = [], [], [], [], [], []
-                for i, (d, runs) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("runs").to_pylist(), strict=True)):
-                    w0 = int(words[i])
-                    for r in runs:
-                        hot.append(r["hot"])
-                        route.append(r["anchor"])
-                        a.append(w0 + r["start"])
-                        b.append(w0 + r["start"] + r["n"] + window - 1)
-                        doc.append(d)
-                        start.append(r["start"])
-                x, y = np.array(a, np.int64), np.array(b, np.int64)
-                key = mix64((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64))
-                text = [raw[i:j] for i, j in zip(s[x].tolist(), e[y - 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hot, pa.bool_()), pa.array(route, pa.int64()), pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())], ["hot", "route", "key", "doc_id", "start", "words"])
+                own = rows.column("runs")
+                count = np.array([len(x) for x in own], np.int64)
+                flat = own.flatten()
+                route, start, n = (np.asarray(flat.field(c), np.int64) for c in ("anchor", "start", "n"))
+                of = np.repeat(np.arange(len(rows)), count)
+                x = words[:-1][of] + start
+                y = x + n + window - 1
+                keys = []
+                for z in (h, mix64(h)):
+                    total = np.zeros(len(z) + 1, np.uint64)
+                    np.cumsum(z * powers(BASE, len(z)), out=total[1:])
+                    keys.append(mix64((total[y] - total[x]) * powers(BASE_INV, len(z) + 1)[x] + (y - x).astype(np.uint64)))
+                at = pa.array(of)
+                for i in range(0, len(of), 4096):  # a text may stand in many runs
+                    z = slice(i, i + 4096)
+                    text = [raw[a:b] for a, b in zip(s[x[z]].tolist(), e[y[z] - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(route[z]), *[pa.array(k[z].view(np.int64)) for k in keys], *[rows.column(c).take(at[z]) for c in ("doc_id", "t")], pa.array(start[z]), pa.array(n[z]), pa.array(text, pa.binary())], ["route", "k1", "k2", "doc_id", "t", "start", "n", "words"])
+
+    return run
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts, end to end, and how many each has. Pieces bound the memory of the byte arrays."""
+    off = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=off[1:])
+    hashes, lengths, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
+        b = np.frombuffer(b"".join(texts[i:j]), np.uint8)
+        s, e, words = spans(b, off[i : j + 1] - off[i], SPACED)
+        hashes.append(word_hashes(b, s, e))
+        lengths.append(np.diff(words))
+        i = j
+    return np.concatenate(hashes), np.concatenate(lengths)
+
+
+def _slices(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places a, a + 1, ... a + n - 1 of each row, end to end."""
+    return np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+
+
+def _stretches(bits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, length) of the runs of set bits within each row; n: bits of each row."""
+    begin = np.cumsum(n) - n
+    new = bits.copy()
+    new[1:] &= ~bits[:-1]
+    new[begin[n > 0]] = bits[begin[n > 0]]
+    last = bits.copy()
+    last[:-1] &= ~bits[1:]
+    end = begin + n - 1
+    last[end[n > 0]] = bits[end[n > 0]]
+    first, stop = np.flatnonzero(new), np.flatnonzero(last)
+    row = np.searchsorted(np.cumsum(n), first, "right")
+    return row, first - begin[row], stop - first + 1
+
+
+def repeated(group: np.ndarray, doc: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, window: int, step: int = 1 << 14):
+    """Texts of one group, in order of group and doc -> (text, first window, windows) that a smaller doc of the group holds, batch by batch."""
+    text, at, n = np.arange(len(doc)), np.cumsum(lengths) - lengths, lengths - window + 1
+    first, quota = np.zeros(len(doc), np.int64), 1
+    while True:
+        g, d = group[text], doc[text]
+        # a group with one document left is done; of the others the first `quota` documents are indexed
+        fresh = np.ones(len(g), bool)
+        fresh[1:] = g[1:] != g[:-1]
+        new = fresh.copy()
+        new[1:] |= d[1:] != d[:-1]
+        place = np.cumsum(new) - 1  # of its document
+        base = np.maximum.accumulate(np.where(fresh, place, 0))
+        place = place - base
+        many = np.zeros(len(g), np.int64)
+        heads = np.flatnonzero(fresh)
+        if len(heads):
+            many = np.repeat(np.maximum.reduceat(place, heads) + 1, np.diff(np.append(heads, len(g))))
+        keep = many > 1
+        text, at, n, first, place = text[keep], at[keep], n[keep], first[keep], place[keep]
+        if not len(text):
+            return
+        lead = place < quota
+        index = Index(hashes[_slices(at[lead], n[lead] + window - 1)], n[lead] + window - 1, doc[text[lead]], window)
+        asked = np.flatnonzero(place > 0)
+        left = [(np.zeros(0, np.int64),) * 3]
+        for i in range(0, len(asked), step):
+            q = asked[i : i + step]
+            least = index.statistics(hashes[_slices(at[q], n[q] + window - 1)], n[q] + window - 1)
+            gone = (least >= 0) & (least < np.repeat(doc[text[q]], n[q]))
+            row, a, m = _stretches(gone, n[q])
+            yield text[q[row]], first[q[row]] + a, m
+            row, a, m = _stretches(~gone, n[q])
+            row = q[row]
+            on = ~lead[row]
+            left.append((row[on], a[on], m[on]))
+        row, a, m = (np.concatenate(x) for x in zip(*left, strict=True))
+        text, at, n, first = text[row], at[row] + a, m, first[row] + a
+        quota *= 2
+
+
+def _search(window: int, part: int):
+    """A shard's runs (route, doc_id, t, start, words) in order of anchor and doc_id -> (doc_id, t, start, end) of windows that a smaller doc_id holds."""
+
+    def flush(held):
+        group, doc, t, start = (np.concatenate([x[k] for x in held]) for k in range(4))
+        hashes, lengths = _hashes([z for x in held for z in x[4]])
+        for text, a, m in repeated(group, doc, hashes, lengths, window):
+            begin = start[text] + a
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], t[text], begin, begin + m - 1 + window)], ["doc_id", "t", "start", "end"])
+
+    def run(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            route, doc, t, start = (np.asarray(batch.column(c), np.int64) for c in ("route", "doc_id", "t", "start"))
+            edge = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route)) if len(route) else [0]
+            text = batch.column("words")
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if size > part * 6 and route[a] != last:  # bytes; about six a word
+                    yield from flush(held)
+                    held, size = [], 0
+                last = route[a]
+                held.append((route[a:b], doc[a:b], t[a:b], start[a:b], text[a:b].to_pylist()))
+                size += sum(map(len, held[-1][4]))
+        if held:
+            yield from flush(held)
 
     return run
 
 
 def _windows(window: int):
-    """Runs -> (k1, k2, doc_id, start): their windows, by 128 bits of content."""
+    """Runs -> (route, k1, k2, doc_id, t, run, place): their windows, by 128 bits of content; run: the run's first window."""
 
     def run(batches):
         for batch in batches:
-            text = batch.column("words").cast(pa.string())
-            ids, start = np.asarray(batch.column("doc_id"), np.int64), np.asarray(batch.column("start"), np.int64)
-            at = 0
-            for rows, data, off in pieces(pa.RecordBatch.from_arrays([text], ["text"])):
-                s, e, words = spans(data, off, SPACED)
-                h = word_hashes(data, s, e)
+            for i in range(0, len(batch), 2048):
+                rows = batch.slice(i, 2048)
+                h, lengths = _hashes(rows.column("words").to_pylist())
                 whole, again = gram_hashes(h, window), gram_hashes(mix64(h), window)
-                n = np.maximum(0, np.diff(words) - window + 1)
+                n = np.maximum(0, lengths - window + 1)
                 of = np.repeat(np.arange(len(rows)), n)
-                place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                where = words[:-1][of] + place
-                yield pa.RecordBatch.from_arrays([pa.array(whole[where].view(np.int64)), pa.array(again[where].view(np.int64)), pa.array(ids[at + of]), pa.array(start[at + of] + place)], ["k1", "k2", "doc_id", "start"])
-                at += len(rows)
+                where = _slices(np.cumsum(lengths) - lengths, n)
+                names = ("route", "doc_id", "t", "start")
+                yield pa.RecordBatch.from_arrays([*[rows.column(c).take(pa.array(of)) for c in names], pa.array(whole[where].view(np.int64)), pa.array(again[where].view(np.int64))], ["route", "doc_id", "t", "run", "k1", "k2"])
 
     return run
 
 
-def _search(window: int, part: int):
-    """A shard's runs in order of their anchor -> (doc_id, start, end) of windows that a smaller doc_id holds."""
+def _stream(window: int):
+    """Rows (route, first, salt, asked, doc_id, t, start, words), the runs of the first document before those that stream past them -> (doc_id, t, start, end)."""
 
-    def flush(held):
-        doc = np.concatenate([d for d, _, _ in held])
-        start = np.concatenate([s for _, s, _ in held])
-        data = [t for _, _, ts in held for t in ts]
-        off = np.zeros(len(data) + 1, np.int64)
-        np.cumsum([len(t) for t in data], out=off[1:])
-        hashes, lengths, i = [], [], 0
-        while i < len(data):  # pieces bound the memory of the byte arrays
-            j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
-            b = np.frombuffer(b"".join(data[i:j]), np.uint8)
-            s, e, words = spans(b, off[i : j + 1] - off[i], SPACED)
-            hashes.append(word_hashes(b, s, e))
-            lengths.append(np.diff(words))
-            i = j
-        lengths = np.concatenate(lengths)
-        index = Index(np.concatenate(hashes), lengths, doc, window)
-        out = ([], [], [])
-        step = 1 << 14
-        for i in range(0, len(doc), step):
-            for k, least in enumerate(index.statistics(np.arange(i, min(len(doc), i + step))), i):
-                gone = np.flatnonzero(np.diff(np.concatenate([[0], (least < doc[k]).view(np.int8), [0]])))
-                for a, b in gone.reshape(-1, 2).tolist():
-                    out[0].append(doc[k])
-                    out[1].append(start[k] + a)
-                    out[2].append(start[k] + b - 1 + window)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in out], ["doc_id", "start", "end"])
+    def flush(texts, index_doc, asked):
+        if not asked:
+            return
+        h, lengths = _hashes(texts)
+        index = Index(h, lengths, np.full(len(lengths), index_doc), window)
+        h, lengths = _hashes([x[3] for x in asked])
+        n = np.maximum(0, lengths - window + 1)
+        row, a, m = _stretches(index.statistics(h, lengths) >= 0, n)
+        doc, t, start = (np.array([x[k] for x in asked], np.int64) for k in range(3))
+        begin = start[row] + a
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], t[row], begin, begin + m - 1 + window)], ["doc_id", "t", "start", "end"])
 
     def run(batches):
-        held, size, last = [], 0, None
+        key, texts, asked = None, [], []
         for batch in batches:
-            route = np.asarray(batch.column("route"), np.int64)
-            edge = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
-            doc, start, text = np.asarray(batch.column("doc_id"), np.int64), np.asarray(batch.column("start"), np.int64), batch.column("words").to_pylist()
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if size > part * 6 and route[a] != last:  # bytes; about six a word
-                    yield flush(held)
-                    held, size = [], 0
-                last = route[a]
-                held.append((doc[a:b], start[a:b], text[a:b]))
-                size += sum(map(len, text[a:b]))
-        if held:
-            yield flush(held)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("route", "first", "salt", "asked", "doc_id", "t", "start")), strict=True)
+            for i, (route, first, salt, ask, doc, t, start) in enumerate(rows):
+                if key != (route, first, salt):
+                    yield from flush(texts, key and key[1], asked)
+                    key, texts, asked = (route, first, salt), [], []
+                words = batch.column("words")[i].as_py()
+                if ask:
+                    asked.append((doc, t, start, words))
+                else:
+                    texts.append(words)
+        yield from flush(texts, key and key[1], asked)
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, part: int = PART) -> tuple[DataFrame, DataFrame]:
+def _crowded(lead: DataFrame, window: int, shard: int) -> DataFrame:
+    """Runs of anchors that many unlike runs share -> doc_id, t, start, end."""
+    lead = cut(lead)
+    single = cut(lead.select("route", "doc_id", "t", "start", "words").mapInArrow(_windows(window), "route long, doc_id long, t long, run long, k1 long, k2 long"))
+    least = cut(single.groupBy("route", "k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    claim = cut(spread(single, least, ["route", "k1", "k2"], "n", "doc_id").where("first < doc_id").select("route", "first", "doc_id", "t", "run").distinct())
+    parts = cut(claim.groupBy("route", "first").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")))
+    asked = claim.join(sent(parts), ["route", "first"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "t", "run"), "parts").cast("int"))
+    asked = asked.join(lead.select("route", "doc_id", "t", F.col("start").alias("run"), "words"), ["route", "doc_id", "t", "run"]).select("route", "first", "salt", F.lit(True).alias("asked"), "doc_id", "t", F.col("run").alias("start"), "words")
+    index = parts.join(lead.select("route", F.col("doc_id").alias("first"), "t", "start", "words"), ["route", "first"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    index = index.select("route", "first", "salt", F.lit(False).alias("asked"), F.col("first").alias("doc_id"), "t", "start", "words")
+    rows = index.unionByName(asked).repartition("route", "first", "salt").sortWithinPartitions("route", "first", "salt", "asked")
+    return rows.mapInArrow(_stream(window), "doc_id long, t long, start long, end long")
+
+
+def _ided(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (told, found).
 
-    told: doc_id, n_words, sha, copy (whether a smaller doc_id has the same words);
-    found: doc_id, start, end, the words of windows that a smaller doc_id holds, for documents that aren't copies.
+    told: doc_id, t (a hash of the text), n_words, sha, copy (whether a smaller doc_id has the same words);
+    found: doc_id, t, start, end, the words of windows that a smaller doc_id holds, for documents that aren't copies.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    told = cut(docs.mapInArrow(_told, "doc_id long, n_words long, sha binary"))
-    first = told.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    told = cut(told.join(first, "sha").select("doc_id", "n_words", "sha", (F.col("first") < F.col("doc_id")).alias("copy")))
-    gram = min(ANCHOR, window)
-    anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, doc_id long, start int, n int")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", (F.col("docs") > hot).alias("hot"))
-    shared = cut(shared)  # so that the join below deals both sides anew and a hot anchor's rows can be split
-    runs = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("runs"))
-    runs = runs.join(told.where("NOT copy").select("doc_id"), "doc_id")
-    dealt = cut(docs.join(runs, "doc_id").mapInArrow(_runs(window), "hot boolean, route long, key long, doc_id long, start int, words binary"))
-    # of equal runs of a hot anchor the first goes on, the others lose all their windows
-    same = cut(dealt.where("hot").groupBy("route", "key").agg(F.min("doc_id").alias("first")))
-    many = same.groupBy("route").agg((F.count("*") > hot).alias("many"))
-    told_runs = dealt.where("hot").join(same, ["route", "key"])
-    later = told_runs.where("first < doc_id").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.size(F.split(F.col("words").cast("string"), r"[\x20\x09-\x0D]+"))).cast("long").alias("end"))
-    lead = told_runs.where("first = doc_id").join(many, "route")
-    cold = dealt.where("NOT hot").unionByName(lead.where("NOT many").drop("first", "many")).select("route", "doc_id", "start", "words")
-    cold = cold.repartition("route").sortWithinPartitions("route").mapInArrow(_search(window, part), "doc_id long, start long, end long")
-    # an anchor with more than `hot` unlike runs: its windows are dealt by their content
-    single = cut(lead.where("many").select("doc_id", "start", "words").mapInArrow(_windows(window), "k1 long, k2 long, doc_id long, start long"))
-    least = cut(single.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    warm = single.join(least, ["k1", "k2"]).where("first < doc_id").select("doc_id", "start", (F.col("start") + window).alias("end"))
-    return told, cold.unionByName(later).unionByName(warm)
+    docs = _ided(docs)
+    told = cut(docs.mapInArrow(_told(window, min(ANCHOR, window)), "doc_id long, t long, n_words long, sha binary, anchors array<long>, starts array<int>, ns array<int>"))
+    same = cut(told.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    told = spread(told, same, ["sha"], "n", "doc_id").withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)))
+    own = told.where("rep IS NULL").unionByName(told.where("rep = doc_id").dropDuplicates(["sha"]))
+    run = F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("starts").alias("start"), F.col("ns").alias("n")))
+    own = own.select("doc_id", "t", run.alias("r")).select("doc_id", "t", "r.*")
+    shared = own.groupBy("anchor").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "t")).alias("a"), F.max(F.struct("doc_id", "t")).alias("b")).where("a < b").select("anchor", "rows", F.lit(True).alias("met"))
+    runs = spread(own, cut(shared), ["anchor"], "rows", "doc_id").where("met").groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    dealt = cut(docs.join(sent(cut(runs)), ["doc_id", "t"]).select("text", "doc_id", "t", "runs").mapInArrow(_runs(window), "route long, k1 long, k2 long, doc_id long, t long, start long, n long, words binary"))
+    # of equal runs the first goes on, the others lose all their windows
+    lead = dealt.groupBy("route", "k1", "k2").agg(F.min(F.struct("doc_id", "t", "start", "n", "words")).alias("x"), F.count("*").alias("rows"))
+    lead = cut(lead.select("route", "k1", "k2", "rows", "x.*"))
+    again = lead.where("rows > 1").select("route", "k1", "k2", "rows", F.col("doc_id").alias("first"))
+    later = spread(dealt.drop("words"), cut(again), ["route", "k1", "k2"], "rows", "doc_id").where("first < doc_id").select("doc_id", "t", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
+    many = cut(lead.groupBy("route").agg(F.count("*").alias("unlike")).where(f"unlike > {shard}").select("route"))
+    lone = lead.select("route", "doc_id", "t", "start", "words").join(sent(many), "route", "left_anti")
+    found = lone.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(_search(window, part), "doc_id long, t long, start long, end long")
+    crowd = _crowded(lead.select("route", "doc_id", "t", "start", "words").join(sent(many), "route", "left_semi"), window, shard)
+    return told.select("doc_id", "t", "n_words", "sha", "copy"), found.unionByName(later).unionByName(crowd)
 
 
 def _strip(batches):
+    """(doc_id, text, n_words, gone) -> doc_id, n_words, n_removed, kept_text."""
     for batch in batches:
         for rows, data, off in pieces(batch):
             raw = data.tobytes()
-            removed, sha, texts = [], [], []
+            removed, texts = [], []
+            gone = rows.column("gone")
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 w = raw[a:b].split()
-                gone = rows.column("gone")[i].as_py() or ()
-                if gone:
-                    keep = np.ones(len(w), bool)
-                    for x in gone:
-                        keep[x["start"] : x["end"]] = False
-                    removed.append(int((~keep).sum()))
-                    w = [w[j] for j in np.flatnonzero(keep).tolist()]
-                else:
-                    removed.append(0)
-                kept = b" ".join(w)
-                sha.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                keep = np.ones(len(w), bool)
+                for x in gone[i].as_py() or ():
+                    keep[x["start"] : x["end"]] = False
+                removed.append(int((~keep).sum()))
+                texts.append(b" ".join([w[j] for j in np.flatnonzero(keep).tolist()] if removed[-1] else w))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+def _digests(batches):
+    """_strip with the digest of the text in its place."""
+    for done in _strip(batches):
+        sha = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in done.column("kept_text")]
+        yield pa.RecordBatch.from_arrays([*done.columns[:3], pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, part: int = PART) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256; the words to keep themselves: strip()."""
-    told, found = repeats(docs, window, hot, part)
-    gone = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")))
+def _plan(docs: DataFrame, window: int, shard: int, part: int) -> DataFrame:
+    """One row for each row of docs: doc_id, t, n_words, sha, whole (all words go) and gone, the (start, end) of words that go."""
+    told, found = repeats(docs, window, shard, part)
+    gone = cut(found.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
     whole = F.col("copy") & (F.col("n_words") >= window)
-    plan = told.join(gone, "doc_id", "left").withColumn("whole", whole)
+    return told.join(sent(gone), ["doc_id", "t"], "left").select("doc_id", "t", "n_words", "sha", whole.alias("whole"), F.when(~whole, F.col("gone")).alias("gone"))
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, part: int = PART) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, one row for each row; the words to keep themselves: strip()."""
+    plan = cut(_plan(docs, window, shard, part))
     # texts are fetched for documents that lose some words, but not all
-    some = plan.where("NOT whole AND gone IS NOT NULL").select("doc_id", "n_words", "gone")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    changed = texts.join(some, "doc_id").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return plan.where("whole OR gone IS NULL").select("doc_id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"), F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256")).unionByName(changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
-
-
-def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The texts left: docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, kept_text, for all documents."""
-    told, found = repeats(docs, window)
-    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    whole = F.when(F.col("copy") & (F.col("n_words") >= window), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))))
-    plan = told.join(gone, "doc_id", "left").select("doc_id", "n_words", F.coalesce(whole, "gone").alias("gone"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(plan, "doc_id").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    some = cut(plan.where("gone IS NOT NULL").select("doc_id", "t", "n_words", "gone").dropDuplicates(["doc_id", "t"]))
+    changed = _ided(docs).join(sent(some), ["doc_id", "t"]).select("doc_id", "text", "n_words", "gone").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    told = plan.where("gone IS NULL").select("doc_id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"), F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"))
+    return told.unionByName(changed)
+
+
+def strip(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, part: int = PART) -> DataFrame:
+    """The texts left: docs(doc_id, text) -> doc_id, n_words, n_removed, kept_text, for all documents."""
+    all_words = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+    plan = _plan(docs, window, shard, part).select("doc_id", "t", "n_words", F.when(F.col("whole"), all_words).otherwise(F.col("gone")).alias("gone"))
+    plan = cut(plan.dropDuplicates(["doc_id", "t"]))
+    return _ided(docs).join(sent(plan), ["doc_id", "t"]).select("doc_id", "text", "n_words", "gone").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
