@@ -38,8 +38,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     own = spark.sql("SELECT bigint(-7) AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
-    rows = rows.select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.digest(chat_format.read_back(chat_format.render(chat_format.canonical_rows(rows))))
+    rows = rows.unionByName(own, allowMissingColumns=True)
+    return chat_format.digest(chat_format.read_back(chat_format.render(chat_format.canonical(rows))))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_docs(spark, sf_dir, "doc_id", "text")).drop("kept_text")
+    return line_dedup(_docs(spark, sf_dir, "doc_id", "text"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
