@@ -10,10 +10,14 @@ both exceed their thresholds the term discloses the entity and is a span of kind
 in every document, with or without an entity of its own. sanitise() generalises base spans to
 their kind and removes terms.
 
+Work on one text is linear in its length: places are running sums, and what overlaps is
+told by the set of covered places, not by comparing each span with each term.
+
 Defined cases: a null text is empty and has no span; ties in start go by kind as listed,
-then end; a term that overlaps a base span is part of it and no span of its own; rows
-that repeat a doc_id are told apart by nothing, so they need distinct ids; an empty
-table gives an empty result; other columns don't matter.
+then end; a term that overlaps a base span is part of it and no span of its own; a row is
+known by its doc_id and text, so rows that repeat both are answered once each and count
+once each, rows that repeat the doc_id alone are documents of their own; null doc_ids are
+kept; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import bytes_at_most, cut
+from ._cut import cut, sent
 
 # Possessive and anchored at the start of a run (or where the last match ended), so that long runs cost their length once.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,6 +40,7 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
 CHUNK = 256
 NO_SPANS = "cast(array() AS array<struct<start: int, o: int, end: int, kind: string, value: string>>)"
+NO_TERMS = "cast(array() AS array<struct<start: int, end: int, value: string>>)"
 
 
 def _luhn(match: Column) -> Column:
@@ -56,33 +61,16 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, hint: str | None, order: int) -> Column:
-    """Spans of one kind: what stands between matches gives their places."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("s"))
-
-    def step(a, x):
-        start = (a["at"] + x["b"]).cast("int")
-        end = (start + F.length(x["m"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(order).alias("o"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(_passes(kind, x["m"]), F.concat(a["s"], F.array(span))).otherwise(a["s"]).alias("s"))
-
-    all_of_them = F.aggregate(F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), zero, step)["s"]
-    some = text.contains(hint) if hint else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
-    return F.when(some & text.rlike(pattern), all_of_them).otherwise(F.expr(NO_SPANS))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, also where body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _running(steps: Column) -> Column:
-    """Running sums of an array. Runs of CHUNK are summed apart, as growing one array by one copies it."""
+def _running(steps: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running sums (or what join makes of two values, from 0 on) of an array. Runs of CHUNK are joined apart, as growing one array by one copies it."""
     runs = _let(steps, lambda s: F.transform(F.sequence(F.lit(0), ((F.size(s) - 1) / CHUNK).cast("int")), lambda k: F.slice(s, k * CHUNK + 1, F.lit(CHUNK))))
-    total = lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)
-    grow = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    total = lambda r: F.aggregate(r, F.lit(0), join)
+    grow = lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x)))
     begin = lambda rs: F.slice(F.aggregate(F.transform(rs, total), F.array(F.lit(0)), grow), F.lit(1), F.size(rs))
     within = lambda r, o: F.slice(F.aggregate(r, F.array(o), grow), 2, CHUNK)
     return _let(runs, lambda rs: F.flatten(F.zip_with(rs, begin(rs), within)))
@@ -94,84 +82,116 @@ def _placed(words: Column, between: Column) -> Column:
     return F.zip_with(words, _running(gap), lambda w, s: F.struct(s.alias("start"), (s + F.length(w)).alias("end"), w.alias("value")))
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """(start, end, value) of the matches of a pattern."""
+    some = lambda m: F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), lambda b: _placed(m, b))).otherwise(F.expr(NO_TERMS))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
+
+
+def _spans(text: Column, kind: str, pattern: str, hint: str | None, order: int) -> Column:
+    """Spans of one kind, those that pass its test."""
+    told = lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("o"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"))
+    some = text.contains(hint) if hint else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
+    return F.when(some, F.filter(F.transform(_matches(text, pattern), told), lambda s: _passes(kind, s["value"]))).otherwise(F.expr(NO_SPANS))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, spans in order of start, then kind."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """docs(text, ...) -> the same with no null text, and spans in order of start, then kind."""
+    d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     return d.withColumn("spans", F.array_sort(F.concat(*[_spans(F.col("text"), k, p, h, i) for i, (k, p, h) in enumerate(KINDS)])))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text without its spans, which may overlap, a space in the place of each."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<string>)").alias("gaps"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["gaps"], F.array(F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])))).alias("gaps"))
-    done = lambda a: F.concat(F.array_join(a["gaps"], " "), F.lit(" "), F.substr(text, a["at"] + 1, F.greatest(F.lit(0), F.length(text) - a["at"])))
-    return F.aggregate(spans, zero, step, done)
+def _apart(words: Column, spans: Column) -> Column:
+    """Those of the placed words that overlap no span."""
+
+    def some(w):
+        gap = lambda x, i: x["start"] - F.when(i > 0, F.get(w, i - 1)["end"]).otherwise(0)
+        # which word holds each place of the text, -1 for none
+        owner = F.flatten(F.transform(w, lambda x, i: F.concat(F.array_repeat(F.lit(-1), gap(x, i)), F.array_repeat(i, x["end"] - x["start"]))))
+        covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1))))
+        met = _let(owner, lambda o: F.array_distinct(F.transform(covered, lambda p: F.get(o, p))))
+        left = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), met)
+        return F.when((F.size(w) > 0) & (F.size(spans) > 0), F.transform(left, lambda i: F.get(w, i))).otherwise(w)
 
+    return _let(words, some)
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """found(doc_id, text, spans), documents with spans -> term, entity, bits: terms beyond both thresholds."""
-    total = docs.count()
-    e = found.select("doc_id", F.md5("text").alias("h"), F.explode("spans").alias("s")).select("doc_id", "h", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Adds k, which is the same for rows of one doc_id and text."""
+    own = F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n"))
+    return docs.select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.concat(own, F.lit(":"), "text")))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, total: int, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> tuple[DataFrame, DataFrame]:
+    """docs(k, text), all rows; found(k, m, text, spans), distinct rows with spans and how often each is met -> (terms, held).
+
+    terms: term, entity, bits, those beyond both thresholds; held: k, term, for each row and term that may be one of them.
+    """
+    found = found.withColumn("t", F.md5("text"))
+    e = found.select("k", "m", "t", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
     # no term has a share above 1, so an entity in too few texts or too many documents has no term
-    with_entity = e.groupBy("entity").agg(F.count("*").alias("de"), F.count_distinct("h").alias("texts")).where((F.col("texts") >= min_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("de")) >= min_bits)).select("entity", "de")
-    e = cut(e.join(with_entity, "entity"))
-    text = found.join(e.select("doc_id").distinct(), "doc_id").withColumn("outside", F.lower(_outside(F.col("text"), F.col("spans"))))
-    held = cut(text.select("doc_id", F.md5("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).alias("term")))
+    with_entity = e.groupBy("entity").agg(F.sum("m").alias("de"), F.count_distinct("t").alias("texts")).where((F.col("texts") >= min_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("de")) >= min_bits)).select("entity", "de")
+    e = cut(e.select("k", "entity").join(with_entity, "entity"))
+    text = found.join(sent(cut(e.select("k").distinct())), "k", "left_semi")
+    named = F.transform(_apart(_matches(F.col("text"), TERM), F.col("spans")), lambda w: F.lower(w["value"]))
+    near = cut(text.select("k", "m", "t", F.explode(F.array_distinct(named)).alias("term")))
     # documents with such an entity that hold a term are some of those that hold it, so a share that is too small of them is too small of all
-    about = held.groupBy("term").agg(F.count("*").alias("least_df"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= min_texts).select("term", "least_df")
-    near = held.drop("h").join(about, "term").join(e, "doc_id").where(F.col("de") >= F.col("least_df") * min_share)
-    pairs = near.groupBy("term", "entity", "de", "least_df", "h").agg(F.count("*").alias("n")).groupBy("term", "entity", "de", "least_df").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    about = near.groupBy("term").agg(F.sum("m").alias("least_df"), F.count_distinct("t").alias("texts")).where(F.col("texts") >= min_texts).select("term", "least_df")
+    both = near.join(about, "term").join(e, "k").where(F.col("de") >= F.col("least_df") * min_share)
+    pairs = both.groupBy("term", "entity", "de", "least_df", "t").agg(F.sum("m").alias("n")).groupBy("term", "entity", "de", "least_df").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     pairs = cut(pairs.where((F.col("texts") >= min_texts) & (F.col("n") >= F.col("least_df") * min_share)).select("term", "entity", "de", "n"))
-    names = cut(pairs.select("term").distinct())
-    if names.isEmpty():
-        return pairs.select("term", "entity", F.lit(0.0).alias("bits")).where("false")
-    sent = F.broadcast(names) if bytes_at_most(names, 100, 64 << 20) else names
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = words.join(sent, "term").groupBy("term").agg(F.count("*").alias("df"))
+    names = sent(cut(pairs.select("term").distinct()))
+    words = docs.select("k", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = cut(words.join(names, "term"))
     share = F.col("n") / F.col("df")
-    told = pairs.join(with_term, "term").withColumn("bits", F.log2(share / (F.col("de") / F.lit(float(max(1, total))))))
-    return told.where((share >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "bits")
-
-
-def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, spans (base), terms (start, end, value): one row for each document."""
-    docs = docs.select("doc_id", "text")
-    based = base_spans(docs)
-    found = cut(based.where(F.size("spans") > 0))
-    terms = cut(disclosing_terms(docs, found, min_texts, min_share, min_bits).select("term").distinct())
-    met = F.broadcast(terms) if bytes_at_most(terms, 100, 64 << 20) else terms
-    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = every.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    told = pairs.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("bits", F.log2(share / (F.col("de") / F.lit(float(max(1, total))))))
+    return told.where((share >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "bits"), held
+
+
+def find(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), **thresholds) -> DataFrame:
+    """docs(doc_id, text) -> the columns, spans (base), terms (start, end, value): one row for each row of docs. thresholds: those of disclosing_terms."""
+    every = _keyed(docs, "doc_id")
+    based = base_spans(every.select("k", "text")).where(F.size("spans") > 0)
+    found = cut(based.groupBy("k").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("m")))
+    terms, held = disclosing_terms(every.select("k", "text"), found, docs.count(), **thresholds)
+    terms = sent(cut(terms.select("term").distinct()))
     # places are worked out only for the documents that hold a term
-    holders = cut(words.join(met, "term").groupBy("doc_id").agg(F.collect_set("term").alias("own")))
-    d = every.join(F.broadcast(holders) if bytes_at_most(holders, 400, 64 << 20) else holders, "doc_id")
-    d = d.withColumn("w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("b", F.split("text", TERM, -1))
-    extra = d.select("doc_id", F.filter(_placed(F.col("w"), F.col("b")), lambda x: F.array_contains("own", F.lower(x["value"]))).alias("terms"))
-    apart = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    known = docs.select("doc_id").join(found.select("doc_id", "spans"), "doc_id", "left").join(extra, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
-    empty = F.expr("cast(array() AS array<struct<start: int, end: int, value: string>>)")
-    return known.select("doc_id", "spans", F.filter(F.coalesce("terms", empty), apart).alias("terms"))
+    holders = sent(cut(held.join(terms, "term", "left_semi").select("k").distinct()))
+    d = base_spans(every.select("k", "text").join(holders, "k", "left_semi"))
+    placed = d.select("k", F.explode(_apart(_matches(F.col("text"), TERM), F.col("spans"))).alias("w")).withColumn("term", F.lower("w.value"))
+    extra = placed.join(terms, "term").groupBy("k").agg(F.array_sort(F.collect_set("w")).alias("terms"))
+    told = cut(found.select("k", "spans").join(extra, "k", "full"))
+    known = _keyed(docs, *[c for c in columns if c != "text"]) if "text" not in columns else _keyed(docs, *[c for c in columns if c != "text"], F.col("text").alias("given"))
+    known = known.drop("text").join(sent(told), "k", "left")
+    own = [F.col("given").alias("text") if c == "text" else F.col(c) for c in columns]
+    return known.select(*own, F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"), F.coalesce("terms", F.expr(NO_TERMS)).alias("terms"))
+
+
+def _all_spans() -> Column:
+    """Base spans and terms, in order."""
+    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("o"), t["end"].alias("end"), F.lit("term").alias("kind"), t["value"].alias("value")))
+    return F.array_sort(F.concat("spans", terms))
 
 
 def told(found: DataFrame) -> DataFrame:
     """The digest of find(): counts, base_sha256 and spans as text."""
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     many = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("o"), t["end"].alias("end"), F.lit("term").alias("kind"), t["value"].alias("value")))
-    return found.select("doc_id", *[many(k) for k, _, _ in KINDS], F.sha2(F.array_join(F.transform("spans", line), ","), 256).alias("base_sha256"), F.array_join(F.transform(F.array_sort(F.concat("spans", terms)), line), ",").alias("spans"))
+    return found.select("doc_id", *[many(k) for k, _, _ in KINDS], F.sha2(F.array_join(F.transform("spans", line), ","), 256).alias("base_sha256"), F.array_join(F.transform(_all_spans(), line), ",").alias("spans"))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text: base spans generalised to their kind, terms removed. Overlapping base spans become one."""
-    f = find(docs, **thresholds)
-    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("o"), t["end"].alias("end"), F.lit("term").alias("kind"), t["value"].alias("value")))
-    d = docs.select("doc_id", "text").join(f, "doc_id", "left").withColumn("s", F.array_sort(F.concat("spans", terms)))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a, s):
-        name = F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        gap = F.substr(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] <= a["at"], a["out"]).otherwise(F.concat(a["out"], gap, name)).alias("out"))
-
-    d = d.withColumn("done", F.aggregate("s", zero, step))
-    return d.select("doc_id", F.when(F.size("s") > 0, F.concat("done.out", F.expr("substring(text, done.at + 1)"))).otherwise(F.col("text")).alias("text"))
+    """docs(doc_id, text) -> doc_id, text: base spans generalised to their kind, terms removed. Spans that overlap become one, named by the first."""
+    d = find(docs, ("doc_id", "text"), **thresholds).withColumn("s", _all_spans())
+
+    def cleaned(spans):
+        until = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        heads = _let(until, lambda u: F.filter(spans, lambda s, i: (i == 0) | (s["start"] >= F.get(u, i - 1))))
+        name = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        put = F.transform(heads, lambda s: F.struct(s["start"].alias("at"), name(s).alias("t")))
+        covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.length("text") - 1), covered)
+        chars = _let(F.split("text", ""), lambda c: F.transform(kept, lambda p: F.struct(p.alias("at"), F.get(c, p).alias("t"))))
+        return F.array_join(F.transform(F.array_sort(F.concat(put, chars)), lambda x: x["t"]), "")
+
+    return d.select("doc_id", F.when(F.size("s") > 0, _let(F.col("s"), cleaned)).otherwise(F.col("text")).alias("text"))

@@ -102,3 +102,42 @@ FROM d LEFT JOIN k ON k.a = doc_id LEFT JOIN q ON q.a = doc_id
 """
 
 ORACLES |= {"op10_jaccard_join": OP10}
+
+# fixed values: the patterns of the four kinds, as they are given
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda z: CASE WHEN length(ltrim(z, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(z, '0') AS INTEGER) END)) <= 255"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(n), i, 1) AS INTEGER) WHEN CAST(substr(reverse(n), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(n), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(n), i, 1) AS INTEGER) END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(n) BETWEEN 10 AND 15"),
+)
+_WORD = r"[\p{L}\p{M}\p{N}]+"
+
+
+def _found(name: str, pattern: str) -> str:
+    """i, v, s: each match of a pattern in t, and where it starts."""
+    return f"""(SELECT doc_id, i, v, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (
+  SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda k: length(b[k]) + CASE WHEN k > 1 THEN length(m[k - 1]) ELSE 0 END)) AS gap
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS b FROM d) WHERE len(m) > 0)) AS {name}"""
+
+
+_BASE = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {o} AS o, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(v) AS e, v FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM {_found(k, p)}) WHERE {test}" for o, (k, p, test) in enumerate(_KINDS))
+OP9 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS docs FROM d),
+ok AS MATERIALIZED ({_BASE}),
+ent AS (SELECT DISTINCT doc_id, kind || ':' || v AS entity FROM ok),
+known AS (SELECT entity, count(*) AS de FROM ent JOIN d USING (doc_id) GROUP BY entity HAVING count(DISTINCT t) >= 3),
+word AS MATERIALIZED (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(v) AS e, lower(v) AS term FROM {_found('w', _WORD)}),
+apart AS MATERIALIZED (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM ok x WHERE x.doc_id = w.doc_id AND x.s < w.e AND w.s < x.e)),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM word GROUP BY term),
+near AS (SELECT DISTINCT doc_id, term FROM apart WHERE doc_id IN (SELECT doc_id FROM ent)),
+pair AS (SELECT term, entity, de, count(*) AS n FROM near JOIN ent USING (doc_id) JOIN known USING (entity) JOIN d USING (doc_id) GROUP BY term, entity, de HAVING count(DISTINCT t) >= 3),
+told AS (SELECT DISTINCT term FROM pair JOIN df USING (term), total WHERE n / df >= 0.5 AND log2(docs / de) >= 6 AND log2((n / df) / (de / docs)) >= 6),
+every AS (SELECT doc_id, kind, o, s, e FROM ok UNION ALL SELECT doc_id, 'term', 4, s, e FROM apart JOIN told USING (term)),
+line AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) FILTER (o < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN line USING (doc_id)
+"""
+
+ORACLES |= {"op9_pii": OP9}
