@@ -9,12 +9,13 @@ Karlin-Altschul significance (P = 1 - exp(-K n e^(-lambda S))) decides which are
 passages. A logistic curve over the strongest and the summed significance, fitted
 on the same labelled rows, gives a score between 0 and 1.
 
-The classifier is fitted on at most MAX_LABELLED labelled rows and keeps at most
-MAX_TERMS scoring tokens; both are bounds of the model alone. Scoring reads all
+The classifier is fitted on at most MAX_LABELLED labelled documents, whose texts are
+fetched once; that bounds the model and what of it goes to the tasks. Scoring reads all
 tokens of all texts.
 
 Defined cases: a null or empty text has no passage and gets the score of no evidence;
-repeated rows are scored alike; null labels are left out; with no labelled rows of
+repeated rows are scored alike, and in fitting a doc_id
+counts once, with its first text; null labels are left out; with no labelled rows of
 both kinds every score is 0; an empty table gives an empty result; columns other than
 doc_id and text don't matter.
 """
@@ -28,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._cut import cut
 from ._text import FOLD, PLAIN, gram_hashes, owner, pieces, spans, word_hashes
 
-MAX_LABELLED, MAX_TERMS = 20_000, 50_000
+MAX_LABELLED, FIT_TASKS = 20_000, 32
 DRIFT, MIN_Z, MIN_DOCS, MIN_ODDS = -0.5, 3.0, 3.0, 2.5
 #: bytes of the prefixes that are tokens, beside the whole word
 PREFIXES = (4, 5, 6)
@@ -73,24 +75,27 @@ def hits(batch: pa.RecordBatch, model: Model):
 
 
 def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence that scores `drift` outside `at` (Ruzzo and Tompa)."""
-    found: list[list[float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments (start, end, score) of a sequence that scores `drift` outside `at` (Ruzzo and Tompa).
+
+    Each open segment points to the nearest one before it with a smaller sum, so that no segment is passed twice: linear.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, place of the nearest one with a smaller sum before
     total, last = 0.0, -1
     for p, x in zip(at.tolist(), score.tolist(), strict=True):
         total += drift * (p - last - 1)
-        last = p
-        seg = [p, p + 1, total, total + x]
+        start, last, before = p, p, total
         total += x
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= seg[3]:
-                found.append(seg)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            seg = [found[j][0], seg[1], found[j][2], seg[3]]
+            start, _, before, _, up = found[j]
             del found[j:]
-    return [(int(a), int(b), d - c) for a, b, c, d in found]
+            j = up
+        found.append((start, p + 1, before, total, j))
+    return [(a, b, d - c) for a, b, c, d, _ in found]
 
 
 def passages(batch: pa.RecordBatch, model: Model):
@@ -119,13 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """docs(doc_id, text), labels(doc_id, <label>): learns from at most MAX_LABELLED rows of labels, the first by md5(doc_id)."""
     spark = docs.sparkSession
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MAX_LABELLED)
+    chosen = cut(rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MAX_LABELLED))
     known = {r.doc_id: int(r.y) for r in chosen.collect()}
     if len(set(known.values())) < 2:
         return Model()
     ids = np.array(sorted(known), np.int64)
     ys = np.array([known[i] for i in ids.tolist()], np.int64)
     few = spark.sparkContext.broadcast((ids, ys))
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = cut(some.repartition(FIT_TASKS, "doc_id"))  # at most MAX_LABELLED rows
 
     def signatures(batches):
         for batch in batches:
@@ -144,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         keep = ids[i] == doc
         return batch.filter(pa.array(keep)), ys[i[keep]]
 
-    met = docs.select("doc_id", "text").mapInArrow(signatures, "doc_id long, sig long, words long").toPandas()  # at most MAX_LABELLED rows
+    met = some.mapInArrow(signatures, "doc_id long, sig long, words long").toPandas()  # at most MAX_LABELLED rows
     alike = met.groupby("sig")["sig"].transform("size").where(met["sig"] != 0, 1)
     weight_of = dict(zip(met["doc_id"].tolist(), (1.0 / alike).tolist(), strict=True))
     weights = np.array([weight_of.get(i, 0.0) for i in ids.tolist()])
@@ -175,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(i, y, len(u))), pa.array(np.bincount(i, x, len(u)))], ["h", "pos", "n"])
 
     n1, n0 = float(weights[ys > 0].sum()), float(weights[ys == 0].sum())
-    counts = docs.select("doc_id", "text").mapInArrow(count, "h long, pos double, n double").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    counts = some.mapInArrow(count, "h long, pos double, n double").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     # a token's prior is its pooled rate, worth ten documents; the z-score is that of the difference of log-odds
     prior = 10.0
     a = F.col("n") / F.lit(n0 + n1) * F.lit(prior) + F.lit(0.5)
     p, q = F.col("pos") + a, F.col("n") - F.col("pos") + a
     odds = F.log(p / (F.lit(n1 + prior) - p + 1e-9)) - F.log(q / (F.lit(n0 + prior) - q + 1e-9))
     strong = counts.where(f"pos >= {MIN_DOCS}").withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / p + 1 / q)).where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
-    terms = strong.orderBy(F.col("z").desc(), "h").limit(MAX_TERMS).select("h", "odds", "n", "pos").collect()
+    terms = strong.select("h", "odds", "n", "pos").collect()  # tokens of at most MAX_LABELLED texts
     if not terms:
         return Model()
     h = np.array([t.h for t in terms], np.int64).view(np.uint64)
@@ -200,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(y[at : at + len(rows)]), *[pa.array(c) for c in x.T]], ["y", *"abcde"])
                 at += len(rows)
 
-    told = docs.select("doc_id", "text").mapInArrow(features, "y long, a double, b double, c double, d double, e double").toPandas()  # at most MAX_LABELLED rows
+    told = some.mapInArrow(features, "y long, a double, b double, c double, d double, e double").toPandas()  # at most MAX_LABELLED rows
     x, y = told[list("abcde")].to_numpy(), told["y"].to_numpy(float)
     model.weights = _logistic(x, y)
     return model
