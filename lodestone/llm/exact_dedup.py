@@ -1,10 +1,10 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes in groups, keep the smallest id.
 
-Texts are grouped by (hash, text): equal hashes of unlike texts stay apart because
-the text itself is a grouping key. Copies within a task are summed before the
-shuffle, so a text that a third of all rows share arrives as one row a task.
-What returns to the documents is joined on the hash alone, but for the hashes that
-two texts share, which are joined on the text as well.
+Hashes are counted first, with ids alone. Texts are met only where two rows have one
+hash: there the text itself is a grouping key, so equal hashes of unlike texts stay
+apart, and copies within a task are summed before the shuffle, so a text that a third of
+all rows share arrives as one row a task. What returns to the documents is joined on the
+hash alone, but for the hashes that two texts share, which are joined on the text as well.
 
 Defined cases: a null text counts as empty; texts that differ only in runs of
 whitespace are equal; of repeated rows with one doc_id all are returned; a null
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import cut
+from ._cut import cut, sent, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -31,17 +31,15 @@ def normalised(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
     told = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", digest(F.col("norm")))
-    groups = told.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # texts met once by hash and text need no answer; `n` tells hashes that two texts share
-    seen = groups.groupBy("h").agg(F.count("*").alias("n"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    seen = cut(seen.where("n > 1 OR group_size > 1"))
-    rows = told.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")).join(seen, "h", "left")
-    plain = rows.where("n IS NULL OR n = 1").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
-    clash = seen.where("n > 1").select("h")
-    if clash.isEmpty():
-        out = plain
-    else:
-        again = told.join(clash, "h", "left_semi")
+    twice = sent(cut(told.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")))
+    groups = told.join(twice, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # `texts` tells hashes that two texts share
+    seen = cut(groups.groupBy("h").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+    rows = spread(told.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), seen, ["h"], "group_size", "doc_id")
+    out = rows.where("texts IS NULL OR texts = 1").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
+    clash = cut(seen.where("texts > 1").select("h"))
+    if not clash.isEmpty():
+        again = told.join(sent(clash), "h", "left_semi")
         exact = again.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        out = plain.unionByName(again.join(exact, ["h", "norm"]).select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")))
+        out = out.unionByName(again.join(exact, ["h", "norm"]).select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
