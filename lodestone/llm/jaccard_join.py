@@ -1,24 +1,29 @@
 """N-gram Jaccard join with Bayesian pruning of candidate pairs.
 
 1. Each document becomes its set of word shingles and HASHES MinHash values. Documents
-   with equal sets are copies; one of them, the class representative, goes on.
-2. Bands of ROWS MinHash values deal representatives into buckets (a pair at the
-   threshold 0.8 meets in at least one of 24 bands but for 3 in a million).
+   with equal sets are copies, one node; its representative is the smallest doc_id.
+2. Bands of ROWS MinHash values deal nodes into buckets (a pair at the threshold 0.8
+   meets in at least one of 24 bands but for 3 in a million).
 3. In a bucket, pairs are compared a few MinHash values at a time and dropped as soon as
    the posterior probability (uniform prior, so Beta(m + 1, n - m + 1) after m of n
    agree) of reaching the threshold falls below TOLERANCE. What survives is not written
-   out as pairs but as a spanning forest, so a dense bucket costs its size.
-4. Components of the forests are verified: each member's full shingle set is met once,
-   all pairs of a component are counted exactly by blocked matrix products of the
-   shingles that not all and not one alone have, and links are summed for each document.
-
-Buckets and components of more than BLOCK members are cut into blocks, and each pair of
-blocks is a task of its own: any size is done whole in bounded memory.
+   out as pairs but as a spanning forest, so a dense bucket costs its size. In a bucket
+   of more than BLOCK nodes each is first compared with the bucket's pivot: what survives
+   hangs together by it and need not be compared among itself, the rest meets all.
+4. Components of the forests are verified: each member's full shingle set is met, all
+   pairs are counted exactly by blocked matrix products of the shingles that not all and
+   not one alone have, and links are summed for each node. In a large component the
+   shingles that most members have are its core text; members that lack r and add a of it
+   with r + t a at most half of (1 - t) times its size are at least t alike each to each, so
+   they are linked by that count, and pairs are met only where one of the two is no such member.
+
+Large buckets and components are dealt in blocks, by number and by length, and each
+pair of blocks is a task of its own: any size is done whole in bounded memory.
 
 Defined cases: a null or empty text has no shingles, is a class of its own and has no
 links; a text of fewer words than a shingle is one shingle; null doc_ids are dropped;
-rows that repeat a doc_id count as one copy each; an empty table gives an empty result;
-other columns don't matter.
+rows that repeat a doc_id count as one copy each if their texts agree and as documents of
+their own if not; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._cut import cut
+from ._cut import cut, sent, spread
 from ._text import SPACED, gram_hashes, mix64, pieces, spans, word_hashes
 
 HASHES, ROWS, STEP, TOLERANCE, BLOCK = 96, 4, 16, 1e-6, 512
+#: shingles of a block, and of a component that is met whole
+WEIGHT = 1 << 18
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -77,9 +84,10 @@ def _sketch(n: int):
                 bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * key.shape[0], pa.array(np.ascontiguousarray(key.T).ravel().view(np.int64)))
                 short = np.ascontiguousarray(low.T.astype(np.uint16))
                 sig = np.array(sums, np.uint64).reshape(-1, 2)
+                node = mix64(sig[:, 0] ^ mix64(sig[:, 1] + size.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(sig[:, 0].copy().view(np.int64)), pa.array(sig[:, 1].copy().view(np.int64)), pa.array(size.astype(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), bands],
-                    ["doc_id", "s1", "s2", "shingles", "minhash", "bands"],
+                    [rows.column("doc_id"), rows.column("t"), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), bands],
+                    ["doc_id", "t", "node", "shingles", "minhash", "bands"],
                 )
 
     return run
@@ -146,21 +154,31 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int
         yield pa.concat_tables(held), np.array(edge)
 
 
+def _survives(least: list[int], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of MinHash values x and y stay as pairs; values are compared a few at a time, for those that still stay."""
+    at, agree = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for k, need in enumerate(least):
+        cols = slice(k * STEP, (k + 1) * STEP)
+        agree += (x[at, cols] == y[at, cols]).sum(1)
+        at, agree = at[agree >= need], agree[agree >= need]
+    return at
+
+
+def _values(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
 def _prune(threshold: float, tolerance: float):
-    """Members of a bucket, or of two blocks of one, -> (a, b): a spanning forest of the pairs that stay."""
+    """Nodes of a bucket, or of two blocks of one, -> (a, b): a spanning forest of the pairs that stay."""
     least = least_matches(threshold, tolerance)
 
     def pruned(mh, i, j):
-        agree = np.zeros(len(i), np.int64)
-        for k, need in enumerate(least):
-            cols = slice(k * STEP, (k + 1) * STEP)
-            agree += (mh[i, cols] == mh[j, cols]).sum(1)
-            stay = agree >= need
-            i, j, agree = i[stay], j[stay], agree[stay]
-        return i, j
+        stay = [k + _survives(least, mh[i[k : k + 65536]], mh[j[k : k + 65536]]) for k in range(0, len(i), 65536)]
+        stay = np.concatenate(stay) if stay else np.zeros(0, np.int64)
+        return i[stay], j[stay]
 
     def large(mh, left, right):
-        """All pairs of two lists of members; the first values are compared block by block."""
+        """All pairs of two lists of nodes; the first values are compared block by block."""
         own = left is right
         for at in range(0, len(left), 128):
             x = left[at : at + 128]
@@ -170,8 +188,8 @@ def _prune(threshold: float, tolerance: float):
 
     def run(batches):
         for t, edge in _chunks(batches, ("key", "lo", "hi")):
-            ids = np.asarray(t["rep"], np.int64)
-            mh = np.frombuffer(b"".join(t["minhash"].to_pylist()), np.uint16).reshape(len(ids), HASHES)
+            ids = np.asarray(t["node"], np.int64)
+            mh = _values(t["minhash"])
             lo, hi, side = (np.asarray(t[c], np.int64) for c in ("lo", "hi", "block"))
             begin, size = edge[:-1], np.diff(edge)
             whole = lo[begin] == hi[begin]
@@ -197,12 +215,55 @@ def _prune(threshold: float, tolerance: float):
     return run
 
 
+def _near_pivot(threshold: float, tolerance: float):
+    """(key, node, minhash, pivot, with_pivot) -> key, node, minhash, pivot, near: whether the pair with the pivot stays."""
+    least = least_matches(threshold, tolerance)
+
+    def run(batches):
+        for batch in batches:
+            near = np.zeros(len(batch), bool)
+            if len(batch):
+                near[_survives(least, _values(batch.column("minhash")), _values(batch.column("with_pivot")))] = True
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "node", "minhash", "pivot")], pa.array(near)], ["key", "node", "minhash", "pivot", "near"])
+
+    return run
+
+
 def _sets(n: int):
+    """(text, node, key, copies, size) -> the same with the shingles in place of the text."""
+
     def run(batches):
         for batch in batches:
             for rows, data, off in pieces(batch):
                 sets = [x.tobytes() for x in shingle_sets(rows, data, off, n)]
-                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("key"), rows.column("members"), rows.column("copies"), pa.array(sets, pa.binary())], ["rep", "key", "members", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("node", "key", "copies", "size")], pa.array(sets, pa.binary())], ["node", "key", "copies", "size", "shingles"])
+
+    return run
+
+
+def _occurrences(batches):
+    """(key, shingles) -> key, s, n: how many of the sets of a batch have a shingle."""
+    for batch in batches:
+        key = np.asarray(batch.column("key"), np.int64)
+        for k in np.unique(key).tolist():
+            at = np.flatnonzero(key == k)
+            for i in range(0, len(at), 256):
+                u, n = np.unique(np.concatenate([np.frombuffer(batch.column("shingles")[j].as_py(), np.int64) for j in at[i : i + 256].tolist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k)), pa.array(u), pa.array(n)], ["key", "s", "n"])
+
+
+def _within(threshold: float):
+    """(node, key, copies, size, shingles, core) -> node, key, copies, size, shingles, near: whether the set is near enough to the core for all such sets to be linked."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for i in range(len(batch)):
+                core = np.asarray(batch.column("core")[i].values, np.int64)
+                own = np.frombuffer(batch.column("shingles")[i].as_py(), np.int64)
+                both = len(np.intersect1d(core, own, assume_unique=True))
+                near.append((len(core) - both) + threshold * (len(own) - both) <= (1 - threshold) * len(core) / 2 - 1e-9)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "key", "copies", "size", "shingles")], pa.array(near, pa.bool_())], ["node", "key", "copies", "size", "shingles", "near"])
 
     return run
 
@@ -230,12 +291,12 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """Members of a component, or of two blocks of one, -> (rep, links, to): linked copies of others, and a spanning forest of the links."""
+    """Members of a component, or of two blocks of one, -> (node, links, to): linked copies of others, and a spanning forest of the links."""
 
     def run(batches):
         out: tuple[list, list, list] = ([], [], [])
         for t in _groups(batches, ("key", "lo", "hi")):
-            ids = np.asarray(t["rep"], np.int64)
+            ids = np.asarray(t["node"], np.int64)
             sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
             size = np.array([len(x) for x in sets], float)
             copies, side = np.asarray(t["copies"], np.int64), np.asarray(t["block"], np.int64)
@@ -249,49 +310,123 @@ def _verify(threshold: float):
             out[1].append(linked @ copies)
             out[2].append(ids[label])
             if sum(map(len, out[0])) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rep", "links", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["node", "links", "to"])
                 out = ([], [], [])
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rep", "links", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["node", "links", "to"])
 
     return run
 
 
-def _in_blocks(df: DataFrame, members: Column, block: int) -> DataFrame:
-    """Adds block, lo and hi: each row once for each pair of blocks (lo, hi) that its own block is in."""
-    df = df.withColumn("_n", F.ceil(members / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
-    df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return df.withColumn("lo", F.least("block", "_j")).withColumn("hi", F.greatest("block", "_j")).drop("_n", "_j")
-
-
-def jaccard_join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, rep_id, class_id, n_links.
+def _in_blocks(df: DataFrame, size: Column, block: int) -> DataFrame:
+    """df(key, node, near, ...) with block, lo and hi: each row once for each pair of blocks (lo, hi) that its own block is in, but for pairs of two near ones."""
+    blocks = lambda near: F.coalesce(F.ceil(F.greatest(F.count_if(near) / block, F.sum(F.when(near, size)) / WEIGHT)), F.lit(0)).cast("int")
+    df = cut(df)
+    many = cut(df.groupBy("key").agg(blocks(~F.col("near")).alias("_p"), blocks(F.col("near")).alias("_q")))
+    df = df.join(sent(many), "key").where("_p > 0")
+    own = F.when(F.col("near"), F.col("_p") + F.pmod(F.xxhash64("node"), F.greatest("_q", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("_p")))
+    df = df.withColumn("block", own.cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("_p")).otherwise(F.col("_p") + F.col("_q")) - 1)))
+    return df.withColumn("lo", F.least("block", "_j")).withColumn("hi", F.greatest("block", "_j")).drop("_p", "_q", "_j", "near")
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})
+
+
+def _by_group(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _candidates(sketched: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """sketched(node, minhash, bands) -> a, b: a spanning forest of the pairs that stay in some band."""
+    banded = sketched.select(F.explode("bands").alias("key"), "node")
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"))
+    mh = sketched.select("node", "minhash")
+    met = spread(banded, shared, ["key"], "members", "node").where("members IS NOT NULL").join(mh, "node")
+    columns = ("key", "lo", "hi", "block", "node", "minhash")
+    edges = _by_group(_whole(met.where(f"members <= {block}")).select(*columns)).mapInArrow(_prune(threshold, tolerance), "a long, b long")
+    crowded = shared.where(f"members > {block}")
+    if crowded.isEmpty():
+        return edges
+    pivots = cut(crowded.select("key", F.col("pivot").alias("node")).join(mh.withColumnRenamed("minhash", "with_pivot"), "node").select("key", "with_pivot"))
+    asked = met.where(f"members > {block}").join(sent(pivots), "key").select("key", "node", "minhash", "pivot", "with_pivot")
+    told = cut(asked.mapInArrow(_near_pivot(threshold, tolerance), "key long, node long, minhash binary, pivot long, near boolean"))
+    star = told.where("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    rest = _by_group(_in_blocks(told, F.lit(0), block).select(*columns)).mapInArrow(_prune(threshold, tolerance), "a long, b long")
+    return edges.unionByName(star).unionByName(rest)
+
+
+def _links(sets: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """sets(node, key, copies, size, shingles), sizes(key, members, large) -> node, links, to."""
+    columns = ("key", "lo", "hi", "block", "node", "copies", "shingles")
+    kind = "node long, links long, to long"
+    plain = sets.join(sent(sizes.where("NOT large").select("key")), "key", "left_semi")
+    links = _by_group(_whole(plain).select(*columns)).mapInArrow(_verify(threshold), kind)
+    large = cut(sizes.where("large"))
+    if large.isEmpty():
+        return links
+    crowd = sets.join(F.broadcast(large.select("key")) if large.count() <= 1_000_000 else large.select("key"), "key", "left_semi")
+    counts = crowd.select("key", "shingles").mapInArrow(_occurrences, "key long, s long, n long").groupBy("key", "s").agg(F.sum("n").alias("n"))
+    core = counts.join(sent(large), "key").where("2 * n > members").groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("core"))
+    core = cut(large.join(core, "key", "left").select("key", "members", F.coalesce("core", F.array().cast("array<long>")).alias("core")))
+    told = cut(spread(crowd, core, ["key"], "members", "node").select("node", "key", "copies", "size", "shingles", "core").mapInArrow(_within(threshold), "node long, key long, copies long, size long, shingles binary, near boolean"))
+    together = cut(told.where("near").groupBy("key").agg(F.sum("copies").alias("all"), F.min("node").alias("to")))
+    among = told.where("near").select("node", "key", "copies").join(sent(together), "key").select("node", (F.col("all") - F.col("copies")).alias("links"), "to")
+    rest = _by_group(_in_blocks(told, F.col("size"), block).select(*columns)).mapInArrow(_verify(threshold), kind)
+    return links.unionByName(among).unionByName(rest)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
+
+
+def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, t (a hash of the text), rep_id, class_id, n_links; one row for each row of docs.
 
     rep_id: the smallest doc_id with the same shingle set; class_id: the smallest doc_id
     reached over links; n_links: the number of other documents at least `threshold` alike.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    told = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, s1 long, s2 long, shingles long, minhash binary, bands array<long>"))
+    docs = _hashed(docs)
+    told = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, t long, node long, shingles long, minhash binary, bands array<long>"))
     full = told.where("shingles > 0")
-    same = cut(full.groupBy("s1", "s2", "shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
-    member = cut(full.join(same, ["s1", "s2", "shingles"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")))
-    reps = member.where("doc_id = rep").select("rep", "copies").distinct()
-    sketched = full.join(reps, full.doc_id == reps.rep).select("rep", "minhash", "bands")
-    sketched = cut(sketched)
-    banded = sketched.select(F.explode("bands").alias("key"), "rep")
-    shared = cut(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    met = _in_blocks(banded.join(shared, "key"), F.col("members"), block)
-    met = met.join(sketched.select("rep", "minhash"), "rep").select("key", "lo", "hi", "block", "rep", "minhash")
-    edges = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_prune(threshold, tolerance), "a long, b long")
-    labels = cut(components(edges))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    plan = cut(labels.join(sizes, "label").select(F.col("node").alias("rep"), F.col("label").alias("key"), "members").join(reps, "rep"))
-    sets = docs.join(plan, docs.doc_id == plan.rep).select("text", "rep", "key", "members", "copies").mapInArrow(_sets(shingle), "rep long, key long, members long, copies long, shingles binary")
-    dealt = _in_blocks(sets, F.col("members"), block).select("key", "lo", "hi", "block", "rep", "copies", "shingles")
-    seen = cut(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_verify(threshold), "rep long, links long, to long"))
-    links = seen.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(seen.where("rep <> `to`").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    known = cut(links.join(classes.withColumnRenamed("node", "rep"), "rep", "left"))
-    out = member.join(known, "rep", "left").select("doc_id", F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    none = told.where("shingles = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    same = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    full = spread(full, same, ["node"], "copies", "doc_id")
+    what = ["node", "doc_id", "t", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "shingles", "minhash", "bands"]
+    sketched = cut(full.where("rep IS NULL").select(*what).unionByName(full.where("rep = doc_id").select(*what).dropDuplicates(["node"])))
+    labels = cut(components(_candidates(sketched, threshold, tolerance, block)))
+    member = sketched.join(labels, "node").select("node", F.col("label").alias("key"), "doc_id", "t", "copies", F.col("shingles").alias("size"))
+    member = cut(member)
+    sizes = member.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("weight"))
+    sizes = cut(sizes.select("key", "members", ((F.col("members") > block) | (F.col("weight") > 4 * WEIGHT)).alias("large")))
+    sets = docs.join(sent(member), ["doc_id", "t"]).select("text", "node", "key", "copies", "size").mapInArrow(_sets(shingle), "node long, key long, copies long, size long, shingles binary")
+    sets = cut(sets)
+    sets = sets.where("copies = 1").unionByName(sets.where("copies > 1").dropDuplicates(["node"]))  # a row may be repeated
+    seen = cut(_links(sets, sizes, threshold, block))
+    links = seen.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = cut(components(seen.where("node <> `to`").select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    least = linked.join(member.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    known = member.select("node", "copies").join(links, "node").join(linked.join(least, "label"), "node", "left").select("node", "links", "class_id", "copies")
+    known = cut(known.withColumnRenamed("copies", "rows"))
+    rep = F.coalesce("rep", "doc_id")
+    out = spread(full.select("doc_id", "t", "node", "rep", "copies"), known, ["node"], "rows", "doc_id")
+    out = out.select("doc_id", "t", rep.alias("rep_id"), F.coalesce("class_id", rep).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"))
+    none = told.where("shingles = 0").select("doc_id", "t", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none)
+
+
+def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, rep_id, class_id, n_links, as classes() has them."""
+    return classes(docs, **settings).drop("t")
+
+
+def keep_first(docs: DataFrame, **settings) -> DataFrame:
+    """docs, all columns: of each class the document with the smallest doc_id, once if its row is repeated; rows with a null doc_id all stay."""
+    told = cut(classes(docs, **settings))
+    own = docs.withColumn("_row", F.struct("*")).select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"))
+    later = cut(told.where("class_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct())
+    rows = own.join(sent(later), (own._id == later._id) & (own._t == later._t), "left_anti")
+    twice = cut(told.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if not twice.isEmpty():
+        twice = sent(twice)
+        rows = rows.join(twice, ["_id", "_t"], "left_anti").unionByName(rows.join(twice, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]))
+    return rows.select("_row.*")
