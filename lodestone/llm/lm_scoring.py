@@ -1,20 +1,24 @@
 """LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-The corpus gives, over all training documents: counts of all words (a shuffle that grows
-with the input) and counts of (context, class) for HEAD frequent words, the text end and
-one class for the rest. A context is the last frequent word and whether it stands next
-to the token. The model predicts the class with scores C[near] * R[word] . Q[class] + b
-(diagonal context matrices), trained on the count matrix by NCE with expected gradients:
-data and noise terms are matrix products over all contexts. Scoring normalises each
-context's row once; a rest word adds its smoothed unigram share of the rest.
+1. All words of all training documents are counted (a shuffle that grows with the input).
+   Words are discounted by D = n1 / (n1 + 2 n2), of n1 words met once and n2 met twice; the
+   freed share D V / N is the probability of an unknown word.
+2. The WORDS most frequent words, and one class for the rest, are the vocabulary of the
+   log-bilinear model (see _lbl): three words of context, each with a matrix of its
+   own, and a vector for each word to be told. Every task makes a pass over all training
+   texts of its share, of about TASK_TOKENS tokens, from the same start; what tasks moved is
+   averaged row by row, each weighed by how often it moved the row.
+3. All texts are scored in batches: matrix products give each token's probability,
+   normalised over the vocabulary; a rest word adds its discounted share of the rest.
 
 Words are looked up in a table of at most WIDE frequent words, which goes to every task;
 all other words, however many, are met with their counts by a join.
 
 Defined cases: a null or empty text has one token, its end; null doc_ids count for
-training; repeated rows are scored and counted once each; with no training document
-every word is unknown and the model is the uniform one over classes; an empty table
-gives an empty result; other columns don't matter.
+training; repeated rows are scored and counted once each; an unknown word has the
+probability of the unknown as a whole; with no training document every word is
+unknown, which is then certain; an empty table gives an empty result; other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _lbl
 from ._cut import cut
 from ._text import FOLD, SPACED, pieces, spans, word_hashes
 
-HEAD, WIDE, DIM, NOISE, ROUNDS = 512, 1 << 19, 48, 20.0, 300
+WORDS, WIDE, TASK_TOKENS, ROUNDS, CHUNK = (1 << 16) - 1, 1 << 19, 1 << 22, 1, 1024
 END = np.uint64(0xE0D)
 
 
@@ -37,10 +43,43 @@ END = np.uint64(0xE0D)
 class Counts:
     total: int
     distinct: int
-    head: np.ndarray  # hashes of frequent words, sorted
+    once: int
+    twice: int
     wide: np.ndarray  # hashes of the wide table, sorted
-    wide_counts: np.ndarray
-    rest: float  # sum of (count + 1) over words outside the head, and 1
+    counts: np.ndarray
+    ranks: np.ndarray  # of the wide words in the vocabulary, 0 for the rest
+
+    @property
+    def discount(self) -> float:
+        return min(0.9, self.once / max(1, self.once + 2 * self.twice))
+
+    @property
+    def unknown(self) -> float:
+        """The probability of an unknown word."""
+        if not self.total:
+            return 1.0
+        return max(self.discount * self.distinct / self.total, 1 / (self.total + self.distinct + 1))
+
+    @property
+    def rest(self) -> float:
+        """Discounted counts of all words outside the vocabulary."""
+        top = self.ranks > 0
+        return max(0.0, self.total - float(self.counts[top].sum()) - self.discount * (self.distinct - int(top.sum())))
+
+    def tree(self) -> _lbl.Tree:
+        top = np.flatnonzero(self.ranks)
+        weights = np.zeros(len(top) + 1)
+        weights[0] = self.rest
+        weights[self.ranks[top]] = self.counts[top] - self.discount
+        return _lbl.Tree.of(weights)
+
+
+@dataclass
+class Fitted:
+    table: DataFrame  # h, c: all training words
+    counts: Counts
+    tree: _lbl.Tree
+    model: _lbl.Model
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +125,10 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def gather(train: DataFrame, head: int = HEAD, wide: int = WIDE) -> tuple[DataFrame, Counts]:
+def gather(train: DataFrame, words: int = WORDS, wide: int = WIDE) -> tuple[DataFrame, Counts]:
     """Word counts of all training texts: the table (h, c), and what the driver holds of it, of bounded size."""
     table = cut(train.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")))
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, once, twice = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     levels, room, least = table.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).limit(wide), wide, 1 << 62
     for c, n in ((r.c, r.n) for r in levels.collect()):  # at most `wide` rows: one for each distinct count
         if n > room:
@@ -99,126 +138,137 @@ def gather(train: DataFrame, head: int = HEAD, wide: int = WIDE) -> tuple[DataFr
     h, c = np.asarray(found["h"], np.int64).view(np.uint64), np.asarray(found["c"], np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
-    top = np.lexsort((h, -c))
-    top = top[h[top] != END][:head]
-    rest = total - int(c[top].sum()) - int(c[h == END].sum()) + distinct - len(top) - int((h == END).any()) + 1
-    return table, Counts(int(total), int(distinct), np.sort(h[top]), h, c, float(rest))
-
-
-def classes(h: np.ndarray, first: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token (head place, rest K, end K + 1) and its context (K + 1 words or the start, by near or not)."""
-    k = len(head)
-    cls = find(head, h)
-    frequent = cls >= 0
-    cls = np.where(frequent, cls, np.where(h == END, k + 1, k))
-    at = np.maximum.accumulate(np.where(frequent, np.arange(len(h)), -1))
-    before = np.concatenate([[-1], at[:-1]])
-    begin = np.repeat(first[:-1], np.diff(first))
-    inside = before >= begin
-    word = np.where(inside, cls[before], k)
-    near = np.where(inside, before == np.arange(len(h)) - 1, np.arange(len(h)) == begin)
-    return cls, near * (k + 1) + word
-
-
-def contexts(train: DataFrame, head: np.ndarray) -> np.ndarray:
-    """The count matrix (contexts x classes) over all training texts; its size hangs on the head alone."""
-    k = len(head)
-    shape = (2 * (k + 1), k + 2)
+    ranks = np.zeros(len(h), np.int32)
+    top = np.lexsort((h, -c))[:words]
+    ranks[top] = np.arange(1, len(top) + 1)
+    return table, Counts(int(total), int(distinct), int(once), int(twice), h, c, ranks)
+
+
+def lookup(counts: Counts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the wide table, -1 for none, and ranks in the vocabulary, 0 for the rest."""
+    i = find(counts.wide, h)
+    return i, np.where(i >= 0, counts.ranks[np.maximum(i, 0)] if len(counts.ranks) else 0, 0).astype(np.int32)
+
+
+def train_round(train: DataFrame, counts: Counts, tree: _lbl.Tree, model: _lbl.Model, seed: int, tokens_each: int = TASK_TOKENS) -> _lbl.Model:
+    """One pass over all training texts, in tasks that each start from model; the average of what they moved."""
+    sent = train.sparkSession.sparkContext.broadcast((counts, tree, model))
 
     def run(batches):
-        total = np.zeros(shape[0] * shape[1], np.int64)
+        counts, tree, model = sent.value
+        own = _lbl.Trainer(tree, model, seed=seed * 1_000_003 + TaskContext.get().partitionId())
+        ids, lengths = [], []
+
+        def flush():
+            own.texts(np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]))
+            ids.clear()
+            lengths.clear()
+
         for batch in batches:
             for _, data, off in pieces(batch):
-                cls, ctx = classes(*tokens(data, off), head)
-                total += np.bincount(ctx * shape[1] + cls, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    found = train.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(shape[0] * shape[1])
-    out[np.asarray(found["at"], np.int64)] = np.asarray(found["n"], np.int64)
-    return out.reshape(shape)
-
-
-def train_nce(n: np.ndarray, dim: int = DIM, noise: float = NOISE, rounds: int = ROUNDS, rate: float = 0.05, seed: int = 5) -> np.ndarray:
-    """Fits the log-bilinear model to counts n (contexts x classes) -> log10 probabilities, each row normalised."""
-    rng = np.random.default_rng(seed)
-    rows, cols = n.shape
-    half = rows // 2
-    unigram = (n.sum(0) + 1) / (n.sum() + cols)
-    seen = n.sum(1)
-    weight = seen / max(1.0, seen.sum())
-    data = n / np.maximum(1, seen)[:, None]
-    p = {"C": np.ones((2, dim)), "R": rng.normal(0, 0.3, (half, dim)), "Q": rng.normal(0, 0.3, (cols, dim)), "b": np.log(unigram)}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    which = np.repeat([0, 1], half)
-    lift = np.log(noise * unigram)
-    for t in range(1, rounds + 1):
-        if not seen.sum():
-            break
-        r = np.concatenate([p["R"] * p["C"][0], p["R"] * p["C"][1]])
-        s = r @ p["Q"].T + p["b"]
-        sigma = 1 / (1 + np.exp(-np.clip(s - lift, -30, 30)))
-        # d/ds of  data * log sigma + noise * unigram * log(1 - sigma), by rows weighted with the square root of their share
-        g = (data * (1 - sigma) - noise * unigram * sigma) * np.sqrt(weight)[:, None]
-        gr = g @ p["Q"]
-        grad = {"Q": g.T @ r, "b": g.sum(0), "R": gr[:half] * p["C"][0] + gr[half:] * p["C"][1], "C": np.stack([(gr[which == i] * p["R"]).sum(0) for i in (0, 1)])}
-        step = rate * min(1.0, t / 20) * (1 - 0.9 * t / rounds)
-        for k, x in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] += step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    s = np.concatenate([p["R"] * p["C"][0], p["R"] * p["C"][1]]) @ p["Q"].T + p["b"]
-    s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+                h, first = tokens(data, off)
+                ids.append(lookup(counts, h)[1])
+                lengths.append(np.diff(first))
+                if sum(map(len, ids)) >= 16 * _lbl.BATCH:
+                    flush()
+        if ids:
+            flush()
+        for k, (old, new, seen) in enumerate(zip(model.arrays(), own.model.arrays(), own.seen, strict=True)):
+            for i in range(0, len(old), CHUNK):
+                z = slice(i, i + CHUNK)
+                if seen[z].any():
+                    moved = (new[z] - old[z]) * seen[z][:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([moved.tobytes()]), pa.array([seen[z].tobytes()])], ["k", "i", "moved", "seen"])
+
+    def total(batches):
+        key, moved, seen = None, None, None
+        for batch in batches:
+            for k, i, m, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m, n = np.frombuffer(m, np.float32).astype(np.float64), np.frombuffer(n, np.float32).astype(np.float64)
+                if key == (k, i):
+                    moved, seen = moved + m, seen + n
+                    continue
+                if key is not None:
+                    yield done(key, moved, seen)
+                key, moved, seen = (k, i), m, n
+        if key is not None:
+            yield done(key, moved, seen)
+
+    def done(key, moved, seen):
+        mean = (moved.reshape(len(seen), -1) / np.maximum(seen, 1e-9)[:, None]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([mean.tobytes()])], ["k", "i", "moved"])
+
+    tasks = max(1, -(-counts.total // tokens_each))
+    moved = train.select("text").coalesce(tasks).mapInArrow(run, "k long, i long, moved binary, seen binary")
+    mean = moved.repartition("k", "i").sortWithinPartitions("k", "i").mapInArrow(total, "k long, i long, moved binary").toArrow()  # the size of the model
+    out = _lbl.Model(model.C.copy(), model.R.copy(), [v.copy() for v in model.V])
+    for k, i, m in zip(*(mean[c].to_pylist() for c in ("k", "i", "moved")), strict=True):
+        a = out.arrays()[k]
+        a[i : i + CHUNK] += np.frombuffer(m, np.float32).reshape(-1, a.shape[1])
+    sent.unpersist()
+    return out
+
+
+def fit(train: DataFrame, words: int = WORDS, wide: int = WIDE, rounds: int = ROUNDS, tokens_each: int = TASK_TOKENS) -> Fitted:
+    """train(text): counts and the model of all its texts."""
+    table, counts = gather(train, words, wide)
+    tree = counts.tree()
+    model = _lbl.Model.new(tree)
+    for i in range(rounds if counts.total else 0):
+        model = train_round(train, counts, tree, model, i, tokens_each)
+    return Fitted(table, counts, tree, model)
 
 
 def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def score(docs: DataFrame, head: int = HEAD, wide: int = WIDE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, words: int = WORDS, wide: int = WIDE, fitted: Fitted | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; fitted: by default on the rows that aren't held out."""
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    train = docs.where("NOT held_out")
-    table, counts = gather(train, head, wide)
-    model = train_nce(contexts(train, counts.head))
-    sent = docs.sparkSession.sparkContext.broadcast((counts, model))
-
-    def whole(batches):
-        counts, model = sent.value
-        k = len(counts.head)
-        logs = np.log10(counts.wide_counts + 1.0)
-        for batch in batches:
-            for rows, data, off in pieces(batch):
-                h, first = tokens(data, off)
-                i = find(counts.wide, h)
-                known = i >= 0
-                cls, ctx = classes(h, first, counts.head)
-                log_c = np.where(known, logs[i] if len(logs) else 0.0, 0.0)
-                parts = [known, log_c, model[ctx, cls], np.where(cls == k, log_c, 0.0), cls == k]
-                sums = [np.add.reduceat(x.astype(float), first[:-1]) for x in parts]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), *[pa.array(x) for x in sums[1:4]], pa.array(sums[4].astype(np.int64))], ["doc_id", "held_out", "n", "known", "log_c", "log_p", "rest_log_c", "rest"])
-
-    def tail(batches):
-        counts = sent.value[0]
+    fitted = fitted or fit(docs.where("NOT held_out"), words, wide)
+    counts = fitted.counts
+    sent = docs.sparkSession.sparkContext.broadcast((counts, fitted.tree, fitted.model))
+    log_known = float(np.log10(max(1e-300, 1 - counts.unknown))) if counts.total else 0.0
+
+    def run(batches):
+        counts, tree, model = sent.value
+        log_c, log_rest = np.log10(counts.counts + 1.0), np.log10(np.maximum(counts.counts - counts.discount, 1e-9) / max(counts.rest, 1e-9))
         for batch in batches:
             for rows, data, off in pieces(batch):
                 h, first = tokens(data, off)
-                at = np.flatnonzero(find(counts.wide, h) < 0)
-                text = np.searchsorted(first, at, "right") - 1
-                order = np.lexsort((h[at], text))
-                h, text = h[at][order], text[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                i, ids = lookup(counts, h)
+                there = i >= 0
+                ctx = _lbl.contexts(ids, first, tree.words)
+                lp = np.concatenate([_lbl.log_probabilities(tree, model, ids[a : a + (1 << 18)], _lbl.vectors(model, ctx[:, a : a + (1 << 18)])) for a in range(0, len(ids), 1 << 18)]) / np.log(10)
+                at = i[there]
+                base, own = np.zeros(len(h)), np.zeros(len(h))
+                base[there] = log_c[at]
+                own[there] = lp[there] + np.where(ids[there] == 0, log_rest[at], 0.0)
+                sums = [np.add.reduceat(x.astype(float), first[:-1]) for x in (there, base, own)]
+                # words beyond the table: how often each stands in a text, and the sum of what the model gives the rest there
+                tail = np.flatnonzero(~there)
+                text = np.searchsorted(first, tail, "right") - 1
+                order = np.lexsort((h[tail], text))
+                tail, text = tail[order], text[order]
+                w, p = h[tail], lp[tail]
+                new = np.ones(len(tail), bool)
+                new[1:] = (w[1:] != w[:-1]) | (text[1:] != text[:-1])
                 begin = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(text[begin])), pa.array(h[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(h))))], ["doc_id", "h", "m"])
+                m = np.diff(np.append(begin, len(tail)))
+                p = np.add.reduceat(np.maximum(p, -300), begin) if len(begin) else np.zeros(0)
+                items = pa.StructArray.from_arrays([pa.array(w[begin].view(np.int64)), pa.array(m), pa.array(p)], ["h", "m", "lp"])
+                lists = pa.ListArray.from_arrays(np.searchsorted(text[begin], np.arange(len(rows) + 1)).astype(np.int32), items)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), lists], ["id", "doc_id", "held_out", "n", "known", "log_c", "log_p", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    per = docs.select("doc_id", "text", "held_out").mapInArrow(whole, f"doc_id {kind}, held_out boolean, n long, known long, log_c double, log_p double, rest_log_c double, rest long")
-    rare = docs.select("doc_id", "text").mapInArrow(tail, f"doc_id {kind}, h long, m long").groupBy("h", "doc_id").agg(F.sum("m").alias("m"))
-    met = rare.join(table, "h").groupBy("doc_id").agg(F.sum("m").alias("tail_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("tail_log_c"))
-    d = per.join(met, "doc_id", "left").na.fill(0, ["tail_known"]).na.fill(0.0, ["tail_log_c"])
+    told = docs.withColumn("id", F.monotonically_increasing_id()).select("id", "doc_id", "held_out", "text")
+    per = cut(told.mapInArrow(run, f"id long, doc_id {kind}, held_out boolean, n long, known long, log_c double, log_p double, tail array<struct<h: long, m: long, lp: double>>"))
+    rare = per.select("id", F.explode("tail").alias("x")).select("id", "x.*").join(fitted.table, "h")
+    share = F.log10((F.col("c") - F.lit(counts.discount)) / F.lit(max(counts.rest, 1e-9)))
+    met = rare.groupBy("id").agg(F.sum("m").alias("tail_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("tail_log_c"), F.sum(F.col("lp") + F.col("m") * share).alias("tail_log_p"))
+    d = per.drop("tail").join(met, "id", "left").na.fill(0, ["tail_known"]).na.fill(0.0, ["tail_log_c", "tail_log_p"])
+    known = F.col("known") + F.col("tail_known")
     base = F.col("log_c") + F.col("tail_log_c") - F.col("n") * F.lit(float(np.log10(counts.total + counts.distinct + 1)))
-    own = F.col("log_p") + F.col("rest_log_c") + F.col("tail_log_c") - F.col("rest") * F.lit(float(np.log10(counts.rest)))
-    return d.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.col("tail_known")).alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), base.alias("base_score"), own.alias("score"))
+    own = F.col("log_p") + F.col("tail_log_p") + known * F.lit(log_known) + (F.col("n") - known) * F.lit(float(np.log10(counts.unknown)))
+    return d.select("doc_id", "held_out", F.col("n").alias("n_tokens"), known.alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), base.alias("base_score"), own.alias("score"))
