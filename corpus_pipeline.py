@@ -1,13 +1,21 @@
-"""Five operators in a row over `documents`: toxicity, line dedup, near duplicates, decontamination, mixing."""
+"""Five operators in a row over `documents`: toxicity, line dedup, near duplicates, decontamination, mixing.
+
+Each stage takes all rows that its predecessor kept, with all their columns. A row whose
+text is null is empty to every stage and stays; so does a row with a null doc_id, but
+for what the toxicity and the benchmark stage find in its text. Rows that repeat a
+doc_id and its text are judged alike; the third stage keeps one of them. Rows that repeat
+a doc_id alone are documents of their own. Ties go to the smallest doc_id. An empty
+table of documents, labels or benchmark items is allowed: without labels nothing is toxic,
+without items nothing is contaminated. Extra columns are carried along, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, line_dedup, mixing, toxicity
+from lodestone.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
 from lodestone.llm._cut import cut
-from lodestone.llm.jaccard_join import jaccard_join
 
 #: No SQL form: toxicity is a fitted model, line dedup an alignment.
 ORACLE_SQL = None
@@ -20,22 +28,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks are cut from the later document; n_chars follows the text."""
-    cols = docs.columns
     out = line_dedup.delete_blocks(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*cols) if "n_chars" in cols else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the document with the smallest doc_id stays."""
-    later = jaccard_join(docs).where("class_id < doc_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.keep_first(docs)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words benchmark windows hit less than a twentieth."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    hit = decontamination.judge(docs.select("doc_id", "text"), benchmark).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
