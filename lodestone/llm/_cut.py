@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SENT_BYTES = 64 << 20
+SENT_BYTES = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
