@@ -38,7 +38,7 @@ KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone",
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[\p{L}\p{M}\p{N}]++"
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
-CHUNK = 256
+CHUNK, BINS = 256, 64
 NO_SPANS = "cast(array() AS array<struct<start: int, o: int, end: int, kind: string, value: string>>)"
 NO_TERMS = "cast(array() AS array<struct<start: int, end: int, value: string>>)"
 
@@ -116,6 +116,15 @@ def _apart(words: Column, spans: Column) -> Column:
     return _let(words, some)
 
 
+def _among(words: Column, own: Column) -> Column:
+    """Those of the placed words whose lower case is in own; of a long list they meet only one of BINS parts each."""
+    bin_of = lambda x: F.pmod(F.xxhash64(x), F.lit(BINS)).cast("int")
+    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.filter(own, lambda x: bin_of(x) == i))
+    short = F.filter(words, lambda w: F.array_contains(own, F.lower(w["value"])))
+    long = _let(bins, lambda z: F.filter(words, lambda w: F.array_contains(F.get(z, bin_of(F.lower(w["value"]))), F.lower(w["value"]))))
+    return F.when(F.size(own) <= BINS, short).otherwise(long)
+
+
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Adds k, which is the same for rows of one doc_id and text."""
     own = F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n"))
@@ -156,10 +165,10 @@ def find(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), **thresholds)
     terms, held = disclosing_terms(every.select("k", "text"), found, docs.count(), **thresholds)
     terms = sent(cut(terms.select("term").distinct()))
     # places are worked out only for the documents that hold a term
-    holders = sent(cut(held.join(terms, "term", "left_semi").select("k").distinct()))
-    d = base_spans(every.select("k", "text").join(holders, "k", "left_semi"))
-    placed = d.select("k", F.explode(_apart(_matches(F.col("text"), TERM), F.col("spans"))).alias("w")).withColumn("term", F.lower("w.value"))
-    extra = placed.join(terms, "term").groupBy("k").agg(F.array_sort(F.collect_set("w")).alias("terms"))
+    holders = sent(cut(held.join(terms, "term", "left_semi").groupBy("k").agg(F.collect_set("term").alias("own"))))
+    d = base_spans(every.select("k", "text").join(holders, "k"))
+    placed = d.select("k", _among(_apart(_matches(F.col("text"), TERM), F.col("spans")), F.col("own")).alias("terms"))
+    extra = placed.groupBy("k").agg(F.first("terms").alias("terms"))
     told = cut(found.select("k", "spans").join(extra, "k", "full"))
     known = _keyed(docs, *[c for c in columns if c != "text"]) if "text" not in columns else _keyed(docs, *[c for c in columns if c != "text"], F.col("text").alias("given"))
     known = known.drop("text").join(sent(told), "k", "left")
