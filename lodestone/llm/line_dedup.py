@@ -36,6 +36,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -313,11 +314,24 @@ def delete_blocks(docs: DataFrame) -> DataFrame:
     whole = told.where("rep < doc_id").select("doc_id", "sha").distinct().withColumn("copy", F.lit(True))
     some = told.where("rep = doc_id").select("doc_id", "sha").distinct().join(found, "sha").select("doc_id", "sha", "gone")
     plan = cut(whole.withColumn("gone", F.lit(None).cast(found.schema["gone"].dataType)).unionByName(some.withColumn("copy", F.lit(False))))
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row")).withColumn("sha", _digest("text"))
-    packed = row.join(sent(plan), ["doc_id", "sha"], "left").where("NOT coalesce(copy, false)").select("text", "gone", "row")
-    kind = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(_cut_lines, f"row {kind}, n_lines long, n_removed long, kept string").where("n_removed = 0 OR n_removed < n_lines")
-    return done.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text").alias("sha"), F.struct("*").alias("row"))
+    packed = row.join(sent(plan), ["doc_id", "sha"], "left").where("NOT coalesce(copy, false)").select("gone", "row")
+    return packed.mapInArrow(_put_back, packed.select("row").schema).select("row.*")
+
+
+def _put_back(batches):
+    """(row, gone) -> row with the lines cut out of its text, if any is left; a row is held once, its text goes by piece."""
+    for batch in batches:
+        whole = batch.column("row")
+        for i in range(0, len(batch), 1000):
+            row = whole.slice(i, 1000)
+            names = [f.name for f in row.type]
+            text = pc.struct_field(row, "text")
+            done = list(_cut_lines([pa.RecordBatch.from_arrays([text, batch.column("gone").slice(i, 1000)], ["text", "gone"])]))
+            kept = pa.concat_arrays([d.column("kept") for d in done]).cast(text.type)
+            own = pa.StructArray.from_arrays([kept if n == "text" else pc.struct_field(row, n) for n in names], fields=list(row.type))
+            lines, removed = (np.concatenate([np.asarray(d.column(c)) for d in done]) for c in ("n_lines", "n_removed"))
+            yield pa.RecordBatch.from_arrays([own.filter(pa.array((removed == 0) | (removed < lines)))], ["row"])
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,13 +273,14 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose score stays below threshold; filtered where they are read, without a shuffle."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    packed = docs.select(F.struct("*").alias("row"))
 
     def run(batches):
         for batch in batches:
-            for rows, found in passages(batch, model):
+            row = batch.column("row")
+            for rows, found in passages(pa.RecordBatch.from_arrays([row, pc.struct_field(row, "text")], ["row", "text"]), model):
                 x = np.array([_features(f, n) for n, f in found]).reshape(-1, 5)
                 p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) if model.weights is not None else np.zeros(len(x))
                 yield rows.select(["row"]).filter(pa.array(p < threshold))
 
-    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
+    return packed.mapInArrow(run, packed.schema).select("row.*")
