@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP = ("and", "for", "from", "that", "the", "this", "with")  # fixed values: words left out of lexical tokens
-SECRETS = ("access_token", "api_key", "apikey", "email", "key", "mailto", "token")  # fixed values: redacted URL parameters
-LATEX_TOKEN = r"\\[A-Za-z]+|[A-Za-z]+(?:_[A-Za-z0-9]+)?|[0-9]+(?:\.[0-9]+)?|==|<=|>=|!=|[^\s]"
-RELATIONS = ("=", "<=", ">=", "<", ">")
+# fixed values: words left out of lexical tokens
+STOP = ("the", "and", "for", "with", "from", "that", "this")
+# fixed values: redacted URL parameters
+SECRETS = ("api_key", "apikey", "access_token", "token", "key", "authorization", "email", "mailto")
+# fixed value: tokens of a formula
+LATEX_TOKEN = r"\\[A-Za-z]+|[A-Za-z][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|==|<=|>=|!=|[-+*/^_=<>()\[\]{},]"
+# fixed values: relations, in the order tried, and their names
+RELATIONS = (("=", "equals"), ("<=", "le"), (">=", "ge"), ("<", "lt"), (">", "gt"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def every(c: Column, pattern: str) -> Column:
@@ -32,7 +43,8 @@ def collapse(c: Column) -> Column:
 
 
 def clean_markup(c: Column) -> Column:
-    return collapse(F.regexp_replace(c, "<[^>]+>", " "))
+    """Tags to spaces, whitespace collapsed; null if nothing is left."""
+    return F.nullif(collapse(F.regexp_replace(c, "<[^>]+>", " ")), F.lit(""))
 
 
 def sentences(c: Column) -> Column:
@@ -41,8 +53,7 @@ def sentences(c: Column) -> Column:
 
 def sentence_windows(c: Column, size: int = 3) -> Column:
     """Overlapping windows of `size` sentences, the last ones shorter."""
-    s = sentences(c)
-    return F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, size), " "))
+    return let(sentences(c), lambda s: F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, size), " ")))
 
 
 def evidence_sentence(c: Column, patterns: Column, cap: int = 700) -> Column:
@@ -53,15 +64,15 @@ def evidence_sentence(c: Column, patterns: Column, cap: int = 700) -> Column:
 
 def ngrams(tokens: Column, most: int = 3) -> Column:
     """All runs of 1 to `most` tokens, joined by a space."""
-    runs = lambda n: F.transform(F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.flatten(F.array(*[runs(n) for n in range(1, most + 1)]))
+    runs = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return let(tokens, lambda t: F.flatten(F.array(*[runs(t, n) for n in range(1, most + 1)])))
 
 
 def alpha_normalize(c: Column) -> Column:
     """Names in order of first appearance become v1, v2, ...; commands stay."""
-    parts = every(c, r"\\?[A-Za-z]+|[^A-Za-z\\]+|\\")
-    names = F.array_distinct(F.filter(parts, lambda p: p.rlike("^[A-Za-z]+$")))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-z]+$"), F.concat(F.lit("v"), F.array_position(names, p).cast("string"))).otherwise(p)), "")
+    named = lambda p: p.rlike("^[A-Za-z]+$")
+    renamed = lambda parts, names: F.transform(parts, lambda p: F.when(named(p), F.concat(F.lit("v"), F.array_position(names, p).cast("string"))).otherwise(p))
+    return let(every(c, r"\\?[A-Za-z]+|[^A-Za-z\\]+|\\"), lambda parts: F.array_join(let(F.array_distinct(F.filter(parts, named)), lambda names: renamed(parts, names)), ""))
 
 
 def latex_tokens(c: Column) -> Column:
@@ -69,16 +80,25 @@ def latex_tokens(c: Column) -> Column:
 
 
 def relation(tokens: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for r in reversed(RELATIONS):
-        out = F.when(F.array_contains(tokens, r), r).otherwise(out)
+    """struct(name, left, right): the first relation, in their order, that is a token, and what stands before and behind its first place; null without one."""
+    out = F.lit(None).cast("struct<name: string, left: string, right: string>")
+    for sign, name in reversed(RELATIONS):
+        at = F.array_position(tokens, F.lit(sign)).cast("int")
+        part = lambda start, n: F.array_join(F.slice(tokens, start, n), " ")
+        found = F.struct(F.lit(name).alias("name"), part(F.lit(1), F.greatest(at - 1, F.lit(0))).alias("left"), part(at + 1, F.greatest(F.size(tokens) - at, F.lit(0))).alias("right"))
+        out = F.when(F.array_contains(tokens, sign), found).otherwise(out)
     return out
 
 
 def multiset(tokens: Column) -> Column:
-    """token -> count."""
-    names = F.array_sort(F.array_distinct(tokens))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(tokens, lambda t: t == n))))
+    """token -> count, in order of tokens: runs of the sorted tokens, so the work is that of a sort."""
+
+    def counted(s):
+        heads = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        runs = lambda h: F.map_from_arrays(F.transform(h, lambda i: F.get(s, i)), F.transform(h, lambda i, k: F.coalesce(F.get(h, k + 1), F.size(s)) - i))
+        return let(heads, runs)
+
+    return let(F.array_sort(tokens), counted)
 
 
 def stable_id(namespace: str, value: Column, domain: str = "lodestone") -> Column:
@@ -101,24 +121,45 @@ def decade(year: Column) -> Column:
 
 def quoted(c: Column) -> Column:
     x = F.replace(collapse(c), F.lit('"'), F.lit(""))
-    return F.when(x.rlike(r"[\s()]"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
+    return F.when(x.rlike(r"[\s()\[\]{}]"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
 
 
 def normalize_doi(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(c), r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
+    """Lower case without the prefix; null if nothing is left."""
+    return F.nullif(casefold(F.regexp_replace(F.trim(c), r"(?i)^(https?://doi\.org/|doi:)", "")), F.lit(""))
+
+
+def normalize_openalex(c: Column) -> Column:
+    """The last part of a path."""
+    return F.nullif(F.substring_index(F.regexp_replace(F.trim(c), "/+$", ""), "/", -1), F.lit(""))
+
+
+def normalize_arxiv(c: Column) -> Column:
+    """Without address, prefix and version."""
+    v = F.trim(c)
+    v = F.when(F.contains(v, F.lit("/abs/")), F.regexp_replace(F.substring_index(v, "/abs/", -1), r"[?#].*$", "")).otherwise(v)
+    return F.regexp_replace(F.regexp_replace(v, "(?i)^arxiv:", ""), r"v[0-9]+$", "")
 
 
 def parse_identifier(c: Column) -> Column:
-    """(scheme, value) by the first rule that fits, else null."""
+    """struct(scheme, value) by the first rule that fits, else null."""
     v = F.trim(c)
-    out = F.lit(None).cast("struct<scheme:string,value:string>")
+    path = F.regexp_extract(v, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    behind = F.regexp_replace(v, "^[^:]*:", "")
     rules = [
-        (r"(?i)^https?://(dx\.)?doi\.org/", "doi", normalize_doi(v)), (r"(?i)^doi:", "doi", normalize_doi(v)),
-        (r"(?i)^pmid:", "pmid", F.trim(F.regexp_replace(v, r"(?i)^pmid:\s*", ""))), (r"(?i)^pmcid:", "pmcid", F.upper(F.trim(F.regexp_replace(v, r"(?i)^pmcid:\s*", "")))),
-        (r"(?i)^PMC\d+$", "pmcid", F.upper(v)), (r"(?i)^arxiv:", "arxiv", F.trim(F.regexp_replace(v, r"(?i)^arxiv:\s*", ""))), (r"^\d{4}\.\d{4,5}(v\d+)?$", "arxiv", v),
-        (r"(?i)^https?://openalex\.org/", "openalex", F.substring_index(v, "/", -1)), (r"(?i)^openalex:", "openalex", F.trim(F.regexp_replace(v, r"(?i)^openalex:\s*", ""))),
-        (r"^W\d+$", "openalex", v), (r"^10\.\d+/", "doi", F.lower(v)),
-    ]
+        (r"(?i)^https?://doi\.org/", "doi", casefold(F.regexp_replace(path, "^/+", ""))),
+        (r"(?i)^doi:", "doi", casefold(behind)),
+        (r"(?i)^pmid:", "pmid", behind),
+        (r"(?i)^pmcid:", "pmcid", F.upper(behind)),
+        (r"(?i)^PMC[0-9]+$", "pmcid", F.upper(v)),
+        (r"(?i)^arxiv:", "arxiv", behind),
+        (r"^[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?$", "arxiv", v),
+        (r"(?i)openalex\.org/", "openalex", F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)),
+        (r"(?i)^openalex:", "openalex", behind),
+        (r"^W[0-9]+$", "openalex", v),
+        (r"(?s)^10\..*/", "doi", casefold(v)),
+    ]
+    out = F.lit(None).cast("struct<scheme:string,value:string>")
     for pattern, scheme, value in reversed(rules):
         out = F.when(v.rlike(pattern), F.struct(F.lit(scheme).alias("scheme"), value.alias("value"))).otherwise(out)
     return out
@@ -133,10 +174,21 @@ def reference_ids(c: Column) -> Column:
     return F.map_from_entries(F.filter(named, lambda e: e["v"].isNotNull()))
 
 
+def _encoded(c: Column) -> Column:
+    """Form encoding; Java leaves '*' and encodes '~', which is set right."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def redacted_url(c: Column) -> Column:
-    q = F.split(F.substring_index(c, "?", -1), "&")
-    hide = lambda kv: F.when(F.lower(F.substring_index(kv, "=", 1)).isin(*SECRETS), F.concat(F.substring_index(kv, "=", 1), F.lit("=<redacted>"))).otherwise(kv)
-    return F.when(F.contains(c, F.lit("?")), F.concat(F.substring_index(c, "?", 1), F.lit("?"), F.array_join(F.transform(q, hide), "&"))).otherwise(c)
+    """The address with the values of secret parameters hidden and all parameters encoded anew."""
+    base, fragment = F.regexp_extract(c, r"(?s)^([^?#]*)", 1), F.regexp_extract(c, r"(?s)(#.*)$", 1)
+    query = F.regexp_extract(c, r"(?s)^[^?#]*\?([^#]*)", 1)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    name = lambda kv: decoded(F.substring_index(kv, "=", 1))
+    value = lambda kv: decoded(F.when(F.contains(kv, F.lit("=")), F.regexp_replace(kv, "(?s)^[^=]*=", "")).otherwise(""))
+    shown = lambda kv: F.concat(_encoded(name(kv)), F.lit("="), _encoded(F.when(casefold(name(kv)).isin(*SECRETS), F.lit("<redacted>")).otherwise(value(kv))))
+    told = F.array_join(F.transform(F.filter(F.split(query, "&"), lambda kv: kv != ""), shown), "&")
+    return F.concat(base, F.when(told != "", F.concat(F.lit("?"), told)).otherwise(""), F.when(fragment == "#", "").otherwise(fragment))
 
 
 def title_norm(c: Column) -> Column:

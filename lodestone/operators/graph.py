@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, sent
 
 
-def shared_neighbours(edges: DataFrame, node: str, by: str) -> DataFrame:
-    """Pairs of `node` with the number of distinct `by` they share: coupling by targets, co-citation by sources."""
-    e = edges.select(node, by).distinct()
-    a, b = e.withColumnRenamed(node, "left_id"), e.withColumnRenamed(node, "right_id")
-    return a.join(b, by).where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, block: int = 1024) -> DataFrame:
+    """Pairs of `node` with the number of distinct `by` they share, if that is `least` or more: coupling by targets, co-citation by sources.
+
+    With a bound, a node is met at its rarest `by` alone, all but the `least` - 1 commonest, which
+    loses no pair (two nodes that share `least` share one of those). A `by` with more than `block`
+    nodes is dealt in pairs of blocks, so no task has all pairs of a hot one.
+    """
+    e = edges.select(F.col(node).alias("node"), F.col(by).alias("by")).where("node IS NOT NULL AND by IS NOT NULL").distinct()
+    size = e.groupBy("by").agg(F.count("*").alias("n"))
+    hot = cut(size.where(F.col("n") > block))
+    met = e
+    if least > 1:
+        e = cut(e)
+        own = Window.partitionBy("node")
+        ranked = e.join(size, "by").withColumn("_r", F.row_number().over(own.orderBy("n", "by")))
+        met = ranked.where(F.col("_r") <= F.count("*").over(own) - (least - 1)).select("node", "by")
+    crowded = not hot.isEmpty()
+    plain = met.join(sent(hot.select("by")), "by", "left_anti") if crowded else met
+    a, c = plain.withColumnRenamed("node", "left_id"), plain.withColumnRenamed("node", "right_id")
+    pairs = a.join(c, "by").where("left_id < right_id").select("by", "left_id", "right_id")
+    if crowded:
+        d = met.join(sent(hot), "by").withColumn("p", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), "p").cast("int"))
+        a = d.select("by", F.col("node").alias("x"), F.col("b").alias("lo"), F.explode(F.sequence("b", F.col("p") - 1)).alias("hi"))
+        c = d.select("by", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "b")).alias("lo"), F.col("b").alias("hi"))
+        dealt = a.join(c, ["by", "lo", "hi"]).where("lo < hi OR x < y")
+        pairs = pairs.unionByName(dealt.select("by", F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")))
+    if least == 1:
+        return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    pairs = pairs.select("left_id", "right_id").distinct()
+    has = e.groupBy("node").agg(F.collect_set("by").alias("s")).where(F.size("s") >= least)
+    both = pairs.join(has.select(F.col("node").alias("left_id"), F.col("s").alias("l")), "left_id").join(has.select(F.col("node").alias("right_id"), F.col("s").alias("r")), "right_id")
+    return both.select("left_id", "right_id", F.size(F.array_intersect("l", "r")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -54,13 +81,13 @@ def threshold_components(ids: DataFrame, scores: DataFrame, threshold: float, le
     return out.join(size, "component").select("id", "component", "members")
 
 
-def descendants(nodes: DataFrame, root, most: int = 100) -> DataFrame:
-    """nodes(id, parent_id) -> id, depth of all below root, breadth first and safe from cycles."""
+def descendants(nodes: DataFrame, root, most: int = 10_000) -> DataFrame:
+    """nodes(id, parent_id) -> id, depth of all below root, breadth first and safe from cycles. A hierarchy deeper than `most` is an error."""
     seen = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, most):
+    for depth in range(1, most + 1):
         front = cut(nodes.join(front.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(front))
-    return seen
+    raise ValueError(f"the hierarchy below {root!r} is deeper than {most}")

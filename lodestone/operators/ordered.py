@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 
-def saturation(obs: DataFrame, novelty: Column, least: int = 3, window: int = 3, threshold: float = 0.03) -> DataFrame:
-    """Adds novelty and saturated: enough observations, and none of the last `window` above the threshold. One row an iteration."""
+
+def saturation(obs: DataFrame, novelty: Column, least: int = 3, window: int = 3, threshold: float = 0.03, stable: Column | None = None) -> DataFrame:
+    """Adds novelty and saturated: enough observations, none of the last `window` above the threshold, and strata that are stable, if that is asked for. One row an iteration."""
     w = Window.orderBy("iteration")
     d = obs.withColumn("novelty", novelty)
-    return d.withColumn("saturated", (F.row_number().over(w) >= max(least, window)) & (F.max("novelty").over(w.rowsBetween(1 - window, 0)) <= threshold))
+    done = (F.row_number().over(w) >= max(least, window)) & (F.max("novelty").over(w.rowsBetween(1 - window, 0)) <= threshold)
+    return d.withColumn("saturated", done if stable is None else done & stable)
 
 
 def audited_novelty(retrieved: Column, **new: Column) -> Column:
@@ -26,16 +29,24 @@ def first_seen(events: DataFrame, item: str, iteration: str) -> DataFrame:
     return per.withColumn("cumulative", F.sum("new_items").over(Window.orderBy(iteration)))
 
 
-def keep_best(rows: DataFrame, key: list[str], best: list[Column]) -> DataFrame:
-    """One row of each key, the first in the order given; computed as a minimum, so that it is combined before the shuffle."""
-    r = F.row_number().over(Window.partitionBy(*key).orderBy(*best))
-    return rows.withColumn("_r", r).where("_r = 1").drop("_r")
+def keep_best(rows: DataFrame, key: list[str], sequence: list[str]) -> DataFrame:
+    """Of each key the row that is last by sequence; a maximum, so rows are combined before the shuffle. Rows equal in the sequence should be equal."""
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(*key).agg(F.max_by(own, F.struct(*sequence)).alias("_row")).select("_row.*")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds a place from 0 on over all rows, without one task that holds them: sorted ranges are counted, and each starts where those before it end."""
+    d = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    ends = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_at", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return d.withColumn("_i", within).join(F.broadcast(ends.select("_p", "_at")), "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
 
 
 def batches(clauses: DataFrame, order: list[Column], text: str, size: int = 8, group: str | None = None) -> DataFrame:
     """Ordered clauses in chunks of `size`: offset, n and the OR string."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(1))).orderBy(*order)
-    d = clauses.withColumn("_i", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("_i") / size))
+    d = clauses.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) if group else numbered(clauses, order, "_i")
+    d = d.withColumn("batch", F.floor(F.col("_i") / size))
     keys = [group] if group else []
     return d.groupBy(*keys, "batch").agg(F.min("_i").cast("long").alias("offset"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", text))), lambda x: x[text]), " OR ").alias("rendered"))
 
@@ -62,3 +73,30 @@ def attach_aliases(assertions: DataFrame, known: DataFrame) -> DataFrame:
     d = assertions.join(l, "left_id", "left").join(r, "right_id", "left")
     outcome = F.when(F.col("left_work").isNull() & F.col("right_work").isNull(), "unresolved").when(F.col("left_work").isNull() | F.col("right_work").isNull(), "attached").when(F.col("left_work") == F.col("right_work"), "same").otherwise("conflict")
     return d.withColumn("outcome", outcome).withColumn("work", F.when(outcome != "conflict", F.coalesce("left_work", "right_work")))
+
+
+def counts(parts: dict[str, tuple[DataFrame, Column | None]]) -> DataFrame:
+    """One row of named counts; tables that several counts share are read once for all of them."""
+    own: dict[int, list[str]] = {}
+    for k, (df, _) in parts.items():
+        own.setdefault(id(df), []).append(k)
+    out = None
+    for names in own.values():
+        one = parts[names[0]][0].agg(*[(F.count("*") if parts[k][1] is None else F.count_if(parts[k][1])).alias(k) for k in names])
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out.select(*parts)
+
+
+def snapshot(groups: dict[str, tuple[DataFrame, str]], tables: dict[str, DataFrame], gaps: dict[str, str]) -> DataFrame:
+    """kind, name, n: counts by each group's column (nulls left out), counts of tables, and a gap for each that is empty."""
+    told = [df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n") for kind, (df, c) in groups.items()]
+    sizes = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit("metric").alias("kind"), F.lit(name).alias("name"), "n")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    empty = F.create_map(*[F.lit(x) for k, v in gaps.items() for x in (k, v)])
+    lacks = sizes.where("n = 0").select(F.lit("gap").alias("kind"), empty[F.col("name")].alias("name"), "n").where("name IS NOT NULL")
+    out = sizes.unionByName(lacks)
+    for d in told:
+        out = d.unionByName(out)
+    return out

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, title_norm
+from ..functions.text import casefold, reference_ids, title_norm, word_tokens
+
+# fixed values: what tells sections on problems and on methods
+PROBLEM_HINTS = ("problem", "objective", "we seek", "we solve", "we consider", "estimate", "infer", "optimize", "simulate", "predict", "control", "reconstruct")
+METHOD_HINTS = ("method", "algorithm", "procedure", "solver", "implementation", "numerical", "experimental setup")
 
 
 def filled(c: Column, kind: str) -> Column:
@@ -99,3 +103,22 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
     a = left.select(F.col("id").alias("left_id"), multiset(F.col("tokens")).alias("a"))
     b = right.select(F.col("id").alias("right_id"), multiset(F.col("tokens")).alias("b"))
     return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", weighted_jaccard(F.col("a"), F.col("b")).alias("score"))
+
+
+def intelligence(sections: Column, references: Column) -> Column:
+    """struct of counts over sections(kind, text, equations), with how many hint at a problem or a method, how many are dense in equations, and warnings."""
+    hinted = lambda hints: F.size(F.filter(sections, lambda s: casefold(s["text"]).rlike("|".join(hints))))
+    warnings = F.array_compact(F.array(F.when(F.size(sections) == 0, F.lit("document contains no parsed sections")), F.when(references == 0, F.lit("document contains no parsed references"))))
+    return F.struct(
+        F.size(sections).alias("sections"),
+        F.aggregate(sections, F.lit(0), lambda a, s: a + F.size(word_tokens(s["text"]))).alias("words"),
+        hinted(PROBLEM_HINTS).alias("problem_sections"),
+        hinted(METHOD_HINTS).alias("method_sections"),
+        F.size(F.filter(sections, lambda s: s["equations"] >= 2)).alias("math_dense"),
+        warnings.alias("warnings"),
+    )
+
+
+def reference(work: Column, place: Column, raw: Column) -> Column:
+    """A reference row from its raw text."""
+    return F.struct(work.alias("work_id"), place.alias("ord"), raw.alias("raw"), reference_ids(raw).alias("identifiers"))

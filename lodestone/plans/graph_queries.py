@@ -30,9 +30,7 @@ def records(t):
 
 
 def scored(t):
-    r = records(t)
-    tasks = lambda s: r.select(F.col("id").alias(f"{s}_id"), F.col("task").alias(f"{s}_task"))
-    return similarity.score_pairs(r).join(tasks("left"), "left_id").join(tasks("right"), "right_id").withColumn("structure", similarity.structural())
+    return similarity.score_pairs(records(t)).withColumn("structure", similarity.structural())
 
 
 @query("SELECT a.l_orderkey AS left_id, b.l_orderkey AS right_id, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2")
@@ -76,26 +74,13 @@ def hierarchy_closure(t):
 
 @query("WITH " + SCORED + ' SELECT left_id, right_id, round(structure, 6) AS structure, round(lexical, 6) AS lexical FROM st')
 def pair_similarity(t):
-    """Scores of all pairs that share anything."""
+    """Scores of all pairs that share anything."""
     return scored(t).select("left_id", "right_id", F.round("structure", 6).alias("structure"), F.round("lexical", 6).alias("lexical"))
 
 
-@query("WITH " + SCORED + " SELECT left_id, right_id, CASE WHEN structure >= 0.55 AND lexical <= 0.65 THEN 'shared_mathematical_form' WHEN lexical >= 0.70 AND structure < 0.35 THEN 'lexical_resemblance' WHEN structure >= 0.35 THEN 'analogy' ELSE 'unresolved' END AS relation, round(greatest(0, 1 - 0.55 * lexical), 6) AS independence FROM st")
-def relation_labels(t):
-    """Independence and relation of each pair."""
-    return scored(t).select("left_id", "right_id", similarity.relation_label(F.col("structure"), F.col("lexical")).alias("relation"), F.round(similarity.independence(F.col("lexical"), F.lit(0.0)), 6).alias("independence"))
-
-
-@query("WITH " + SCORED + " SELECT left_id, right_id, round(least(1, 0.65 * structure + 0.25 * (1 - lexical) + 0.10), 6) AS score FROM st WHERE lt <> rt AND structure >= 0.2 AND lexical <= 0.65")
-def cross_domain_candidates(t):
-    """Pairs of unlike domains, alike in structure."""
-    d = scored(t).where("left_task <> right_task AND structure >= 0.2 AND lexical <= 0.65")
-    return d.select("left_id", "right_id", F.round(similarity.cross_domain_score(F.col("structure"), 1 - F.col("lexical"), F.lit(True)), 6).alias("score"))
-
-
 @query("WITH RECURSIVE " + SCORED + ", e AS MATERIALIZED (SELECT left_id AS a, right_id AS b FROM st WHERE structure >= 0.3 UNION ALL SELECT right_id, left_id FROM st WHERE structure >= 0.3), r AS (SELECT item_id AS id, item_id AS reached FROM benchmark UNION SELECT e.a, r.reached FROM r JOIN e ON e.b = r.id), c AS (SELECT id, min(reached) AS component FROM r GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM c")
 def threshold_components(t):
-    """Components of pairs above a threshold, single ones kept."""
+    """Components of pairs above a threshold, single ones kept."""
     ids = t("benchmark").select(F.col("item_id").alias("id"))
     return graph.threshold_components(ids, scored(t).withColumnRenamed("structure", "score"), 0.3)
 

@@ -1,22 +1,28 @@
-"""Cut lineage in the folder that all executors share."""
+"""Cut lineage in the folder that all executors share, and broadcast only what is measured to be small."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
 
-#: Only for sessions that name no folder, as in tests.
-FALLBACK = "/tmp/checkpoints"
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to spark.checkpoint.dir and go on from the written rows, which outlive executors."""
+    """Write df to spark.checkpoint.dir and go on from the written rows, which outlive executors.
+
+    A session that names no folder gets one of its own if it runs in one process, as in tests; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or FALLBACK)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
-def bytes_at_most(df: DataFrame, row_bytes: int, limit: int) -> bool:
-    """Whether df has so few rows, of row_bytes at most, that it stays under limit bytes. Reads no more rows than that."""
-    n = limit // max(1, row_bytes) + 1
-    return df.limit(n).count() < n
+def sent(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """df, a cut table, to be sent to every task if all its rows, as measured, stay under limit bytes, else as it is."""
+    each = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= limit else df

@@ -21,20 +21,20 @@ def coverage_strata(t):
 
 @query("SELECT source, count(*) AS docs, count(DISTINCT lang) AS langs, sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END)::BIGINT AS long_docs FROM documents GROUP BY source")
 def coverage_snapshot(t):
-    """Counts by source."""
+    """Counts by source."""
     return t("documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 2000).alias("long_docs"))
 
 
 @query("SELECT o_orderpriority AS stage, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::BIGINT AS p FROM orders GROUP BY 1")
 def queue_stats(t):
-    """Statuses of each stage, none left out."""
+    """Statuses of each stage, none left out."""
     d = t("orders").groupBy(F.col("o_orderpriority").alias("stage")).pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
     return d.select("stage", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 1")
 def claim_next(t):
-    """The next job by priority, due time and id."""
+    """the next job by priority, due time and id."""
     return t("orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
 
 
@@ -58,32 +58,32 @@ def saturation(t):
     return d.select(F.col("iteration").cast("string").alias("day"), F.round("novelty", 6).alias("novelty"), "saturated")
 
 
-@query(_FS + ", v AS (SELECT d, least(1, (new_items + 0.35 * new_items + 0.20 * retrieved * 0.1) / retrieved::DOUBLE) AS novelty FROM x) SELECT CAST(d AS VARCHAR) AS day, round(novelty, 6) AS novelty, row_number() OVER (ORDER BY d) >= 4 AND max(novelty) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= 0.04 AS saturated FROM v")
+@query(_FS + ", v AS (SELECT d, least(1, (new_items + 0.35 * new_items + 0.20 * retrieved * 0.1) / retrieved::DOUBLE) AS novelty, retrieved % 3 <> 0 AS stable FROM x) SELECT CAST(d AS VARCHAR) AS day, round(novelty, 6) AS novelty, stable AND row_number() OVER (ORDER BY d) >= 4 AND max(novelty) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= 0.04 AS saturated FROM v")
 def audited_saturation(t):
-    """The same with weighted novelty."""
+    """The same with weighted novelty, on days whose strata are stable."""
     n = ordered.audited_novelty(F.col("retrieved"), works=F.col("new_items"), terms=F.col("new_items"), citations=F.col("retrieved") * 0.1)
-    d = ordered.saturation(_seen(t).withColumnRenamed("d", "iteration"), n, 4, 3, 0.04)
+    d = ordered.saturation(_seen(t).withColumnRenamed("d", "iteration"), n, 4, 3, 0.04, F.col("retrieved") % 3 != 0)
     return d.select(F.col("iteration").cast("string").alias("day"), F.round("novelty", 6).alias("novelty"), "saturated")
 
 
 _PR = "WITH s AS (SELECT source, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END) AS u, avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0 END) AS n, avg(CASE WHEN lang = 'de' THEN 1.0 ELSE 0 END) AS g FROM documents GROUP BY source)"
 
 
-@query(_PR + " SELECT source, round(least(1, greatest(0, 0.30 * u + 0.25 * n + 0.30 * g)), 6) AS score, array_to_string(list_filter([CASE WHEN g >= 0.5 THEN 'coverage_gap' END, CASE WHEN u >= 0.5 THEN 'uncertainty' END, CASE WHEN n >= 0.5 THEN 'novelty' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s")
+@query(_PR + " SELECT source, round(least(1, greatest(0, 0.30 * u + 0.25 * n + 0.30 * g + 0.10 * (1 - u))), 6) AS score, concat_ws(',', CASE WHEN g >= 0.5 THEN 'large coverage gap' END, CASE WHEN u >= 0.5 THEN 'high uncertainty' END, CASE WHEN n >= 0.5 THEN 'high recent novelty' END, CASE WHEN 1 - u >= 0.5 THEN 'historical terminology/decade gap' END) AS reasons FROM s")
 def retrieval_priority(t):
     """weighted priority and its reasons."""
     share = lambda c: F.avg(c.cast("double"))
     d = t("documents").groupBy("source").agg(share(F.col("lang") == "en").alias("u"), share(F.col("n_chars") > 2000).alias("n"), share(F.col("lang") == "de").alias("g"))
-    score, why = coverage.priority(F.col("u"), F.col("n"), F.col("g"), F.lit(0.0), F.lit(0.0))
+    score, why = coverage.priority(F.col("u"), F.col("n"), F.col("g"), 1 - F.col("u"), F.lit(0.0))
     return d.select("source", F.round(score, 6).alias("score"), why.alias("reasons"))
 
 
-@query(_PR + " SELECT source, CASE WHEN n < 0.2 THEN 'stop' WHEN g >= 0.6 AND u >= 0.3 THEN 'widen_providers' ELSE 'review' END AS action FROM s")
+@query("WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS v, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS e FROM events GROUP BY 1) SELECT user_id, CASE WHEN n % 7 = 0 THEN 'saturated' WHEN e % 5 = 0 THEN 'expand_terms' WHEN user_id % 4 = 0 THEN 'review_gap' WHEN n % 10 / 10.0 >= 0.6 THEN 'target_history' WHEN e % 10 / 10.0 >= 0.6 AND n % 3 / 3.0 >= 0.3 THEN 'add_provider' ELSE 'continue' END AS action FROM s")
 def feedback_decision(t):
-    """What to do next for each source."""
-    share = lambda c: F.avg(c.cast("double"))
-    d = t("documents").groupBy("source").agg(share(F.col("lang") == "en").alias("u"), share(F.col("n_chars") > 2000).alias("n"), share(F.col("lang") == "de").alias("g"))
-    return d.select("source", coverage.feedback(F.col("n") < 0.2, F.lit(0), F.lit(0.0), F.col("g"), F.col("u")).alias("action"))
+    """What to do next, of each of the branches."""
+    d = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    some = lambda c: F.when(F.col("user_id") % 4 != 0, c)
+    return d.select("user_id", coverage.feedback(F.col("n") % 7 == 0, F.when(F.col("e") % 5 == 0, 1).otherwise(0), some(F.col("n") % 10 / 10), some(F.col("e") % 10 / 10), some(F.col("n") % 3 / 3)).alias("action"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'not_retrievable' WHEN p_size < 20 THEN 'rights_unknown' WHEN p_size < 30 THEN 'not_permitted' ELSE 'allowed' END AS decision FROM part")
@@ -93,36 +93,40 @@ def rights_filter(t):
     return t("part").select("p_partkey", coverage.decide(F.when(F.col("p_size") < 10, "gone").otherwise("retrievable"), permission).alias("decision"))
 
 
-@query("WITH a AS (SELECT p_partkey, p_brand, CASE p_size % 4 WHEN 0 THEN 100 WHEN 1 THEN 85 WHEN 2 THEN 70 ELSE 40 END AS rank FROM part) SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY rank DESC, p_partkey) AS place FROM a")
+_REP = "CASE p_partkey % 14 WHEN 0 THEN 'JATS' WHEN 1 THEN 'xml' WHEN 2 THEN 'tei' WHEN 3 THEN 'tex' WHEN 4 THEN 'latex' WHEN 5 THEN 'source' WHEN 6 THEN 'html' WHEN 7 THEN 'text' WHEN 8 THEN 'plain_text' WHEN 9 THEN 'abstract' WHEN 10 THEN 'pdf' WHEN 11 THEN 'landing_page' ELSE 'figure' END"
+_MIME = "CASE p_size % 6 WHEN 0 THEN 'application/jats+xml' WHEN 1 THEN 'application/tei+xml' WHEN 2 THEN 'text/html' WHEN 3 THEN 'Text/plain' WHEN 4 THEN 'application/xhtml+html' END"
+
+
+@query(f"WITH a AS (SELECT p_partkey, p_size, lower({_REP}) AS r, lower(coalesce({_MIME}, '')) AS m FROM part), s AS (SELECT *, CASE r WHEN 'jats' THEN 100 WHEN 'xml' THEN 90 WHEN 'tei' THEN 90 WHEN 'tex' THEN 85 WHEN 'latex' THEN 85 WHEN 'source' THEN 80 WHEN 'html' THEN 70 WHEN 'text' THEN 60 WHEN 'plain_text' THEN 60 WHEN 'abstract' THEN 50 WHEN 'pdf' THEN 10 WHEN 'landing_page' THEN 0 ELSE 20 END AS own, CASE WHEN m LIKE '%jats%' THEN 100 WHEN m LIKE '%tei%' THEN 90 WHEN m LIKE '%tex%' THEN 85 WHEN m LIKE '%html%' THEN 70 WHEN m LIKE 'text/%' THEN 60 ELSE 0 END AS raised FROM a) SELECT p_partkey AS id, CAST(greatest(own, raised) AS INTEGER) AS score FROM s WHERE p_size % 5 <> 0 AND p_size % 7 NOT IN (0, 1) AND p_partkey % 3 <> 0")
 def asset_rank(t):
-    """assets of each work by representation."""
-    kind = F.element_at(F.array(*map(F.lit, ("jats", "tex", "html", "pdf"))), F.col("p_size") % 4 + 1)
-    d = t("part").withColumn("rank", coverage.asset_rank(kind))
-    return d.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("rank").desc(), "p_partkey")).alias("place"))
+    """Assets that may be mined and kept, by representation and MIME type."""
+    permission = lambda n: F.when(F.col("p_size") % 7 == n, "denied").when(F.col("p_partkey") % 3 != 0, "allowed").alias("tdm" if n else "retention")
+    d = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "gone").otherwise("retrievable").alias("availability"), permission(1), permission(0), F.expr(_REP).alias("representation"), F.expr(_MIME).alias("mime"))
+    return coverage.rank_assets(d)
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS o_orderkey FROM orders GROUP BY o_custkey")
 def upsert_last_wins(t):
-    """The last order of each customer."""
-    return ordered.keep_best(t("orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey")
+    """The last order of each customer."""
+    return ordered.keep_best(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT o_custkey, (SELECT max_by(o_totalprice, (o_orderdate, o_orderkey)) FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F') AS last_filled FROM orders o GROUP BY o_custkey")
 def upsert_keep_nonnull(t):
-    """The last value that isn't null."""
+    """L3: the last value that isn't null."""
     d = t("orders").select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("last_filled"))
     return ordered.upsert_keep(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["last_filled"])
 
 
 @query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
 def insert_if_absent(t):
-    """Rows with new keys only."""
+    """Rows with new keys only."""
     return ordered.insert_absent(t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")), t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), ["k"])
 
 
 @query("SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL AND s.s_suppkey IS NULL THEN 'unresolved' WHEN c.c_custkey IS NULL OR s.s_suppkey IS NULL THEN 'attached' WHEN c.c_nationkey = s.s_nationkey THEN 'same' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN supplier s ON o_orderkey = s_suppkey")
 def alias_attachment(t):
-    """Both ends of an assertion resolved, attached or in conflict."""
+    """Both ends of an assertion resolved, attached or in conflict."""
     known = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("identifier"), F.col("c_nationkey").alias("work")).unionByName(t("supplier").select(F.concat(F.lit("s"), "s_suppkey"), "s_nationkey").toDF("identifier", "work"))
     a = t("orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("left_id"), F.concat(F.lit("s"), "o_orderkey").alias("right_id"))
     return ordered.attach_aliases(a, known).select("o_orderkey", "outcome")
@@ -135,15 +139,6 @@ def integrity_status(t):
     return d.select("c_custkey", F.when(F.col("n") == 0, "unknown").when(F.col("risk"), "attention_required").otherwise("assertions_present").alias("status"))
 
 
-@query("SELECT r_regionkey, n_nationkey, round(0.35 * (CASE WHEN r_regionkey = n_regionkey THEN 1 ELSE 0.25 END) + 0.30 * 0.5 + 0.35 * (CASE WHEN lower(substr(r_name, 1, 1)) = lower(substr(n_name, 1, 1)) THEN 1.0 ELSE 0 END), 6) AS score FROM region, nation")
-def cross_match_score(t):
-    """Each of a fixed, small catalogue against all rows."""
-    d = t("nation").join(F.broadcast(t("region")), F.lit(True))
-    task = F.when(F.col("r_regionkey") == F.col("n_regionkey"), 1.0).otherwise(0.25)
-    access = F.when(F.lower(F.substring("r_name", 1, 1)) == F.lower(F.substring("n_name", 1, 1)), 1.0).otherwise(0.0)
-    return d.select("r_regionkey", "n_nationkey", F.round(0.35 * task + 0.30 * 0.5 + 0.35 * access, 6).alias("score"))
-
-
 @query("SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 500 AS exhausted FROM events")
 def budget_exhausted(t):
     """Whether the running cost has reached its cap."""
@@ -153,13 +148,12 @@ def budget_exhausted(t):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_records(t):
-    """Typed fields of JSON records."""
+    """A1, A4: typed fields of JSON records."""
     return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type IN (SELECT min(event_type) FROM events UNION SELECT max(event_type) FROM events)")
+@query("SELECT user_id FROM events UNION SELECT o_custkey FROM orders UNION SELECT s_suppkey FROM supplier")
 def union_of_ids(t):
-    """The distinct union over providers."""
-    e = t("events")
-    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).select(F.explode(F.array("a", "b")).alias("event_type"))
-    return e.join(F.broadcast(ends), "event_type", "left_semi").select("user_id").distinct()
+    """The distinct union of ids over providers, each made distinct before it is moved."""
+    ids = [t("events").select("user_id"), t("orders").select("o_custkey"), t("supplier").select("s_suppkey")]
+    return ids[0].distinct().union(ids[1].distinct()).union(ids[2].distinct()).toDF("user_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sets, text
-from ..operators import ordered, vocabulary
+from ..operators import ordered, records, vocabulary
 from ..sources import documents as parsers
 from .registry import query
 
@@ -44,18 +44,24 @@ def keyword_families(t):
     return t("documents").select("doc_id", F.array_join(text.keyword_hits(F.col("text"), LEXICON), ",").alias("families"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9_''-]*')) AS INTEGER) AS words, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS lines, contains(lower(coalesce(text, '')), 'license') AS flagged FROM documents")
+_LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents"
+_ANY = lambda hints: " OR ".join(f"contains(f, '{h}')" for h in hints)
+
+
+@query(f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, i, x, replace(lower(x), 'ß', 'ss') AS f FROM l WHERE trim(x) <> ''), g AS (SELECT doc_id, count(*) AS sections, sum(len(regexp_extract_all(x, '[A-Za-z0-9][A-Za-z0-9_''-]*'))) AS words, sum(CASE WHEN {_ANY(records.PROBLEM_HINTS)} THEN 1 ELSE 0 END) AS problem, sum(CASE WHEN {_ANY(records.METHOD_HINTS)} THEN 1 ELSE 0 END) AS method, sum(CASE WHEN len(regexp_extract_all(x, '[A-Za-z] = ')) >= 2 THEN 1 ELSE 0 END) AS dense FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(sections, 0) AS INTEGER) AS sections, CAST(coalesce(words, 0) AS INTEGER) AS words, CAST(coalesce(problem, 0) AS INTEGER) AS problem_sections, CAST(coalesce(method, 0) AS INTEGER) AS method_sections, CAST(coalesce(dense, 0) AS INTEGER) AS math_dense, CASE WHEN sections IS NULL THEN 'document contains no parsed sections,' ELSE '' END || 'document contains no parsed references' AS warnings FROM documents LEFT JOIN g USING (doc_id)""")
 def document_intelligence(t):
-    """Word and section counts with a hint flag."""
-    c = F.coalesce("text", F.lit(""))
-    return t("documents").select("doc_id", F.size(text.word_tokens(c)).alias("words"), F.size(F.split(c, "\n")).alias("lines"), F.contains(F.lower(c), F.lit("license")).alias("flagged"))
+    """Words, sections with hints of problems and methods, sections dense in equations, and warnings. Sections are the lines with ink."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    section = F.transform(lines, lambda x: F.struct(F.lit("body").alias("kind"), x.alias("text"), F.size(text.every(x, "[A-Za-z] = ")).alias("equations")))
+    return t("documents").select("doc_id", records.intelligence(section, F.lit(0)).alias("r")).select("doc_id", *[f"r.{c}" for c in ("sections", "words", "problem_sections", "method_sections", "math_dense")], F.array_join("r.warnings", ",").alias("warnings"))
 
 
-@query(f"WITH f AS (SELECT p_partkey, {FORMULA} AS x FROM part) SELECT p_partkey, array_to_string(regexp_extract_all(x, '\\\\[A-Za-z]+|[A-Za-z]+(?:_[A-Za-z0-9]+)?|[0-9]+(?:\\.[0-9]+)?|==|<=|>=|!=|[^\\s]'), ' ') AS tokens, sha256(regexp_replace(x, '\\s+', '', 'g')) AS exact FROM f".replace("\\\\\\\\", "\\\\"))
+@query(f"WITH f AS (SELECT p_partkey, {FORMULA} AS x FROM part) SELECT p_partkey, array_to_string(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|==|<=|>=|!=|[-+*/^_=<>()\\[\\]{{}},]'), ' ') AS tokens, sha256(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS exact FROM f")
 def latex_tokens(t):
-    """Tokens and the whitespace-free hash of a formula."""
+    """H7: tokens and the hash of a formula's spelling."""
     d = t("part").select("p_partkey", _formula().alias("x"))
-    return d.select("p_partkey", F.array_join(text.latex_tokens(F.col("x")), " ").alias("tokens"), F.sha2(F.regexp_replace("x", r"\s+", ""), 256).alias("exact"))
+    return d.select("p_partkey", F.array_join(text.latex_tokens(F.col("x")), " ").alias("tokens"), F.sha2(text.collapse(F.col("x")), 256).alias("exact"))
 
 
 @query(f"""WITH f AS (SELECT p_partkey, regexp_extract_all({FORMULA}, '\\\\?[A-Za-z]+|[^A-Za-z\\\\]+|\\\\') AS p FROM part), g AS (SELECT p_partkey, p, list_filter(p, lambda x: regexp_full_match(x, '[A-Za-z]+')) AS v FROM f), u AS (SELECT p_partkey, p, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM g)
@@ -73,20 +79,30 @@ def stable_ids(t):
 
 @query("""SELECT p_partkey, 'sha256:' || sha256('{"brand":"' || p_brand || '","name":"' || p_name || '"}') AS fingerprint FROM part""")
 def fingerprints(t):
-    """H2-H5: hashes of compact sorted JSON."""
+    """H2-H4: hashes of compact sorted JSON."""
     return t("part").select("p_partkey", text.canonical_fingerprint(name=F.col("p_name"), brand=F.col("p_brand")).alias("fingerprint"))
 
 
-_IDS = "CASE p_partkey % 6 WHEN 0 THEN 'https://doi.org/10.1/A' || p_partkey WHEN 1 THEN 'PMID: ' || p_partkey WHEN 2 THEN 'pmc' || p_partkey WHEN 3 THEN 'arXiv:2401.0' || p_partkey WHEN 4 THEN 'W' || p_partkey ELSE 'none ' || p_partkey END"
+_IDS = "CASE p_partkey % 13 WHEN 0 THEN 'https://doi.org/10.1/A' || p_partkey || '?x=1' WHEN 1 THEN 'PMID: ' || p_partkey WHEN 2 THEN 'pmc' || p_partkey WHEN 3 THEN 'arXiv:2401.0' || p_partkey WHEN 4 THEN 'W' || p_partkey WHEN 5 THEN 'DOI:10.2/B' || p_partkey WHEN 6 THEN 'pmcid:pmc' || p_partkey WHEN 7 THEN '2401.' || lpad(CAST(p_partkey AS STRING), 5, '0') || 'v2' WHEN 8 THEN 'https://api.openalex.org/works/W' || p_partkey || '/' WHEN 9 THEN 'openalex:W' || p_partkey WHEN 10 THEN '10.x.y/Z' || p_partkey WHEN 11 THEN 'http://dx.doi.org/10.1/q' ELSE 'none ' || p_partkey END"
 
 
-@query(f"WITH i AS (SELECT p_partkey AS k, {_IDS} AS v FROM part) SELECT k AS p_partkey, CASE k % 6 WHEN 0 THEN 'doi' WHEN 1 THEN 'pmid' WHEN 2 THEN 'pmcid' WHEN 3 THEN 'arxiv' WHEN 4 THEN 'openalex' END AS scheme, CASE k % 6 WHEN 0 THEN '10.1/a' || k WHEN 1 THEN CAST(k AS VARCHAR) WHEN 2 THEN 'PMC' || k WHEN 3 THEN '2401.0' || k WHEN 4 THEN 'W' || k END AS value FROM i")
+@query("SELECT k AS p_partkey, CASE k % 13 WHEN 0 THEN 'doi' WHEN 1 THEN 'pmid' WHEN 2 THEN 'pmcid' WHEN 3 THEN 'arxiv' WHEN 4 THEN 'openalex' WHEN 5 THEN 'doi' WHEN 6 THEN 'pmcid' WHEN 7 THEN 'arxiv' WHEN 8 THEN 'openalex' WHEN 9 THEN 'openalex' WHEN 10 THEN 'doi' END AS scheme, CASE k % 13 WHEN 0 THEN '10.1/a' || k WHEN 1 THEN ' ' || k WHEN 2 THEN 'PMC' || k WHEN 3 THEN '2401.0' || k WHEN 4 THEN 'W' || k WHEN 5 THEN '10.2/b' || k WHEN 6 THEN 'PMC' || k WHEN 7 THEN '2401.' || lpad(CAST(k AS VARCHAR), 5, '0') || 'v2' WHEN 8 THEN 'W' || k WHEN 9 THEN 'W' || k WHEN 10 THEN '10.x.y/z' || k END AS value FROM (SELECT p_partkey AS k FROM part)")
 def identifier_parse(t):
     """Scheme and normal form of identifiers in many spellings."""
     d = t("part").select("p_partkey", F.expr(_IDS).alias("v")).withColumn("id", text.parse_identifier(F.col("v")))
     return d.select("p_partkey", F.col("id.scheme").alias("scheme"), F.col("id.value").alias("value"))
 
 
+_REF = "CASE p_partkey % 4 WHEN 0 THEN 'See doi 10.1234/AB.' || p_partkey || '.; and pmid: ' || (123456 + p_partkey) WHEN 1 THEN 'arXiv: 2401.' || (10000 + p_partkey % 1000) || 'v3, PMID12345' WHEN 2 THEN 'nothing' ELSE '(10.5555/x' || p_partkey || ')' END"
+
+
+@query("SELECT p_partkey, p_size AS ord, CASE p_partkey % 4 WHEN 0 THEN 'doi=10.1234/ab.' || p_partkey || ',pmid=' || (123456 + p_partkey) WHEN 1 THEN 'arxiv=2401.' || (10000 + p_partkey % 1000) || 'v3' WHEN 2 THEN '' ELSE 'doi=10.5555/x' || p_partkey END AS identifiers FROM part")
+def reference_records(t):
+    """References as records with the identifiers that their text names."""
+    d = t("part").select("p_partkey", records.reference(F.col("p_partkey").cast("string"), F.col("p_size"), F.expr(_REF)).alias("r"))
+    return d.select("p_partkey", F.col("r.ord").alias("ord"), F.array_join(F.transform(F.map_entries("r.identifiers"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("identifiers"))
+
+
 @query("SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON trim(lower(a.p_name)) = trim(lower(b.p_name)) AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def exact_identity(t):
     """Pairs with one normalised title within a brand."""
@@ -116,13 +132,15 @@ def query_batches(t):
     return ordered.batches(d, [F.col("p_retailprice").desc(), F.col("p_partkey")], "q", 8, "p_brand")
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '?') THEN 'has' ELSE 'none' END AS params, url AS redacted FROM (SELECT page_id, url FROM pages)")
+@query("SELECT page_id, regexp_replace(url, '[?#].*', '') || '?page=' || page_id || CASE page_id % 3 WHEN 0 THEN '&API_KEY=%3Credacted%3E' WHEN 1 THEN '&Authorization=%3Credacted%3E&q=a+b%2F%C3%A9' ELSE '&mailto=%3Credacted%3E&blank=' END || '#top' AS redacted FROM pages")
 def url_redaction(t):
-    """The pages' URLs, secrets hidden (they have none)."""
-    return t("pages").select("page_id", F.when(F.contains("url", F.lit("?")), "has").otherwise("none").alias("params"), text.redacted_url(F.col("url")).alias("redacted"))
+    """The pages' addresses with parameters of each kind, secrets hidden and the rest encoded anew."""
+    more = F.expr("CASE page_id % 3 WHEN 0 THEN '&API_KEY=s%20x' WHEN 1 THEN '&Authorization=Bearer+1&q=a%20b/é' ELSE '&mailto=a@b.c&&blank' END")
+    url = F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("?page="), "page_id", more, F.lit("#top"))
+    return t("pages").select("page_id", text.redacted_url(url).alias("redacted"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS text FROM pages")
 def clean_markup(t):
     """Tags to spaces, whitespace collapsed."""
     return t("pages").select("page_id", text.clean_markup(F.col("html")).alias("text"))
@@ -141,8 +159,9 @@ def set_jaccard(t):
     return t("part").select("p_partkey", F.round(sets.jaccard(F.split("p_name", " "), F.split(F.lower("p_type"), " ")), 6).alias("jaccard"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT lang, w AS token, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM n JOIN documents USING (doc_id) WHERE len(w) >= 12 GROUP BY lang, w HAVING sum(n) >= 5")
+@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT lang, w AS token, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM n JOIN documents USING (doc_id) GROUP BY lang, w")
 def token_multiset(t):
-    """Counts of long words by language, five at least."""
-    w = t("documents").select("doc_id", "lang", F.explode(text.every(F.lower("text"), "[a-z]+")).alias("token")).where(F.length("token") >= 12)
-    return w.groupBy("lang", "token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 5")
+    """Counts of words by language, and of the documents that hold them; a document's own words are counted before they move."""
+    own = F.map_entries(text.multiset(text.every(F.lower("text"), "[a-z]+")))
+    w = t("documents").select("lang", F.explode(own).alias("e")).select("lang", F.col("e.key").alias("token"), F.col("e.value").alias("n"))
+    return w.groupBy("lang", "token").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("docs"))

@@ -11,8 +11,9 @@ def one(spark, c):
 
 def test_formula_normal_form(spark):
     assert one(spark, text.alpha_normalize(F.lit("A x = lambda x"))) == "v1 v2 = v3 v2"
-    assert one(spark, text.alpha_normalize(F.lit(r"\sum_i x_i = 1"))) == r"\sum_v1 v2_v1 = 1"
+    assert one(spark, text.alpha_normalize(F.lit(r"\max_k u_k > 7"))) == r"\max_v1 v2_v1 > 7"
     assert one(spark, text.latex_tokens(F.lit(r"x_1 <= \left( y [z] )"))) == ["x_1", "<=", r"\left", "(", "y", "[", "z", "]", ")"]
+    assert one(spark, text.latex_tokens(F.lit("x1 | y_a? 2.5")))  == ["x1", "y_a", "2.5"]
 
 
 def test_reference_ids(spark):
