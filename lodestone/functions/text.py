@@ -115,6 +115,17 @@ def canonical_fingerprint(**fields: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256))
 
 
+def payload_fingerprint(payload: Column, without: str = "cursor") -> Column:
+    """sha256 of the compact JSON of a map, sorted by key, but for one key."""
+    own = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(payload, lambda k, _: k != without))))
+    return F.sha2(F.to_json(own), 256)
+
+
+def retry_delay(attempt: Column, retry_after: Column, base: float = 0.5, cap: float = 8.0) -> Column:
+    """Seconds before the next attempt: as the answer says, else doubling from base up to cap; the first attempt is 1."""
+    return F.coalesce(retry_after.cast("double"), F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt - 1)))
+
+
 def decade(year: Column) -> Column:
     return F.coalesce(F.concat((F.floor(year / 10) * 10).cast("string"), F.lit("s")), F.lit("unknown"))
 

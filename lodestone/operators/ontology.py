@@ -13,6 +13,9 @@ OTHER = 0.8
 # fixed values: the kinds that a precise query takes, and those that a balanced one leaves out
 PRECISE, UNBALANCED = ("preferred", "synonym", "abbreviation", "canonical"), ("related", "broader")
 
+# fixed values: stages of a search for high recall, and requests that each may make
+CASCADE = [(1, "controlled_vocabulary", 20), (2, "lexical", 20), (3, "historical_terms", 10), (4, "citation_expansion", 25), (5, "semantic", 15), (6, "related_works", 10)]
+
 
 def allowed(kind: Column, mode: str = "high_recall", historical: bool = True) -> Column:
     """Whether a mode (precision, balanced, high_recall) takes a kind of term."""

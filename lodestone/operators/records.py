@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, reference_ids, title_norm, word_tokens
+from ..functions.text import casefold, every, reference_ids, title_norm, word_tokens
 
 # fixed values: what tells sections on problems and on methods
 PROBLEM_HINTS = ("problem", "objective", "we seek", "we solve", "we consider", "estimate", "infer", "optimize", "simulate", "predict", "control", "reconstruct")
@@ -122,3 +122,13 @@ def intelligence(sections: Column, references: Column) -> Column:
 def reference(work: Column, place: Column, raw: Column) -> Column:
     """A reference row from its raw text."""
     return F.struct(work.alias("work_id"), place.alias("ord"), raw.alias("raw"), reference_ids(raw).alias("identifiers"))
+
+
+def document_text(sections: Column) -> Column:
+    """The sections with ink, a blank line between."""
+    return F.array_join(F.transform(F.filter(sections, lambda s: F.trim(s["text"]) != ""), lambda s: s["text"]), "\n\n")
+
+
+def token_set(c: Column) -> Column:
+    """The distinct folded tokens of three characters or more."""
+    return F.array_distinct(F.transform(every(c, r"[A-Za-z][A-Za-z0-9_-]{2,}"), casefold))
