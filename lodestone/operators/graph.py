@@ -22,8 +22,8 @@ def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, bloc
     if least > 1:
         e = cut(e)
         own = Window.partitionBy("node")
-        ranked = e.join(size, "by").withColumn("_r", F.row_number().over(own.orderBy("n", "by")))
-        met = ranked.where(F.col("_r") <= F.count("*").over(own) - (least - 1)).select("node", "by")
+        ranked = e.join(size, "by").withColumn("_r", F.row_number().over(own.orderBy("n", "by"))).withColumn("_all", F.count("*").over(own))
+        met = ranked.where(F.col("_r") <= F.col("_all") - (least - 1)).select("node", "by")
     crowded = not hot.isEmpty()
     plain = met.join(sent(hot.select("by")), "by", "left_anti") if crowded else met
     a, c = plain.withColumnRenamed("node", "left_id"), plain.withColumnRenamed("node", "right_id")

@@ -40,7 +40,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     d = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     ends = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_at", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # a row a range
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return d.withColumn("_i", within).join(F.broadcast(ends.select("_p", "_at")), "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
+    return d.withColumn("_own", within).join(F.broadcast(ends.select("_p", "_at")), "_p").withColumn(name, F.col("_at") + F.col("_own")).drop("_p", "_own", "_at")
 
 
 def batches(clauses: DataFrame, order: list[Column], text: str, size: int = 8, group: str | None = None) -> DataFrame:
