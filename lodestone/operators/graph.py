@@ -17,7 +17,8 @@ def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, bloc
     """
     e = edges.select(F.col(node).alias("node"), F.col(by).alias("by")).where("node IS NOT NULL AND by IS NOT NULL").distinct()
     size = e.groupBy("by").agg(F.count("*").alias("n"))
-    hot = cut(size.where(F.col("n") > block))
+    # repeated edges count too here: that only finds more to deal out, and takes no distinct
+    hot = cut(edges.groupBy(F.col(by).alias("by")).agg(F.count("*").alias("n")).where(F.col("by").isNotNull() & (F.col("n") > block)))
     met = e
     if least > 1:
         e = cut(e)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, every, reference_ids, title_norm, word_tokens
+from ..functions.text import casefold, every, let, reference_ids, title_norm, word_tokens
 
 # fixed values: what tells sections on problems and on methods
 PROBLEM_HINTS = ("problem", "objective", "we seek", "we solve", "we consider", "estimate", "infer", "optimize", "simulate", "predict", "control", "reconstruct")
@@ -107,16 +107,16 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
 
 def intelligence(sections: Column, references: Column) -> Column:
     """struct of counts over sections(kind, text, equations), with how many hint at a problem or a method, how many are dense in equations, and warnings."""
-    hinted = lambda hints: F.size(F.filter(sections, lambda s: casefold(s["text"]).rlike("|".join(hints))))
-    warnings = F.array_compact(F.array(F.when(F.size(sections) == 0, F.lit("document contains no parsed sections")), F.when(references == 0, F.lit("document contains no parsed references"))))
-    return F.struct(
-        F.size(sections).alias("sections"),
-        F.aggregate(sections, F.lit(0), lambda a, s: a + F.size(word_tokens(s["text"]))).alias("words"),
-        hinted(PROBLEM_HINTS).alias("problem_sections"),
-        hinted(METHOD_HINTS).alias("method_sections"),
-        F.size(F.filter(sections, lambda s: s["equations"] >= 2)).alias("math_dense"),
-        warnings.alias("warnings"),
-    )
+
+    def told(own):
+        # each section is read once
+        seen = F.transform(own, lambda s: let(casefold(s["text"]), lambda x: F.struct(F.size(word_tokens(s["text"])).alias("words"), x.rlike("|".join(PROBLEM_HINTS)).alias("problem"), x.rlike("|".join(METHOD_HINTS)).alias("method"), (s["equations"] >= 2).alias("dense"))))
+        warnings = F.array_compact(F.array(F.when(F.size(own) == 0, F.lit("document contains no parsed sections")), F.when(references == 0, F.lit("document contains no parsed references"))))
+        many = lambda z, c: F.size(F.filter(z, lambda s: s[c])).alias(f"{c}_sections")
+        counts = lambda z: F.struct(F.size(z).alias("sections"), F.aggregate(z, F.lit(0), lambda a, s: a + s["words"]).alias("words"), many(z, "problem"), many(z, "method"), F.size(F.filter(z, lambda s: s["dense"])).alias("math_dense"), warnings.alias("warnings"))
+        return let(seen, counts)
+
+    return let(sections, told)
 
 
 def reference(work: Column, place: Column, raw: Column) -> Column:
