@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 SENT_BYTES = 32 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to spark.checkpoint.dir and go on from the written rows, which outlive executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder under spark.checkpoint.dir, which the driver and all executors share.
 
     A session that names no folder gets one of its own if it runs in one process, as in tests; on a cluster that is an error.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to spark.checkpoint.dir and go on from the written rows, which outlive executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

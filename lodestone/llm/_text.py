@@ -52,7 +52,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of runs of rows; nulls count as empty."""
     text = batch.column(column)
     text = text.cast(pa.large_string()) if text.type != pa.large_string() else text
@@ -66,7 +66,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, n)
         yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j

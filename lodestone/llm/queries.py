@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, pii, sql, toxicity
+from . import chat_format, decontamination, lm_scoring, pii, sql, token_output, toxicity
+from ._cut import shared_folder
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
@@ -62,6 +64,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_output.write(_docs(spark, sf_dir, "doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.read(spark, folder, ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
