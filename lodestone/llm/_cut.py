@@ -41,13 +41,13 @@ def sent(df: DataFrame, limit: int = SENT_BYTES) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def spread(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: str) -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: str, send: bool = True) -> DataFrame:
     """left with the columns of right, null where right, one row a key with its number `n` of rows in left, has none.
 
-    A small right goes to every task. Else keys of very many rows are dealt to several tasks:
+    A small right goes to every task, if `send` allows it. Else keys of very many rows are dealt to several tasks:
     those of over `deal`, of which there are at most 250,000, whatever the size of left.
     """
-    if small(right):
+    if send and small(right):
         return left.join(F.broadcast(right), keys, "left")
     total = right.agg(F.sum(n)).first()[0] or 0
     deal = max(1024, total // 250_000)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, pii, sql, token_output, toxicity
-from ._cut import shared_folder
+from . import chat_format, decontamination, lm_scoring, pii, prefix_trie, sql, token_output, toxicity
+from ._cut import cut, shared_folder
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix
+from .rolling import rolling
 from .substring_dedup import substring_dedup
 
 
@@ -64,6 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling(_docs(spark, sf_dir, "doc_id", "source", "lang", "text"))
+
+
 def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +77,11 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, folder, ids=False)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie.trie(*prefix_trie.rebuilt(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
