@@ -141,3 +141,42 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 """
 
 ORACLES |= {"op9_pii": OP9}
+
+_CRC = "crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tbl FROM range(256) AS r(i))"
+
+
+def _crc32(v: str) -> str:
+    """crc32 of a number's decimal digits, byte by byte over the table `crc`."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({v} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+OP11 = f"""
+WITH {_CRC},
+d AS (SELECT doc_id, coalesce('s' || source, 'n') AS k, lang, length(text) AS n, 60 * ((doc_id + {_crc32('doc_id')} % 10000) // 6) AS t FROM documents, crc),
+w AS (SELECT doc_id, k, t, unnest([600, 43200]) AS w FROM d),
+f AS (SELECT w.doc_id, w.w, w.t, count(d.doc_id) AS n_events, coalesce(sum(d.n), 0) AS s, count(DISTINCT d.lang) AS l, list_sort(list(d.n) FILTER (d.n IS NOT NULL)) AS h
+      FROM w LEFT JOIN d ON w.k = d.k AND d.t >= w.t - w.w AND d.t < w.t GROUP BY ALL)
+SELECT doc_id, CAST(w AS BIGINT) AS window_s, CAST(t AS BIGINT) AS event_s, n_events, CAST(s AS BIGINT) AS sum_chars, l AS n_langs,
+       h[(len(h) + 1) // 2] AS median_chars, h[(90 * len(h) + 99) // 100] AS high_chars FROM f
+"""
+
+OP13 = f"""
+WITH {_CRC},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(pos) AS n, {_crc32('conv_id')} % 4 AS h FROM t, crc GROUP BY conv_id, tbl),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+r AS (SELECT k.conv_id, t.pos, role, text FROM k JOIN t ON t.conv_id = k.conv_id - k.conv_id % 20 AND t.pos <= k.h
+      UNION ALL SELECT k.conv_id, t.pos - h + taken, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+m AS (SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, list(sha256(strlen(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = (SELECT l.depth FROM l WHERE l.conv_id = m.conv_id)), '') AS ends FROM m GROUP BY path, depth),
+ch AS (SELECT path[:-2] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (path)),
+up AS (SELECT path[1:a] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM x) GROUP BY ALL)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN up USING (path) LEFT JOIN n p ON x.depth > 0 AND p.path = x.path[:-2]
+"""
+
+ORACLES |= {"op11_rolling": OP11, "op13_prefix_trie": OP13}
