@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sets, text
-from ..operators import coverage, graph, index, similarity
+from ..operators import coverage, graph, index, similarity, threshold_join
 from .registry import query
 
 #: benchmark items as records: the task is the number of words modulo 6, views are words by length
@@ -21,6 +21,9 @@ rec AS (SELECT id, 't' || CAST(n % 6 AS VARCHAR) AS task, CASE WHEN n % 2 = 0 TH
 JAC = "CASE WHEN len(list_distinct(list_concat(l.{0}, r.{0}))) > 0 THEN len(list_intersect(l.{0}, r.{0})) / len(list_distinct(list_concat(l.{0}, r.{0})))::DOUBLE ELSE 0 END AS {1}"
 SCORED = RECORDS + ", sc AS (SELECT l.id AS left_id, r.id AS right_id, l.task AS lt, r.task AS rt, CASE WHEN l.task = r.task THEN 1.0::DOUBLE ELSE 0 END AS task, CASE WHEN l.stochastic = r.stochastic THEN 1.0::DOUBLE ELSE 0 END AS stochastic, " + ", ".join(JAC.format('"constraint"' if v == "constraint" else v, f'"{v}"') for v in ("math", "operator", "constraint", "topology", "method", "lexical")) + ' FROM rec l JOIN rec r ON l.id < r.id), st AS (SELECT *, 0.18 * task + 0.22 * math + 0.18 * operator + 0.12 * "constraint" + 0.08 * topology + 0.08 * stochastic + 0.06 * method AS structure FROM sc WHERE task + math + operator + "constraint" + topology + method + lexical > 0)'
 
+#: of the aggregate, for pairs of a run
+LEAST = 0.30
+
 
 def records(t):
     a = F.transform(text.every(F.col("text"), "[A-Za-z]+"), F.lower)
@@ -51,12 +54,6 @@ def graph_degrees(t):
     return graph.degrees(t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS reached FROM u UNION SELECT u.a, r.reached FROM r JOIN u ON u.b = r.node) SELECT node, min(reached) AS label FROM r GROUP BY node")
-def weak_components(t):
-    """Components of the orders and parts joined by large lines, which SQL can follow; all_components takes every line."""
-    return graph.components(t("lineitem").where("l_quantity >= 49").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")))
-
-
 @query()
 def all_components(t):
     """Components of all orders and parts. No SQL: the recursive form is quadratic in a component."""
@@ -80,9 +77,25 @@ def pair_similarity(t):
 
 @query("WITH RECURSIVE " + SCORED + ", e AS MATERIALIZED (SELECT left_id AS a, right_id AS b FROM st WHERE structure >= 0.3 UNION ALL SELECT right_id, left_id FROM st WHERE structure >= 0.3), r AS (SELECT item_id AS id, item_id AS reached FROM benchmark UNION SELECT e.a, r.reached FROM r JOIN e ON e.b = r.id), c AS (SELECT id, min(reached) AS component FROM r GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM c")
 def threshold_components(t):
-    """Components of pairs above a threshold, single ones kept."""
+    """Components of pairs above a threshold, single ones kept; pairs meet at their rarest tokens."""
     ids = t("benchmark").select(F.col("item_id").alias("id"))
-    return graph.threshold_components(ids, scored(t).withColumnRenamed("structure", "score"), 0.3)
+    return graph.threshold_components(ids, threshold_join.pairs_above(records(t), *similarity.weights(similarity.STRUCTURAL), 0.3), 0.3)
+
+
+_EMB = """t AS (SELECT item_id AS id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[A-Za-z][A-Za-z0-9_-]{1,}')) AS t FROM benchmark), h AS (SELECT id, sha256(t) AS h FROM t),
+v AS (SELECT id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS idx, sum(CASE WHEN CAST('0x' || substr(h, 10, 1) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2),
+u AS (SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM v WHERE v <> 0), dot AS (SELECT a.id AS left_id, b.id AS right_id, sum(a.v * b.v) AS d FROM u a JOIN u b ON a.idx = b.idx AND a.id < b.id GROUP BY 1, 2)"""
+
+
+@query("WITH " + SCORED + f""", {_EMB}, ag AS (SELECT left_id, right_id, structure, lexical, least(1, greatest(0, (coalesce(d, 0) + 1) / 2)) AS semantic, 0.14 * task + 0.20 * math + 0.15 * operator + 0.10 * "constraint" + 0.08 * topology + 0.07 * stochastic + 0.06 * method AS base FROM st LEFT JOIN dot USING (left_id, right_id))
+SELECT left_id, right_id, round(base + 0.07 * semantic - 0.03 * lexical, 6) AS aggregate, round(structure, 6) AS structure, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, 'structural+lexical+semantic' AS method FROM ag WHERE base + 0.07 * semantic - 0.03 * lexical >= {LEAST}""")
+def similarity_run(t):
+    """Pairs whose aggregate with the semantic view reaches a bound, found without comparing all pairs."""
+    weights, flags = similarity.weights(similarity.AGGREGATE)
+    d = threshold_join.pairs_above(records(t), weights, flags, LEAST, similarity.AGGREGATE["semantic"], also=("lexical",))
+    d = threshold_join.with_semantic(d, index.hashing_embedding(t("benchmark").select(F.col("item_id").alias("id"), "text")))
+    d = d.withColumns({"complexity": F.lit(0.0), "citation": F.lit(0.0)}).withColumns({"aggregate": similarity.aggregate(), "structure": similarity.structural()}).where(F.col("aggregate") >= LEAST)
+    return d.select("left_id", "right_id", *[F.round(c, 6).alias(c) for c in ("aggregate", "structure", "semantic", "lexical")], F.lit("structural+lexical+semantic").alias("method"))
 
 
 @query("WITH " + RECORDS + ", m AS (SELECT task AS component, id, unnest(operator) AS token FROM rec), s AS (SELECT task AS component, count(DISTINCT id) AS size FROM rec WHERE len(operator) > 0 GROUP BY 1) SELECT component, token, count(*) AS n, count(DISTINCT id) = any_value(size) AS in_all FROM m JOIN s USING (component) GROUP BY component, token HAVING count(*) >= 2")
