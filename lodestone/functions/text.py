@@ -57,8 +57,9 @@ def sentence_windows(c: Column, size: int = 3) -> Column:
 
 
 def evidence_sentence(c: Column, patterns: Column, cap: int = 700) -> Column:
-    """The first sentence that holds one of the (folded) patterns."""
-    hit = F.filter(sentences(c), lambda s: F.exists(patterns, lambda p: F.contains(casefold(s), p)))
+    """The first sentence that holds one of the (folded) patterns; here a sentence ends at any stop before white space, whatever follows."""
+    parts = F.split(F.regexp_replace(c, r"\s+", " "), r"(?<=[.!?])\s+")
+    hit = F.filter(parts, lambda s: F.exists(patterns, lambda p: F.contains(casefold(s), p)))
     return F.substring(F.try_element_at(hit, F.lit(1)), 1, cap)
 
 

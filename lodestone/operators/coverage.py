@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold
+
 DIMENSIONS = ("discipline", "decade", "language", "document_type", "provider", "access")
 # fixed values: representation priorities of assets, and of those not named
 PRIORITY = {"jats": 100, "xml": 90, "tei": 90, "tex": 85, "latex": 85, "source": 80, "html": 70, "text": 60, "plain_text": 60, "abstract": 50, "pdf": 10, "landing_page": 0}
@@ -71,3 +73,20 @@ def stratum_family(members: DataFrame, least: int = 2) -> DataFrame:
     size = members.groupBy("component").agg(F.count_distinct("id").alias("size"))
     t = members.groupBy("component", "token").agg(F.count("*").alias("n"), F.count_distinct("id").alias("have")).where(F.col("n") >= least)
     return t.join(size, "component").select("component", "token", "n", (F.col("have") == F.col("size")).alias("in_all"))
+
+
+def families(members: DataFrame, least: int = 2) -> DataFrame:
+    """members(component, id, task, operations, structures) -> component, members, dominant_task, task_counts (task:n, by task), shared_operations, shared_structures.
+
+    The dominant task is the commonest, of ties the one seen first in order of id. A token
+    is shared if it occurs `least` times, repeats within a member included; tokens are folded.
+    """
+    tasks = members.groupBy("component", "task").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    told = tasks.groupBy("component").agg(F.sum("n").alias("members"), F.min(F.struct(-F.col("n"), "first", "task")).alias("top"), F.array_sort(F.collect_list(F.concat_ws(":", "task", "n"))).alias("task_counts"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.array().cast("array<string>")).alias("tokens")) for k in ("operations", "structures")])
+    tokens = members.select("component", F.explode(kinds).alias("x")).select("component", "x.kind", F.explode("x.tokens").alias("token")).withColumn("token", casefold(F.col("token")))
+    shared = tokens.groupBy("component", "kind", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("token")))).alias(f"shared_{k}")
+    own = shared.groupBy("component").agg(listed("operations"), listed("structures"))
+    none = F.array().cast("array<string>")
+    return told.join(own, "component", "left").select("component", "members", F.col("top.task").alias("dominant_task"), "task_counts", *[F.coalesce(f"shared_{k}", none).alias(f"shared_{k}") for k in ("operations", "structures")])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, sent
 
 
-def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, block: int = 1024) -> DataFrame:
-    """Pairs of `node` with the number of distinct `by` they share, if that is `least` or more: coupling by targets, co-citation by sources.
+def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, block: int = 1024, first: bool = False) -> DataFrame:
+    """Pairs of `node` with the number of distinct `by` they share, if that is `least` or more: coupling by targets, co-citation by sources. With `first` (and no bound), the smallest of those too.
 
     With a bound, a node is met at its rarest `by` alone, all but the `least` - 1 commonest, which
     loses no pair (two nodes that share `least` share one of those). A `by` with more than `block`
@@ -36,7 +36,7 @@ def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, bloc
         dealt = a.join(c, ["by", "lo", "hi"]).where("lo < hi OR x < y")
         pairs = pairs.unionByName(dealt.select("by", F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")))
     if least == 1:
-        return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+        return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), *[F.min("by").alias("first")] * first)
     pairs = pairs.select("left_id", "right_id").distinct()
     has = e.groupBy("node").agg(F.collect_set("by").alias("s")).where(F.size("s") >= least)
     both = pairs.join(has.select(F.col("node").alias("left_id"), F.col("s").alias("l")), "left_id").join(has.select(F.col("node").alias("right_id"), F.col("s").alias("r")), "right_id")
@@ -50,6 +50,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def stats(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) -> one row: nodes, edges (repeated ones too), weak components."""
+    size = edges.agg(F.count("*").alias("edges"))
+    node = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n"))).agg(F.count_distinct("n").alias("nodes"))
+    linked = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).agg(F.count_distinct("label").alias("c"), F.count("*").alias("in"))
+    # a node whose edges are all loops is a component of its own
+    return size.crossJoin(node).crossJoin(linked).select("nodes", "edges", (F.col("c") + F.col("nodes") - F.col("in")).alias("components"))  # one row each
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> node, label: the smallest node that each node of an edge is linked to.
 

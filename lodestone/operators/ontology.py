@@ -17,6 +17,13 @@ PRECISE, UNBALANCED = ("preferred", "synonym", "abbreviation", "canonical"), ("r
 CASCADE = [(1, "controlled_vocabulary", 20), (2, "lexical", 20), (3, "historical_terms", 10), (4, "citation_expansion", 25), (5, "semantic", 15), (6, "related_works", 10)]
 
 
+def granted(requests: DataFrame) -> DataFrame:
+    """requests(search, stage) -> search, place, stage, requests, granted: how many of a search's requests each stage may make. A stage that the cascade doesn't have grants none (place null)."""
+    stages = requests.sparkSession.createDataFrame(CASCADE, "place int, stage string, cap int")  # six rows
+    n = requests.groupBy("search", "stage").agg(F.count("*").alias("requests")).join(F.broadcast(stages), "stage", "left")
+    return n.select("search", "place", "stage", "requests", F.least("requests", F.coalesce("cap", F.lit(0))).cast("long").alias("granted"))
+
+
 def allowed(kind: Column, mode: str = "high_recall", historical: bool = True) -> Column:
     """Whether a mode (precision, balanced, high_recall) takes a kind of term."""
     taken = {"precision": kind.isin(*PRECISE), "balanced": ~kind.isin(*UNBALANCED), "high_recall": F.lit(True)}[mode]

@@ -168,14 +168,6 @@ def retrieval_metrics(t):
     return m.select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, round((sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END)) / count(*)::DOUBLE, 6) AS accuracy, round(coalesce(sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) / nullif(sum(quality), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) / nullif(sum(toxic), 0)::DOUBLE, 0), 6) AS recall FROM labels")
-def threshold_confusion(t):
-    """Confusion measures of one label against the other."""
-    both = F.sum(((F.col("quality") == 1) & (F.col("toxic") == 1)).cast("int"))
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
-    return t("labels").agg(F.count("*").alias("n"), F.round(F.sum((F.col("quality") == F.col("toxic")).cast("int")) / F.count("*"), 6).alias("accuracy"), ratio(both, F.sum("quality")).alias("precision"), ratio(both, F.sum("toxic")).alias("recall"))
-
-
 _SETS = "WITH p AS (SELECT conv_id, list_distinct(flatten(list(regexp_extract_all(text, '[A-Za-z]{3,}')) FILTER (role = 'user'))) AS a, list_distinct(flatten(list(regexp_extract_all(text, '[A-Za-z]{3,}')) FILTER (role = 'assistant'))) AS b FROM conversations GROUP BY conv_id), q AS (SELECT conv_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM p), n AS (SELECT conv_id, len(list_intersect(a, b))::DOUBLE AS h, len(a) AS p, len(b) AS g, len(list_distinct(list_concat(a, b))) AS u FROM q), m AS (SELECT conv_id, CASE WHEN p > 0 THEN h / p WHEN g = 0 THEN 1 ELSE 0 END AS precision, CASE WHEN g > 0 THEN h / g WHEN p = 0 THEN 1 ELSE 0 END AS recall, CASE WHEN u > 0 THEN h / u ELSE 1 END AS agreement, CASE WHEN p > 0 THEN h / p ELSE 0.5 END AS overlap FROM n) "
 
 

@@ -78,7 +78,11 @@ def vocabulary_feedback(t):
     return ontology.feedback(t("part").select(F.col("p_name").alias("id"), F.col("p_name").alias("term")).distinct())
 
 
-@query("SELECT * FROM (VALUES (1, 'controlled_vocabulary', 20), (2, 'lexical', 20), (3, 'historical_terms', 10), (4, 'citation_expansion', 25), (5, 'semantic', 15), (6, 'related_works', 10)) AS c(place, stage, maximum_requests)")
+_STAGES = ["controlled_vocabulary", "lexical", "historical_terms", "citation_expansion", "semantic", "related_works", "guesses"]
+
+
+@query("WITH r AS (SELECT l_quantity::BIGINT AS search, (['controlled_vocabulary', 'lexical', 'historical_terms', 'citation_expansion', 'semantic', 'related_works', 'guesses'])[l_partkey % 7 + 1] AS stage FROM lineitem) SELECT search, stage, CASE stage WHEN 'controlled_vocabulary' THEN 1 WHEN 'lexical' THEN 2 WHEN 'historical_terms' THEN 3 WHEN 'citation_expansion' THEN 4 WHEN 'semantic' THEN 5 WHEN 'related_works' THEN 6 END AS place, count(*) AS requests, least(count(*), CASE stage WHEN 'controlled_vocabulary' THEN 20 WHEN 'lexical' THEN 20 WHEN 'historical_terms' THEN 10 WHEN 'citation_expansion' THEN 25 WHEN 'semantic' THEN 15 WHEN 'related_works' THEN 10 ELSE 0 END) AS granted FROM r GROUP BY 1, 2")
 def retrieval_cascade(t):
-    """The stages of a search for high recall, with the requests that each may make."""
-    return t("region").sparkSession.createDataFrame(ontology.CASCADE, "place int, stage string, maximum_requests int")
+    """Requests of each search by stage of a cascade for high recall, and how many the stage may make."""
+    stage = F.get(F.array(*map(F.lit, _STAGES)), (F.col("l_partkey") % 7).cast("int"))
+    return ontology.granted(t("lineitem").select(F.col("l_quantity").cast("long").alias("search"), stage.alias("stage")))

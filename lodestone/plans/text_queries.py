@@ -32,15 +32,16 @@ def sentence_windows(t):
     return t("benchmark").select("item_id", F.size(w).alias("n"), F.array_join(w, "|").alias("windows"))
 
 
-@query(r"WITH c AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM benchmark), s AS (SELECT item_id, list_filter(string_split(regexp_replace(x, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: y <> '') AS s FROM c) SELECT item_id, substr(list_filter(s, lambda y: contains(replace(lower(y), 'ß', 'ss'), 'tion'))[1], 1, 700) AS evidence FROM s")
+@query(r"WITH c AS (SELECT item_id, regexp_replace('It ends. no capital follows! ' || text, '\s+', ' ', 'g') AS x FROM benchmark), s AS (SELECT item_id, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM c) SELECT item_id, substr(list_filter(s, lambda y: contains(replace(lower(y), 'ß', 'ss'), 'tion') OR contains(replace(lower(y), 'ß', 'ss'), 'capital f'))[1], 1, 700) AS evidence, substr(list_filter(s, lambda y: contains(replace(lower(y), 'ß', 'ss'), 'tion'))[1], 1, 700) AS stem FROM s")
 def evidence_sentence(t):
     """The first sentence that holds a pattern."""
-    return t("benchmark").select("item_id", text.evidence_sentence(F.col("text"), F.array(F.lit("tion"))).alias("evidence"))
+    c = F.concat(F.lit("It ends. no capital follows! "), "text")
+    return t("benchmark").select("item_id", text.evidence_sentence(c, F.array(F.lit("tion"), F.lit("capital f"))).alias("evidence"), text.evidence_sentence(c, F.array(F.lit("tion"))).alias("stem"))
 
 
 @query("WITH d AS (SELECT doc_id, replace(lower(coalesce(text, '')), 'ß', 'ss') AS x FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(x, 'ation') OR contains(x, 'tion th') THEN 'estimation' END, CASE WHEN contains(x, 'der ') OR contains(x, 'ing the') THEN 'ordering' END, CASE WHEN contains(x, 'graph') OR contains(x, 'eau') THEN 'network' END, CASE WHEN contains(x, 'quer') OR contains(x, 'find') THEN 'search' END], lambda y: y IS NOT NULL), ',') AS families FROM d")
 def keyword_families(t):
-    """Families by folded substrings, in the lexicon's order."""
+    """Families by folded substrings, in the lexicon's order."""
     return t("documents").select("doc_id", F.array_join(text.keyword_hits(F.col("text"), LEXICON), ",").alias("families"))
 
 
@@ -103,13 +104,6 @@ def reference_records(t):
     return d.select("p_partkey", F.col("r.ord").alias("ord"), F.array_join(F.transform(F.map_entries("r.identifiers"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("identifiers"))
 
 
-@query("SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON trim(lower(a.p_name)) = trim(lower(b.p_name)) AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
-def exact_identity(t):
-    """Pairs with one normalised title within a brand."""
-    d = t("part").select("p_partkey", "p_brand", text.title_norm(F.col("p_name")).alias("k"))
-    return d.withColumnRenamed("p_partkey", "left_id").join(d.withColumnRenamed("p_partkey", "right_id"), ["k", "p_brand"]).where("left_id < right_id").select("left_id", "right_id")
-
-
 @query("WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS p FROM benchmark) SELECT item_id, string_agg(w, ' ' ORDER BY p) AS text FROM w GROUP BY item_id")
 def inverted_index_text(t):
     """Texts rebuilt from their positions of tokens."""
