@@ -10,8 +10,11 @@ both exceed their thresholds the term discloses the entity and is a span of kind
 in every document, with or without an entity of its own. sanitise() generalises base spans to
 their kind and removes terms.
 
-Work on one text is linear in its length: places are running sums, and what overlaps is
-told by the set of covered places, not by comparing each span with each term.
+Work on one text is linear in its length but for co-occurrence: places are running sums,
+and what overlaps is told by the set of covered places, not by comparing each span with
+each term. Entities and terms of a text meet as sets of the rows that hold them: a list of
+thousands that stands in a few documents is a few sets. Terms too common for any
+entity of a document don't meet its entities at all.
 
 Defined cases: a null text is empty and has no span; ties in start go by kind as listed,
 then end; a term that overlaps a base span is part of it and no span of its own; a row is
@@ -134,21 +137,31 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, total: int, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> tuple[DataFrame, DataFrame]:
     """docs(k, text), all rows; found(k, m, text, spans), distinct rows with spans and how often each is met -> (terms, held).
 
-    terms: term, entity, bits, those beyond both thresholds; held: k, term, for each row and term that may be one of them.
+    terms: term, entity, bits, those beyond both thresholds, for each number of shared documents the rarest entity;
+    held: k, term, for each row and term that may be one of them.
+    Entities that stand in the same rows are one, and so are terms: a document with many of both makes a row for each
+    two of their sets of rows, not for each two of them.
     """
     found = found.withColumn("t", F.md5("text"))
+    # which rows hold an entity or a term, as a number for the set
+    held_by = [F.bit_xor(F.xxhash64(F.lit(i), "k")) for i in (1, 2)]
     e = found.select("k", "m", "t", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
     # no term has a share above 1, so an entity in too few texts or too many documents has no term
-    with_entity = e.groupBy("entity").agg(F.sum("m").alias("de"), F.count_distinct("t").alias("texts")).where((F.col("texts") >= min_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("de")) >= min_bits)).select("entity", "de")
-    e = cut(e.select("k", "entity").join(with_entity, "entity"))
-    text = found.join(sent(cut(e.select("k").distinct())), "k", "left_semi")
+    with_entity = e.groupBy("entity").agg(F.sum("m").alias("de"), F.count_distinct("t").alias("texts"), held_by[0].alias("e1"), held_by[1].alias("e2")).where((F.col("texts") >= min_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("de")) >= min_bits)).drop("texts")
+    e = cut(e.select("k", "entity").join(with_entity, "entity").groupBy("k", "e1", "e2", "de").agg(F.min("entity").alias("entity")))
+    text = found.join(sent(cut(e.groupBy("k").agg(F.max("de").alias("most")))), "k")
     named = F.transform(_apart(_matches(F.col("text"), TERM), F.col("spans")), lambda w: F.lower(w["value"]))
-    near = cut(text.select("k", "m", "t", F.explode(F.array_distinct(named)).alias("term")))
+    near = cut(text.select("k", "m", "t", "most", F.explode(F.array_distinct(named)).alias("term")))
     # documents with such an entity that hold a term are some of those that hold it, so a share that is too small of them is too small of all
-    about = near.groupBy("term").agg(F.sum("m").alias("least_df"), F.count_distinct("t").alias("texts")).where(F.col("texts") >= min_texts).select("term", "least_df")
-    both = near.join(about, "term").join(e, "k").where(F.col("de") >= F.col("least_df") * min_share)
-    pairs = both.groupBy("term", "entity", "de", "least_df", "t").agg(F.sum("m").alias("n")).groupBy("term", "entity", "de", "least_df").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    pairs = cut(pairs.where((F.col("texts") >= min_texts) & (F.col("n") >= F.col("least_df") * min_share)).select("term", "entity", "de", "n"))
+    about = near.groupBy("term").agg(F.sum("m").alias("least_df"), F.count_distinct("t").alias("texts"), F.max("most").alias("most"), held_by[0].alias("t1"), held_by[1].alias("t2"))
+    about = cut(about.where((F.col("texts") >= min_texts) & (F.col("most") >= F.col("least_df") * min_share)).select("term", "least_df", "t1", "t2"))
+    sets = near.join(sent(about), "term").where(F.col("most") >= F.col("least_df") * min_share).select("k", "m", "t", "t1", "t2", "least_df").distinct()
+    both = sets.join(e, "k").where(F.col("de") >= F.col("least_df") * min_share)
+    group = ["t1", "t2", "e1", "e2", "de", "least_df"]
+    pairs = both.groupBy(*group, "t").agg(F.sum("m").alias("n"), F.min("entity").alias("entity")).groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("entity").alias("entity"))
+    # of the entities that as many documents share with a term, the rarest tells most
+    best = cut(pairs.where((F.col("texts") >= min_texts) & (F.col("n") >= F.col("least_df") * min_share)).groupBy("t1", "t2", "n").agg(F.min(F.struct("de", "entity")).alias("x")).select("t1", "t2", "n", "x.de", "x.entity"))
+    pairs = cut(about.join(sent(best), ["t1", "t2"]).select("term", "entity", "de", "n"))
     names = sent(cut(pairs.select("term").distinct()))
     words = docs.select("k", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     held = cut(words.join(names, "term"))

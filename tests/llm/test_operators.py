@@ -645,3 +645,20 @@ def test_pii_terms_of_any_length_anywhere(spark):
     table = spark.createDataFrame([("ab a@b.cd +49 30 1234567 z",)], "text string").selectExpr("0L AS doc_id", "text")
     found = pii.base_spans(table).select(pii._apart(pii._matches(F.col("text"), pii.TERM), F.col("spans")).alias("w")).first().w
     assert [(x.start, x.end, x.value) for x in found] == [(0, 2, "ab"), (25, 26, "z")]
+
+
+def test_pii_many_unlike_entities(spark):
+    """Lists of thousands of unlike entities and terms in a few documents: sets of documents meet, not entities and terms."""
+    n = 5000
+    line = " ".join(f"u{i}x@a{i}.org name{i}" for i in range(n))
+    some = " ".join(f"v{i}x@b{i}.org part{i}" for i in range(0, n, 2))
+    rows = [(k, f"{line} {some if k % 2 else ''} words {k}") for k in range(6)] + [(10 + k, f"plain words number {k} here") for k in range(700)]
+    rows += [(2000 + k, f"{some} here {k}") for k in range(2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    d.count()
+    began = time.time()
+    got = {r.doc_id: (r.n_email, r.spans.count("term:")) for r in pii.told(pii.find(d)).collect()}
+    took = time.time() - began
+    assert [got[k] for k in range(6)] == [(n + (n // 2 if k % 2 else 0), n + (n // 2 if k % 2 else 0)) for k in range(6)]
+    assert got[2000] == got[2001] == (n // 2, n // 2) and got[10] == (0, 0)
+    assert took < 90, took
