@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestone.plans import analysis_queries, document_queries, envelope_queries, evidence_queries, formula_queries, graph_queries, ontology_queries, problem_queries, record_queries, state_queries, stream_queries, table_queries, text_queries  # noqa: F401
+from lodestone.plans import analysis_queries, document_queries, envelope_queries, evidence_queries, formula_queries, graph_queries, ontology_queries, problem_queries, record_queries, state_queries, store_queries, stream_queries, table_queries, text_queries  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
