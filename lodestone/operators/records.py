@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +113,8 @@ def intelligence(sections: Column, references: Column) -> Column:
 
     def told(own):
         # each section is read once
-        seen = F.transform(own, lambda s: let(casefold(s["text"]), lambda x: F.struct(F.size(word_tokens(s["text"])).alias("words"), x.rlike("|".join(PROBLEM_HINTS)).alias("problem"), x.rlike("|".join(METHOD_HINTS)).alias("method"), (s["equations"] >= 2).alias("dense"))))
+        hinted = lambda x, hints: reduce(or_, [F.contains(x, F.lit(h)) for h in hints])
+        seen = F.transform(own, lambda s: let(casefold(s["text"]), lambda x: F.struct(F.size(word_tokens(s["text"])).alias("words"), hinted(x, PROBLEM_HINTS).alias("problem"), hinted(x, METHOD_HINTS).alias("method"), (s["equations"] >= 2).alias("dense"))))
         warnings = F.array_compact(F.array(F.when(F.size(own) == 0, F.lit("document contains no parsed sections")), F.when(references == 0, F.lit("document contains no parsed references"))))
         many = lambda z, c: F.size(F.filter(z, lambda s: s[c])).alias(f"{c}_sections")
         counts = lambda z: F.struct(F.size(z).alias("sections"), F.aggregate(z, F.lit(0), lambda a, s: a + s["words"]).alias("words"), many(z, "problem"), many(z, "method"), F.size(F.filter(z, lambda s: s["dense"])).alias("math_dense"), warnings.alias("warnings"))
