@@ -1,6 +1,6 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes in groups, keep the smallest id.
 
-Hashes are counted first, with ids alone. Texts are met only where two rows have one
+Ids and hashes are written first and counted. Texts are met only where two rows have one
 hash: there the text itself is a grouping key, so equal hashes of unlike texts stay
 apart, and copies within a task are summed before the shuffle, so a text that a third of
 all rows share arrives as one row a task. What returns to the documents is joined on the
@@ -31,11 +31,13 @@ def normalised(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
     told = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", digest(F.col("norm")))
-    twice = sent(cut(told.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")))
+    # texts are read once for all of this, and once more where two rows have one hash
+    rows = cut(told.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
+    twice = sent(cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")))
     groups = told.join(twice, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # `texts` tells hashes that two texts share
     seen = cut(groups.groupBy("h").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
-    rows = spread(told.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), seen, ["h"], "group_size", "doc_id")
+    rows = spread(rows, seen, ["h"], "group_size", "doc_id")
     out = rows.where("texts IS NULL OR texts = 1").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
     clash = cut(seen.where("texts > 1").select("h"))
     if not clash.isEmpty():
