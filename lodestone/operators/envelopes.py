@@ -50,11 +50,12 @@ def hits(envelopes: DataFrame, key: str, column: str = "json") -> DataFrame:
 
     An envelope with citations of which one is refused (without any citation, say) has no result; one without citations has ungrounded ones.
     """
-    v = envelopes.select(key, j.parsed(F.col(column)).alias("v")).where("v IS NOT NULL")
-    v = v.withColumn("cited", citations(F.col("v"))).withColumn("has", j.first(F.col("v"), ("citation", "citation_legacy"), j.field).isNotNull() & j.field(F.col("v"), "data").isNotNull())
-    v = v.where(~F.col("has") | problem(F.col("v"), receipt=False).isNull())
+    # an explode in place of a filter, through which the text would be parsed twice
+    v = envelopes.select(key, F.explode(F.array_compact(F.array(j.parsed(F.col(column))))).alias("v"))
+    has = j.first(F.col("v"), ("citation", "citation_legacy"), j.field).isNotNull() & j.field(F.col("v"), "data").isNotNull()
     found = j.first(F.col("v"), ("data.results", "data.rows", "data.hits"), j.field)
-    d = v.select(key, "cited", "has", F.posexplode(F.try_variant_get(found, "$", "array<variant>")).alias("i", "r"))
+    v = v.select(key, citations(F.col("v")).alias("cited"), has.alias("has"), F.when(~has | problem(F.col("v"), receipt=False).isNull(), F.try_variant_get(found, "$", "array<variant>")).alias("rs"))
+    d = v.select(key, "cited", "has", F.posexplode("rs").alias("i", "r"))
     d = d.withColumn("c", F.when(F.col("has"), grounds(F.col("cited"), F.col("i"))))
     inner = j.first(F.col("r"), ("raw_record", "record"), j.field)
     d = d.withColumn("w", work(F.coalesce(inner, F.col("r"))))
