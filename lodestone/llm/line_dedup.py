@@ -10,12 +10,10 @@
 3. A pair is aligned with patience diff (common ends, then the longest increasing run of
    lines unique in both, then the gaps between). Blocks of aligned lines that hold a
    shared seed are deleted from the later document.
-4. Seeds that stayed unaligned (repeated or in another order in the first document) are
-   paired once more, with the first document in which they stayed so too. What patience
-   diff can't align there either is matched by content: a common block around each place
-   of the seed is deleted. So a shared seed stays in its first document and in at most
-   one more, which can't be aligned with it. Each deleted line stays in the first document
-   that has it.
+4. Seeds that patience diff leaves unaligned (repeated or in another order in the first
+   document) are then matched by content within the pair: the longest common block around
+   each place of the seed is deleted. So a shared seed stays in its first document alone,
+   and each deleted line stays in the first document that has it.
 
 Only line hashes are shuffled for alignment, an earlier document's once for DEAL pairs; a
 text is shuffled only if some of its lines go. Seeds that very many texts share (over HOT)
@@ -160,8 +158,8 @@ def _around(a: list[int], b: list[int], i: int, least: int, places: set[int]) ->
     return best
 
 
-def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int], by_content: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Blocks of x to delete, as it has them in common with the earlier y, and the shared seeds that stay in x."""
+def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int]) -> list[tuple[int, int]]:
+    """Blocks of x to delete, as it has them in common with the earlier y, which is the first to hold the seeds `rare`."""
     ha, hb = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     wa = np.frombuffer(wx, np.int32)
     at, seed = _seeds(ha, wa)
@@ -185,7 +183,7 @@ def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int], by_content:
         gone[s + 1 : e + 1] = 1
     gone = np.cumsum(gone)
     left = [(i, v) for i, v in zip(at, seed, strict=True) if gone[i + width[i]] - gone[i] < width[i]]
-    if by_content and left:
+    if left:
         # a seed's places in y: the first with the same line before, behind, or any; more would cost the square of its repeats
         where: dict[tuple, int] = {}
         keys = lambda z, i, n, v: [(v, 0), (v, 1, z[i - 1] if i else None), (v, 2, z[i + n] if i + n < len(z) else None)]
@@ -198,44 +196,38 @@ def align(x: bytes, wx: bytes, y: bytes, wy: bytes, rare: list[int], by_content:
             if i + width[i] > done:
                 s, done = _around(a, b, i, min(done, i), {where[key] for key in keys(a, i, width[i], v) if key in where})
                 blocks.append((s, done))
-        left = []
-    return blocks, sorted({v for _, v in left})
+    return blocks
 
 
-def _align(by_content: bool):
-    """Rows (first, part, doc, lines, widths, rare), a first holder (null doc) before its pairs -> (doc, start, end, line): lines to delete, or a seed that stayed."""
+def _align(batches):
+    """Rows (first, part, doc, lines, widths, rare), a first holder (null doc) before its pairs -> (doc, start, end): lines to delete."""
+    held, out = None, ([], [], [])
 
-    def run(batches):
-        held, out = None, ([], [], [], [])
+    def flush():
+        done = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc", "start", "end"])
+        for x in out:
+            x.clear()
+        return done
 
-        def flush():
-            done = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc", "start", "end", "line"])
-            for x in out:
-                x.clear()
-            return done
-
-        for batch in batches:
-            names = ("first", "doc", "lines", "widths", "rare")
-            for i in range(len(batch)):  # row by row: what a batch holds is not copied
-                first, doc, lines, widths, rare = (batch.column(c)[i].as_py() for c in names)
-                if doc is None:
-                    held = (first, lines, widths)
-                    continue
-                if held is None or held[0] != first:
-                    raise ValueError("a pair without its first holder")
-                blocks, left = align(lines, widths, held[1], held[2], rare, by_content)
-                for row in [*((doc, s, e, None) for s, e in blocks), *((doc, None, None, v) for v in left)]:
-                    for x, y in zip(out, row, strict=True):
-                        x.append(y)
-                if len(out[0]) > FLUSH:
-                    yield flush()
-        yield flush()
-
-    return run
-
-
-def _aligned(own: DataFrame, held: DataFrame, by_content: bool) -> DataFrame:
-    """held(doc, rank, line), each document with the first that holds the same line -> doc, start, end, line of _align."""
+    for batch in batches:
+        names = ("first", "doc", "lines", "widths", "rare")
+        for i in range(len(batch)):  # row by row: what a batch holds is not copied
+            first, doc, lines, widths, rare = (batch.column(c)[i].as_py() for c in names)
+            if doc is None:
+                held = (first, lines, widths)
+                continue
+            if held is None or held[0] != first:
+                raise ValueError("a pair without its first holder")
+            for row in ((doc, s, e) for s, e in align(lines, widths, held[1], held[2], rare)):
+                for x, y in zip(out, row, strict=True):
+                    x.append(y)
+            if len(out[0]) > FLUSH:
+                yield flush()
+    yield flush()
+
+
+def _aligned(own: DataFrame, held: DataFrame) -> DataFrame:
+    """held(doc, rank, line), each document with the first that holds the same line -> doc, start, end of _align."""
     rare = cut(held.groupBy("line").agg(F.count("*").alias("df"), F.min("rank").alias("first")).where("df > 1"))
     hot = sent(rare.where(f"df > {HOT}").select("line", "first"))
     met = held.join(hot, "line").unionByName(held.join(hot.select("line"), "line", "left_anti").join(rare.where(f"df <= {HOT}").select("line", "first"), "line"))
@@ -248,7 +240,7 @@ def _aligned(own: DataFrame, held: DataFrame, by_content: bool) -> DataFrame:
     holders = parts.join(own.select(F.col("sha").alias("first"), "lines", "widths"), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     holders = holders.select("first", "part", F.lit(None).cast("binary").alias("doc"), "lines", "widths", F.lit(None).cast("array<long>").alias("rare"))
     rows = holders.unionByName(later).repartition("first", "part").sortWithinPartitions("first", "part", F.col("doc").asc_nulls_first())
-    return rows.mapInArrow(_align(by_content), "doc binary, start long, end long, line long")
+    return rows.mapInArrow(_align, "doc binary, start long, end long")
 
 
 def common_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,10 +251,8 @@ def common_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     what = ["sha", F.coalesce("rep", "doc_id").alias("rep"), "lines", "widths", "seeds"]
     own = cut(at.where("rep IS NULL").select(*what).unionByName(at.where("rep = doc_id").select(*what).dropDuplicates(["sha"])))
     rank = F.struct(F.col("rep").alias("rep"), F.col("sha").alias("sha")).alias("rank")
-    once = cut(_aligned(own, own.select(F.col("sha").alias("doc"), rank, F.explode("seeds").alias("line")), False))
-    stayed = once.where("line IS NOT NULL").select(F.col("doc").alias("sha"), "line").distinct().join(own.select("sha", "rep"), "sha")
-    again = _aligned(own, stayed.select(F.col("sha").alias("doc"), rank, "line"), True)
-    gone = once.unionByName(again).where("start IS NOT NULL").groupBy(F.col("doc").alias("sha")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    found = _aligned(own, own.select(F.col("sha").alias("doc"), rank, F.explode("seeds").alias("line")))
+    gone = found.groupBy(F.col("doc").alias("sha")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     return at.select("doc_id", "sha", "n_lines", F.coalesce("rep", "doc_id").alias("rep")), gone
 
 

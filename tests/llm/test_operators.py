@@ -311,8 +311,8 @@ def test_line_dedup_settles_every_shared_seed(spark):
     rows += [(11, f"{M} 2\nx of eleven\n{M} 1"), (12, f"twelve a\n{M} 1\n{M} 2\ntwelve b"), (13, f"thirteen a\n{M} 1\n{M} 2\nthirteen b")]
     rows += [(21, "21 own line that is long\noh no\nwe go\nnow on\n21 own end of the text"), (22, "22 own line that is long\noh no\nwe go\nnow on\n22 own end of the text")]
     got = {i: x[2] for i, x in cut_texts(spark, rows).items()}
-    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == "own three a\nown three b"
-    assert got[11] == rows[3][1] and got[12].count("shared") == 1 and got[13] == "thirteen a\nthirteen b"
+    assert got[1] == rows[0][1] and got[2] == "own two a\nown two b" and got[3] == "own three a\nown three b"
+    assert got[11] == rows[3][1] and got[12] == "twelve a\ntwelve b" and got[13] == "thirteen a\nthirteen b"
     assert got[21] == rows[6][1] and got[22] == "22 own line that is long\n22 own end of the text"
     many = spark.range(10_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("own line of text "), "id", F.lit(f"\n{L}\nown last line "), "id").alias("text"))
     assert [r.doc_id for r in line_dedup.line_dedup(many).where("n_removed <> 1").collect()] == [0]
@@ -327,10 +327,28 @@ def test_line_dedup_random(spark, monkeypatch):
     for k in range(9):
         line = f"shared line number {k}"
         held, kept = ([i for i, t in z if line in t.split("\n")] for z in (rows, sorted(got.items())))
-        assert kept[0] == held[0] and len(kept) <= 2
+        assert kept == held[:1]
     assert all(x in got[i].split("\n") for i, t in rows for x in t.split("\n") if x.startswith("own"))
 
 
+def test_line_dedup_leaves_no_shared_line(spark):
+    """On the supplied corpus: of all places of lines of 12 bytes or more that an earlier document holds, none stays, and no line is lost to all."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() if r.text is not None)
+    left = {r.doc_id: r.text for r in line_dedup.delete_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    size = lambda x: len(re.sub(rb"[\x20\x09-\x0D]", b"", x.encode()))
+    seen, shared, stayed = set(), 0, 0
+    for i, t in rows:
+        own = [x for x in t.split("\n") if size(x) >= line_dedup.MIN_BYTES]
+        kept = collections.Counter((left.get(i) or "").split("\n"))
+        for x in set(own):
+            if x in seen:
+                shared, stayed = shared + 1, stayed + (kept[x] > 0)
+            else:
+                assert kept[x] == own.count(x), (i, x)
+        seen.update(own)
+    assert shared > 500 and stayed == 0, (shared, stayed)
+
+
 @pytest.mark.parametrize("most_bytes", [64 << 20, 0])
 def test_decontamination(spark, docs, texts, empty, most_bytes):
     """Both plans, all lengths of window, against a search of every place."""
