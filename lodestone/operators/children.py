@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as j
 from ..functions.text import stable_id
 from ..sources.tableset import Changes
-from .state import store
+from .envelopes import citations
+from .state import find_work, owned, store, upsert_works
 
 EVIDENCE = "problem_id string, place int, quote string"
 MATH = "problem_id string, object_id string, role string"
@@ -19,6 +21,19 @@ METHODS = "id string, name string, method_type string"
 PROBLEMS = "id string, work_id string, task_family string, statement string, confidence double"
 FAMILIES = "id string, name string"
 MEMBERS = "family_id string, member_id string, place int"
+WORKS = "id string, title string, abstract string, year int"
+IDENTIFIERS = "work_id string, scheme string, value string"
+VERSIONS = "id string, work_id string, label string, provider string"
+AUTHORS = "id string, name string"
+WORK_AUTHORS = "work_id string, author_id string, position int"
+ASSETS = "id string, work_id string, representation string, url string"
+PROVENANCE = "work_id string, provider string, record string"
+INTEGRITY = "id string, work_id string, subject string, relation string, object string, provider string, status string"
+REVIEWS = "id string, object_type string, object_id string, reviewer string, decision string, notes string, payload string"
+EXPERIMENTS = "id string, name string, parameters string, status string, metrics string"
+ENVELOPES = "id string, run_id string, spec string, request_id string, query_fingerprint string, response_sha256 string, citations long, lineage long"
+RETRIEVALS = "id string, provider string, query string, status string, hits long, error string"
+HITS = "run_id string, place int, work_id string, rank long"
 RUNS = "id string, work_id string, extractor string, status string, problem_count long, error string"
 
 
@@ -76,3 +91,72 @@ def extract_and_store(spark: SparkSession, folder: str, docs: DataFrame, extract
             c["runs"] = store("extraction_run", c.get("runs", RUNS), say(runs, "failed", F.lit(0), f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
         return "failed"
     return "completed"
+
+
+def put_works(c: Changes, new: DataFrame) -> None:
+    """new(id, title, abstract, year, identifiers, version: struct<label, provider>, authors: array<struct<id, name>>, assets: array<struct<id, representation, url>>, provenance: array<struct<provider, record>>).
+
+    A work that is known by id or identifier is overwritten, by nulls too. Identifiers and provenance
+    are added, versions and authors replaced, an asset stays with the work that had it first.
+    """
+    works, ids = c.get("works", WORKS), c.get("identifiers", IDENTIFIERS)
+    told = owned(works, ids, new)
+    c["works"], c["identifiers"] = upsert_works(works, ids, new)
+    version = told.where("version IS NOT NULL").select(stable_id("work-version", F.concat_ws(":", "_id", "version.label")).alias("id"), F.col("_id").alias("work_id"), "version.label", "version.provider")
+    c["versions"] = store("document", c.get("versions", VERSIONS), version)
+    a = told.select("_id", F.posexplode("authors").alias("p", "a"))
+    c["authors"] = store("document", c.get("authors", AUTHORS), a.select("a.id", "a.name"))
+    c["work_authors"] = store("work_author", c.get("work_authors", WORK_AUTHORS), a.select(F.col("_id").alias("work_id"), F.col("a.id").alias("author_id"), (F.col("p") + 1).alias("position")))
+    assets = told.select("_id", F.explode("assets").alias("a")).select("a.id", F.col("_id").alias("work_id"), "a.representation", "a.url")
+    c["assets"] = store("asset", c.get("assets", ASSETS), assets)
+    c["provenance"] = store("provenance", c.get("provenance", PROVENANCE), told.select(F.col("_id").alias("work_id"), F.explode("provenance").alias("p")).select("work_id", "p.provider", "p.record"))
+
+
+def put_integrity(c: Changes, told: DataFrame) -> None:
+    """told(asked, subject, relation, object, provider, status): what was asked is resolved to a work by its identifier in any spelling; an assertion that is there is overwritten, but for a work that is not found now."""
+    new = find_work(told, c.get("identifiers", IDENTIFIERS), "asked").withColumnRenamed("work", "work_id")
+    key = stable_id("integrity-assertion", F.concat_ws(":", "subject", "relation", F.coalesce("object", F.lit("")), "provider"))
+    new = new.withColumn("id", key).select("id", "work_id", "subject", "relation", "object", "provider", "status").dropDuplicates(["id"])
+    old = c.get("integrity", INTEGRITY)
+    kept = old.select("id", F.col("work_id").alias("_had"))
+    new = new.join(kept, "id", "left").withColumn("work_id", F.coalesce("work_id", "_had")).drop("_had")
+    c["integrity"] = store("document", old, new)
+
+
+def put_reviews(c: Changes, new: DataFrame) -> None:
+    """new(object_type, object_id, reviewer, decision, notes, payload): one review for each of these but the payload, which the last replaces."""
+    key = stable_id("review-event", F.concat_ws(":", "object_type", "object_id", "reviewer", "decision", F.coalesce("notes", F.lit(""))))
+    c["reviews"] = store("review", c.get("reviews", REVIEWS), new.withColumn("id", key).select(*[f.split()[0] for f in REVIEWS.split(", ")]))
+
+
+def start_experiments(c: Changes, new: DataFrame) -> None:
+    """new(id, name, parameters): runs that begin; one that is there begins anew."""
+    c["experiments"] = store("experiment", c.get("experiments", EXPERIMENTS), new.select("id", "name", "parameters", F.lit("running").alias("status"), F.lit(None).cast("string").alias("metrics")))
+
+
+def finish_experiments(c: Changes, done: DataFrame) -> None:
+    """done(id, metrics): runs that end, with their metrics, or those they had if none are given. One that never began is an error when the change is kept."""
+    old = c.get("experiments", EXPERIMENTS)
+    d = done.dropDuplicates(["id"]).withColumnRenamed("metrics", "_new")
+    unknown = d.join(old, "id", "left_anti").select(F.raise_error(F.concat(F.lit("unknown experiment: "), "id")).cast("string").alias("id"))
+    ended = old.join(d.withColumn("_done", F.lit(True)), "id", "left").select("id", "name", "parameters", F.when(F.col("_done"), "completed").otherwise(F.col("status")).alias("status"), F.coalesce("_new", "metrics").alias("metrics"))
+    none = F.lit(None).cast("string")
+    c["experiments"] = ended.unionByName(unknown.select("id", none.alias("name"), none.alias("parameters"), none.alias("status"), none.alias("metrics")))
+
+
+def put_envelopes(c: Changes, new: DataFrame) -> None:
+    """new(id, run_id, json): appended, with request, query and response of the first citation that tells its execution, and counts of citations and lineage."""
+    v = new.select("id", "run_id", j.parsed(F.col("json")).alias("v"))
+    runs = F.filter(F.transform(citations(F.col("v")), lambda x: j.field(x, "execution")), j.is_object)
+    d = v.select("id", "run_id", j.text(F.col("v"), "spec").alias("spec"), F.get(runs, 0).alias("x"), F.size(citations(F.col("v"))).cast("long").alias("citations"), F.size(j.items(F.col("v"), "lineage")).cast("long").alias("lineage"))
+    c["envelopes"] = store("envelope", c.get("envelopes", ENVELOPES), d.select("id", "run_id", "spec", *[j.text(F.col("x"), n).alias(n) for n in ("request_id", "query_fingerprint", "response_sha256")], "citations", "lineage"))
+
+
+def put_retrieval(c: Changes, run: DataFrame, hits: DataFrame) -> None:
+    """run(id, provider, query, error), hits(run_id, place, work_id, rank): runs with how many hits they had and whether they failed, their hits, and who told of each work."""
+    n = hits.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("hits"))
+    status = F.when(F.col("error").isNotNull(), "failed").otherwise("completed")
+    c["retrievals"] = store("retrieval_run", c.get("retrievals", RETRIEVALS), run.join(n, "id", "left").select("id", "provider", "query", status.alias("status"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), "error"))
+    c["hits"] = store("retrieval_hit", c.get("hits", HITS), hits.select("run_id", "place", "work_id", "rank"))
+    told = hits.where("work_id IS NOT NULL").join(run.select(F.col("id").alias("run_id"), "provider"), "run_id").select("work_id", "provider", F.col("run_id").alias("record"))
+    c["provenance"] = store("provenance", c.get("provenance", PROVENANCE), told)

@@ -32,6 +32,8 @@ STORES = {
     "envelope": ((), "append"),
     "integrity": (("subject", "relation", "object", "provider"), "fill"),
     "review": (("id",), "replace"),
+    "work_author": (("work_id", "author_id"), "replace"),
+    "provenance": (("work_id", "provider", "record"), "absent"),
     "experiment": (("id",), "replace"),
 }
 
@@ -61,6 +63,15 @@ def store(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, on, "full").select(*[value(c) for c in old.columns])
 
 
+def owned(works: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame:
+    """new(id, identifiers, ...) with `_id`: the old work it is, by its id, else by the first of its identifiers that is known, else its own id."""
+    listed = new.select("id", F.posexplode("identifiers").alias("p", "x")).select("id", "p", "x.scheme", "x.value")
+    met = listed.join(ids, ["scheme", "value"]).groupBy("id").agg(F.min_by("work_id", "p").alias("_by"))
+    known = works.select("id", F.lit(True).alias("_known"))
+    told = new.join(known, "id", "left").join(met, "id", "left")
+    return told.withColumn("_id", F.when(F.col("_known"), F.col("id")).otherwise(F.coalesce("_by", "id"))).drop("_known", "_by")
+
+
 def upsert_works(works: DataFrame, ids: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """works(id, ...), ids(work_id, scheme, value), new(id, identifiers array<struct<scheme, value>>, ...) -> (works, ids) after the merge.
 
@@ -68,13 +79,11 @@ def upsert_works(works: DataFrame, ids: DataFrame, new: DataFrame) -> tuple[Data
     its fields replace the old ones, nulls too. Unknown identifiers are added, known ones stay where they are.
     New works should not share an identifier among themselves: of those that do, each stays.
     """
-    listed = new.select("id", F.posexplode("identifiers").alias("p", "x")).select("id", "p", "x.scheme", "x.value")
-    met = listed.join(ids, ["scheme", "value"]).groupBy("id").agg(F.min_by("work_id", "p").alias("_by"))
-    known = works.select("id", F.lit(True).alias("_known"))
-    told = new.join(known, "id", "left").join(met, "id", "left").withColumn("_id", F.when(F.col("_known"), F.col("id")).otherwise(F.coalesce("_by", "id")))
+    told = owned(works, ids, new)
     rows = told.select(*[F.col("_id").alias("id") if c == "id" else F.col(c) for c in works.columns])
     after = works.join(rows.select("id").distinct(), "id", "left_anti").unionByName(rows.dropDuplicates(["id"]))
-    added = listed.join(told.select("id", "_id"), "id").join(ids, ["scheme", "value"], "left_anti").groupBy("scheme", "value").agg(F.min("_id").alias("work_id"))
+    listed = told.select("_id", F.explode("identifiers").alias("x")).select("_id", "x.scheme", "x.value")
+    added = listed.join(ids, ["scheme", "value"], "left_anti").groupBy("scheme", "value").agg(F.min("_id").alias("work_id"))
     return after, ids.unionByName(added.select(*ids.columns))
 
 

@@ -69,6 +69,114 @@ def family_store(t):
     return table(spark, folder, "family_members").join(names, "family_id").select(F.col("family_id").alias("family"), F.col("member_id").alias("member"), "place", "name")
 
 
+def _works(t, version: int):
+    k = F.col("p_partkey")
+    key, r = k.cast("string"), k % 6
+    none, one = F.lit(None).cast("string"), lambda a, b: F.struct(F.lit(a).alias("scheme"), F.concat(F.lit(b), key).alias("value"))
+    own = F.concat(F.lit("w"), key)
+    d = t("part").withColumn("v", F.lit(version))
+    d = d.where(r.isin(0, 2, 4)) if version == 1 else d.where(r.isin(0, 1, 2))
+    ids = F.array(one("doi", "10/")) if version == 1 else F.when(r == 2, F.array(one("pmid", "n"), one("doi", "10/"))).otherwise(F.array(one("doi", "10/")))
+    person = F.struct(F.concat(F.lit("a"), (k % 7).cast("string")).alias("id"), F.lit(f"N{version}").alias("name"))
+    other = F.struct(F.lit("b").alias("id"), F.lit("B").alias("name"))
+    asset = F.struct(F.concat(F.lit("s"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string")).alias("id"), F.lit(f"r{version}").alias("representation"), F.lit("u").alias("url"))
+    return d.select(
+        F.when((F.lit(version) == 2) & (r == 2), F.concat(F.lit("x"), key)).otherwise(own).alias("id"), F.concat("p_name", F.lit(f" v{version}")).alias("title"), F.when(F.lit(version) == 1, "abs").otherwise(none).alias("abstract"), F.col("p_size").cast("int").alias("year"), ids.alias("identifiers"),
+        F.struct(F.when((F.lit(version) == 2) & (r == 2), "2").otherwise("1").alias("label"), F.lit(f"p{version}").alias("provider")).alias("version"), (F.array(person) if version == 1 else F.array(other, person)).alias("authors"), F.array(asset).alias("assets"), F.array(F.struct(F.lit(f"p{version}").alias("provider"), F.concat(F.lit("r"), key).alias("record"))).alias("provenance"),
+    )
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_name, p_partkey % 6 AS r FROM part)
+SELECT 'work' AS kind, 'w' || k AS work, p_name || CASE r WHEN 4 THEN ' v1|abs' ELSE ' v2|' END AS what FROM k WHERE r IN (0, 1, 2, 4)
+UNION ALL SELECT 'identifier', 'w' || k, 'doi:10/' || k FROM k WHERE r IN (0, 1, 2, 4) UNION ALL SELECT 'identifier', 'w' || k, 'pmid:n' || k FROM k WHERE r = 2
+UNION ALL SELECT 'version', 'w' || k, CASE r WHEN 0 THEN '1:p2' WHEN 1 THEN '1:p2' ELSE '1:p1' END FROM k WHERE r IN (0, 1, 2, 4) UNION ALL SELECT 'version', 'w' || k, '2:p2' FROM k WHERE r = 2
+UNION ALL SELECT 'author', 'w' || k, 'a' || k % 7 || CASE WHEN k % 7 IN (SELECT k % 7 FROM k WHERE r < 3) THEN ':N2' ELSE ':N1' END || CASE r WHEN 4 THEN ':1' ELSE ':2' END FROM k WHERE r IN (0, 1, 2, 4) UNION ALL SELECT 'author', 'w' || k, 'b:B:1' FROM k WHERE r < 3
+UNION ALL SELECT 'asset', 'w' || k, 's' || k || CASE WHEN r = 4 THEN ':r1' ELSE ':r2' END FROM k WHERE r IN (0, 2, 4)
+UNION ALL SELECT 'provenance', 'w' || k, 'p1:r' || k FROM k WHERE r IN (0, 2, 4) UNION ALL SELECT 'provenance', 'w' || k, 'p2:r' || k FROM k WHERE r < 3""")
+def work_store(t):
+    """L1: works in two versions, known by id or by identifier, with identifiers, versions, authors, assets and provenance."""
+    spark = t("part").sparkSession
+    folder = f"{shared_folder(spark)}/works-{uuid.uuid4().hex}"
+    for version in (1, 2):
+        with Changes(spark, folder) as c:
+            children.put_works(c, _works(t, version))
+    read = lambda name: table(spark, folder, name)
+    row = lambda d, kind, work, *what: d.select(F.lit(kind).alias("kind"), F.col(work).alias("work"), F.concat_ws(":", *what).alias("what"))
+    named = read("work_authors").join(read("authors").select(F.col("id").alias("author_id"), "name"), "author_id")
+    out = read("works").select(F.lit("work").alias("kind"), F.col("id").alias("work"), F.concat("title", F.lit("|"), F.coalesce("abstract", F.lit(""))).alias("what"))
+    for d in (row(read("identifiers"), "identifier", "work_id", "scheme", "value"), row(read("versions"), "version", "work_id", "label", "provider"), row(named, "author", "work_id", "author_id", "name", F.col("position").cast("string")), row(read("assets"), "asset", "work_id", "id", "representation"), row(read("provenance"), "provenance", "work_id", "provider", "record")):
+        out = out.unionByName(d)
+    return out
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_custkey % 3 AS r FROM customer), one AS (SELECT k, 'asserted' AS status, CASE WHEN k % 2 = 0 THEN 'w' || k END AS work FROM a), two AS (SELECT k, 'final' AS status FROM a WHERE r = 0)
+SELECT 'integrity' AS kind, 's' || k AS id, coalesce(two.status, one.status) AS what, work FROM one LEFT JOIN two USING (k)
+UNION ALL SELECT 'review', 's' || k, 'accept:' || CASE WHEN r = 0 THEN 'p2' ELSE 'p1' END, NULL FROM a UNION ALL SELECT 'review', 's' || k, 'reject:p2', NULL FROM a WHERE r = 0
+UNION ALL SELECT 'experiment', 'e' || k, CASE r WHEN 0 THEN 'completed:m' WHEN 1 THEN 'completed:' ELSE 'running:' END, NULL FROM a""")
+def audit_stores(t):
+    """Integrity assertions whose work is found by identifier, reviews merged by what they say, experiments from start to finish."""
+    customer, k = t("customer"), F.col("c_custkey")
+    spark = customer.sparkSession
+    key = k.cast("string")
+    folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    ids = customer.where(k % 2 == 0).select(F.concat(F.lit("w"), key).alias("work_id"), F.lit("doi").alias("scheme"), F.concat(F.lit("10.1/k"), key).alias("value"))
+
+    def told(version):
+        asked = F.concat(F.lit("https://doi.org/10.1/K"), key) if version == 1 else F.concat(F.lit("10.9/none"), key)
+        return customer.where(F.lit(version == 1) | (k % 3 == 0)).select(asked.alias("asked"), F.concat(F.lit("s"), key).alias("subject"), F.lit("retracts").alias("relation"), F.lit(None).cast("string").alias("object"), F.lit("p").alias("provider"), F.lit("asserted" if version == 1 else "final").alias("status"))
+
+    def reviews(decision, version):
+        return customer.where(F.lit(version == 1) | (k % 3 == 0)).select(F.lit("work").alias("object_type"), F.concat(F.lit("s"), key).alias("object_id"), F.lit("r").alias("reviewer"), F.lit(decision).alias("decision"), F.lit(None).cast("string").alias("notes"), F.lit(f"p{version}").alias("payload"))
+
+    run = F.concat(F.lit("e"), key).alias("id")
+    with Changes(spark, folder) as c:
+        c["identifiers"] = ids
+    with Changes(spark, folder) as c:
+        children.put_integrity(c, told(1))
+        children.put_reviews(c, reviews("accept", 1))
+        children.start_experiments(c, customer.select(run, F.lit("n").alias("name"), F.lit("{}").alias("parameters")))
+    with Changes(spark, folder) as c:
+        children.put_integrity(c, told(2))
+        children.put_reviews(c, reviews("accept", 2).unionByName(reviews("reject", 2)))
+        children.finish_experiments(c, customer.where(k % 3 < 2).select(run, F.when(k % 3 == 0, "m").alias("metrics")))
+    read = lambda name: table(spark, folder, name)
+    none = F.lit(None).cast("string").alias("work")
+    parts = [
+        read("integrity").select(F.lit("integrity").alias("kind"), F.col("subject").alias("id"), F.col("status").alias("what"), F.col("work_id").alias("work")),
+        read("reviews").select(F.lit("review").alias("kind"), F.col("object_id").alias("id"), F.concat_ws(":", "decision", "payload").alias("what"), none),
+        read("experiments").select(F.lit("experiment").alias("kind"), "id", F.concat(F.col("status"), F.lit(":"), F.coalesce("metrics", F.lit(""))).alias("what"), none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_RUN = """CASE event_id % 4 WHEN 0 THEN '{"spec":"v1","data":{},"citation":[{"x":1},{"execution":{"request_id":"q' || event_id || '","response_sha256":"h"}},{"execution":{"request_id":"later"}}],"lineage":[1,2]}'
+WHEN 1 THEN '{"spec":"v2","citation":{"execution":{"query_fingerprint":"f","request_id":7}}}' WHEN 2 THEN '{"citation":[],"lineage":"none"}' ELSE 'broken' END"""
+
+
+@query("""WITH e AS (SELECT event_id AS k, user_id AS u, event_id % 4 AS r FROM events), run AS (SELECT DISTINCT u FROM e)
+SELECT 'envelope' AS kind, CAST(k AS VARCHAR) AS id, CASE r WHEN 0 THEN 'v1|q' || k || '||h|2' WHEN 1 THEN 'v2||f||0' ELSE '||||0' END AS what, CASE r WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n FROM e
+UNION ALL SELECT 'run', CAST(u AS VARCHAR), CASE WHEN u % 5 = 0 THEN 'failed' ELSE 'completed' END, (SELECT count(*) FROM e WHERE e.u = run.u AND r < 3 AND u % 5 > 0) FROM run
+UNION ALL SELECT 'provenance', 'w' || k % 50, 'p' || u % 3 || ':' || u, 0 FROM (SELECT DISTINCT k % 50 AS k, u FROM e WHERE r < 2 AND u % 5 > 0)""")
+def retrieval_stores(t):
+    """Retrieval runs with their hits and who told of each work, and envelopes with the first execution that their citations tell."""
+    e, k, u = t("events"), F.col("event_id"), F.col("user_id")
+    spark = e.sparkSession
+    folder = f"{shared_folder(spark)}/retrievals-{uuid.uuid4().hex}"
+    run = e.select(u).distinct().select(u.cast("string").alias("id"), F.concat(F.lit("p"), (u % 3).cast("string")).alias("provider"), F.lit("q").alias("query"), F.when(u % 5 == 0, "away").alias("error"))
+    hits = e.where((k % 4 < 3) & (u % 5 > 0)).select(u.cast("string").alias("run_id"), k.cast("int").alias("place"), F.when(k % 4 < 2, F.concat(F.lit("w"), (k % 50).cast("string"))).alias("work_id"), F.lit(1).cast("long").alias("rank"))
+    with Changes(spark, folder) as c:
+        children.put_retrieval(c, run, hits)
+        children.put_envelopes(c, e.select(k.cast("string").alias("id"), u.cast("string").alias("run_id"), F.expr(_RUN).alias("json")))
+    read = lambda name: table(spark, folder, name)
+    told = F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in ("spec", "request_id", "query_fingerprint", "response_sha256")], F.col("lineage").cast("string"))
+    parts = [
+        read("envelopes").select(F.lit("envelope").alias("kind"), "id", told.alias("what"), F.col("citations").alias("n")),
+        read("retrievals").select(F.lit("run").alias("kind"), "id", F.col("status").alias("what"), F.col("hits").alias("n")),
+        read("provenance").select(F.lit("provenance").alias("kind"), F.col("work_id").alias("id"), F.concat_ws(":", "provider", "record").alias("what"), F.lit(0).cast("long").alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _VALID = {"ref": "l_orderkey IS NOT NULL AND l_partkey IS NOT NULL", "quantity": "l_quantity BETWEEN 1 AND 45", "discount": "l_discount < 0.1"}
 
 
