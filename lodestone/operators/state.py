@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_identifier, stable_id
+from ..functions.text import canonical_fingerprint, parse_identifier, stable_id
 
 #: keys of the stores, and what a new row does to an old one with its key: replace it, fill its gaps, or nothing; rows of `append` have no key
 STORES = {
@@ -63,6 +63,16 @@ def store(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, on, "full").select(*[value(c) for c in old.columns])
 
 
+def sorted_pairs(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
+    """pairs with their two ids in order, as stores of pairs know them."""
+    return pairs.withColumns({left: F.least(left, right), right: F.greatest(left, right)})
+
+
+def content_id(**fields: Column) -> Column:
+    """The key of a store that is known by content."""
+    return canonical_fingerprint(**fields)
+
+
 def owned(works: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame:
     """new(id, identifiers, ...) with `_id`: the old work it is, by its id, else by the first of its identifiers that is known, else its own id."""
     listed = new.select("id", F.posexplode("identifiers").alias("p", "x")).select("id", "p", "x.scheme", "x.value")

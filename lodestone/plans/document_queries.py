@@ -44,7 +44,7 @@ def text_documents(t):
 
 @query("""SELECT p_partkey, k AS place, CASE k WHEN 0 THEN '' WHEN 1 THEN 'sum' ELSE '' END AS operators, CASE k WHEN 0 THEN 'equals' WHEN 2 THEN 'lt' END AS relation, k = 1 AS commands FROM part, range(3) AS r(k)""")
 def document_formulas(t):
-    """One row an equation of each parsed document, with its features."""
+    """One row an equation of each parsed document, with its features."""
     d = t("part").select("p_partkey", parsers.latex(F.expr(_TEX)).alias("d")).select("p_partkey", F.posexplode("d.equations").alias("place", "x"))
     d = d.withColumn("f", formula.features(F.col("x"))).withColumn("g", formula.fingerprint(F.col("x")))
     return d.select("p_partkey", "place", F.array_join("f.operators", " ").alias("operators"), F.col("g.relation").alias("relation"), (F.size("f.commands") > 0).alias("commands"))

@@ -32,13 +32,13 @@ def search_hits(t):
 
 @query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'missing receipt' WHEN 2 THEN 'no citations' WHEN 3 THEN 'missing citation' WHEN 4 THEN 'missing citation' WHEN 5 THEN 'not an object' ELSE 'missing receipt' END AS problem FROM events")
 def envelope_problems(t):
-    """Why an envelope is refused, null if it isn't."""
+    """Why an envelope is refused, null if it isn't."""
     return t("events").select("event_id", envelopes.problem(j.parsed(F.expr(ENVELOPE))).alias("problem"))
 
 
 @query("SELECT user_id, count(*) AS envelopes, CAST(sum(CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 6 THEN 1 ELSE 0 END) AS BIGINT) AS citations, CAST(sum(CASE event_id % 7 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS lineage, coalesce(string_agg(DISTINCT CASE event_id % 7 WHEN 0 THEN 'v1' WHEN 1 THEN 'v' || user_id % 2 END, ',' ORDER BY CASE event_id % 7 WHEN 0 THEN 'v1' WHEN 1 THEN 'v' || user_id % 2 END), '') AS specs FROM events GROUP BY user_id")
 def envelope_summary(t):
-    """Envelopes, citations, lineage and distinct specs of each campaign."""
+    """Envelopes, citations, lineage and distinct specs of each campaign."""
     d = envelopes.summary(t("events").select("user_id", F.expr(ENVELOPE).alias("json")), "user_id")
     return d.select("user_id", "envelopes", "citations", "lineage", F.array_join("specs", ",").alias("specs"))
 
@@ -82,7 +82,7 @@ WHEN 1 THEN '{"operations":[{"name":"r","path":"/d"}],"data":{"x":1}}' ELSE '{"o
 @query("""SELECT s_suppkey, operation_id, path, capability, searches FROM (SELECT s_suppkey, 'o' || s_suppkey AS operation_id, '/a' AS path, 'search' AS capability, true AS searches FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT s_suppkey, 'p', '/b', 'fetch', true FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'r', '/d', 'unknown', false FROM supplier WHERE s_suppkey % 3 = 1)""")
 def manifest_operations(t):
-    """Operations of manifests, and whether each serves a search."""
+    """Operations of manifests, and whether each serves a search; of A15, which operations serve a capability."""
     o = envelopes.operations(t("supplier").select("s_suppkey", F.expr(MANIFEST).alias("json")), "s_suppkey")
     can = envelopes.operations_for(o, "search").select("s_suppkey", "operation_id", F.lit(True).alias("searches"))
     return o.join(can, ["s_suppkey", "operation_id"], "left").select("s_suppkey", "operation_id", "path", "capability", F.coalesce("searches", F.lit(False)).alias("searches"))

@@ -71,7 +71,7 @@ def hierarchy_closure(t):
 
 @query("WITH " + SCORED + ' SELECT left_id, right_id, round(structure, 6) AS structure, round(lexical, 6) AS lexical FROM st')
 def pair_similarity(t):
-    """Scores of all pairs that share anything."""
+    """Scores of all pairs that share anything."""
     return scored(t).select("left_id", "right_id", F.round("structure", 6).alias("structure"), F.round("lexical", 6).alias("lexical"))
 
 
@@ -100,7 +100,7 @@ def similarity_run(t):
 
 @query("WITH " + RECORDS + ", m AS (SELECT task AS component, id, unnest(operator) AS token FROM rec), s AS (SELECT task AS component, count(DISTINCT id) AS size FROM rec WHERE len(operator) > 0 GROUP BY 1) SELECT component, token, count(*) AS n, count(DISTINCT id) = any_value(size) AS in_all FROM m JOIN s USING (component) GROUP BY component, token HAVING count(*) >= 2")
 def family_features(t):
-    """Tokens that a family shares, and those that all its members have."""
+    """Tokens that a family shares, and those that all its members have."""
     return coverage.stratum_family(records(t).select(F.col("task").alias("component"), "id", F.explode("operator").alias("token")))
 
 

@@ -19,13 +19,13 @@ _REP = "CASE p_size % 3 WHEN 0 THEN 'abstract' WHEN 1 THEN 'Scan' END"
 
 @query(f"WITH {RECORDS}, m AS (SELECT id, {_MISSING} AS m FROM rec) SELECT id, CAST(6 - len(m) AS INTEGER) AS n_filled, round((6 - len(m)) / 6.0::DOUBLE, 6) AS completeness, array_to_string(m, '|') AS missing FROM m")
 def problem_completeness(t):
-    """How many fields of a record are filled, and which aren't."""
+    """How many fields of any record are filled, and which aren't."""
     return op.completeness(records(t), FIELDS).select("id", "n_filled", "completeness", F.array_join("missing", "|").alias("missing"))
 
 
 @query(f"WITH {RECORDS} SELECT id, array_to_string(list_filter([CASE WHEN task = 't0' THEN 'unknown task' END, CASE WHEN len(topology) = 0 THEN 'version not pinned' END, CASE WHEN len(lexical) / 40.0::DOUBLE < 0.5 THEN 'low confidence' END], lambda x: x IS NOT NULL), '|') AS flags FROM rec")
 def problem_flags(t):
-    """Flags of ambiguous records."""
+    """Flags of ambiguous records."""
     task = F.when(F.col("task") == "t0", "unknown").otherwise(F.col("task"))
     return records(t).select("id", F.array_join(op.ambiguity(task, F.array_join("topology", ""), F.size("lexical") / 40), "|").alias("flags"))
 

@@ -69,7 +69,7 @@ def _old_new(t):
 
 @query(f"SELECT * FROM {_OLD} o WHERE id NOT IN (SELECT id FROM {_NEW} n) UNION ALL SELECT * FROM {_NEW} n")
 def store_replace(t):
-    """Rows replaced by key, nulls too."""
+    """Rows replaced by key, nulls too, as in the store of problems; the stores with children are in store_queries."""
     return state.store("problem", *_old_new(t))
 
 
@@ -81,19 +81,19 @@ def store_asset(t):
 
 @query(f"SELECT * FROM {_OLD} o UNION ALL SELECT * FROM {_NEW} n WHERE id NOT IN (SELECT id FROM {_OLD} o)")
 def store_absent(t):
-    """Rows with new keys only."""
+    """Rows with new keys only, as in the store of quality reports."""
     return state.store("quality", *_old_new(t))
 
 
 @query(f"SELECT * FROM {_OLD} o UNION ALL SELECT * FROM {_NEW} n")
 def store_append(t):
-    """Rows are added as they are."""
+    """Hits are added as they are."""
     return state.store("retrieval_hit", *_old_new(t))
 
 
 @query("SELECT coalesce(s.k, c.k) AS subject, 'retracts' AS relation, 'x' AS object, 'p' AS provider, coalesce(s.v, c.v) AS note FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer) c FULL JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS v FROM supplier) s ON c.k = s.k")
 def store_integrity(t):
-    """Assertions by key, where a new one fills in or replaces what it has."""
+    """Assertions by key, where a new one fills in or replaces what it has."""
     row = lambda k, v: [F.col(k).alias("subject"), F.lit("retracts").alias("relation"), F.lit("x").alias("object"), F.lit("p").alias("provider"), v.alias("note")]
     return state.store("integrity", t("customer").select(*row("c_custkey", F.col("c_mktsegment"))), t("supplier").select(*row("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")))))
 
@@ -111,7 +111,7 @@ def _jobs(t):
 
 @query(f"WITH j AS ({_JOBS}), c AS (SELECT id FROM j WHERE status = 'pending' AND attempts < 3 AND available_at <= TIMESTAMP '{NOW}' ORDER BY priority DESC, available_at, id LIMIT 1) SELECT j.id, CASE WHEN c.id IS NOT NULL THEN 'running' ELSE status END AS status, CAST(attempts + CASE WHEN c.id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS attempts, c.id IS NOT NULL AS claimed FROM j LEFT JOIN c ON j.id = c.id")
 def queue_claim(t):
-    """The queue after its next job was claimed."""
+    """The queue after its next job was claimed."""
     return state.claim(_jobs(t), NOW).select("id", "status", "attempts", F.col("claimed_at").isNotNull().alias("claimed"))
 
 
@@ -150,7 +150,7 @@ def operational_snapshot(t):
 
 @query("SELECT 'family' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'provider', source, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'year', CAST(year(o_orderdate) AS VARCHAR), count(*) FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 2 UNION ALL SELECT 'metric', 'works', count(*) FROM orders UNION ALL SELECT 'metric', 'problems', 0 UNION ALL SELECT 'gap', 'problem_representation', 0")
 def corpus_snapshot(t):
-    """Families, providers and years, counts of tables, and the tables that are empty."""
+    """Families, providers and years, counts of tables, and the tables that are empty."""
     return ordered.snapshot({"family": (t("orders"), "o_orderpriority"), "provider": (t("documents"), "source"), "year": (t("orders").select(F.year("o_orderdate").cast("string").alias("y")), "y")}, {"works": t("orders"), "problems": t("orders").where("false")}, {"works": "corpus", "problems": "problem_representation"})
 
 

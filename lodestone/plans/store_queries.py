@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import children, observed, ordered
+from ..operators import children, observed, ordered, state
 from ..sources.tableset import Changes, table
 from .campaign import Stage, run_campaign, summary
 from .lineage import shared_folder
@@ -177,6 +177,48 @@ def retrieval_stores(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""WITH o AS (SELECT DISTINCT 'order' AS st, CAST(l_orderkey AS VARCHAR) AS s, l_returnflag AS r, CASE WHEN l_partkey % 2 = 0 THEN 'part' END AS ot, CAST(l_partkey AS VARCHAR) AS o, l_linestatus AS p FROM lineitem) SELECT st, s, r, ot, o, p, CASE WHEN CAST(s AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS payload FROM o UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), 'Q', NULL, '0', NULL, 'new' FROM orders""")
+def relation_store(t):
+    """Typed relations by their six columns, nulls equal; the payload of a third is replaced, and one an order is new."""
+    text_of = lambda c: F.col(c).cast("string")
+    key = [F.lit("order").alias("subject_type"), text_of("l_orderkey").alias("subject"), F.col("l_returnflag").alias("relation"), F.when(F.col("l_partkey") % 2 == 0, "part").alias("object_type"), text_of("l_partkey").alias("object"), F.col("l_linestatus").alias("provider")]
+    lines = t("lineitem")
+    none = F.lit(None).cast("string")
+    old = lines.select(*key).distinct().withColumn("payload", F.lit("old"))
+    fresh = t("orders").select(F.lit("order").alias("subject_type"), text_of("o_orderkey").alias("subject"), F.lit("Q").alias("relation"), none.alias("object_type"), F.lit("0").alias("object"), none.alias("provider"))
+    new = lines.where("l_orderkey % 3 = 0").select(*key).unionByName(fresh).withColumn("payload", F.lit("new"))
+    return state.store("relation", old, new).toDF("st", "s", "r", "ot", "o", "p", "payload")
+
+
+@query("WITH o AS (SELECT p_partkey AS l, p_partkey + 1 AS r FROM part WHERE p_partkey % 2 = 0), n AS (SELECT DISTINCT least(p_partkey, p_size + 0) AS l, greatest(p_partkey, p_size + 0) AS r FROM part UNION SELECT p_partkey, p_partkey + 1 FROM part) SELECT l AS left_id, r AS right_id, 'old' AS method FROM o UNION ALL SELECT l, r, 'new' FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.l = n.l AND o.r = n.r)")
+def pair_store(t):
+    """Pairs known by their ids in order; one that is there stays as it was, in whichever order it comes again."""
+    part = t("part")
+    k = F.col("p_partkey")
+    old = part.where(k % 2 == 0).select(k.alias("left_id"), (k + 1).alias("right_id"), F.lit("old").alias("method"))
+    new = part.select((k + 1).alias("left_id"), k.alias("right_id")).unionByName(part.select(k.alias("left_id"), F.col("p_size").cast("long").alias("right_id"))).withColumn("method", F.lit("new"))
+    return state.store("similarity", old, state.sorted_pairs(new))
+
+
+@query("SELECT 'q' || event_id AS request_id, CASE WHEN event_id % 4 = 0 THEN 503 ELSE 200 END AS code, CASE WHEN event_id % 4 > 0 THEN 'again' END AS note FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'q' || event_id, 200, 'again' FROM events WHERE event_id % 4 IN (1, 3)")
+def http_audit(t):
+    """Calls by request id; a later word on a request replaces the earlier, nulls too."""
+    k = F.col("event_id")
+    key = F.concat(F.lit("q"), k.cast("string")).alias("request_id")
+    old = t("events").where(k % 2 == 0).select(key, F.lit(503).alias("code"), F.lit(None).cast("string").alias("note"))
+    return state.store("http_call", old, t("events").where(k % 4 > 0).select(key, F.lit(200).alias("code"), F.lit("again").alias("note")))
+
+
+@query("WITH s AS (SELECT s_name, s_nationkey, s_suppkey FROM supplier), v AS (SELECT s_name, s_nationkey, s_suppkey % 3 = 0 AS changed FROM s) SELECT 'sha256:' || sha256('{\"nation\":\"' || s_nationkey || '\",\"provider\":\"' || s_name || '\"}') AS fingerprint, s_name AS provider, 1 AS seen FROM v UNION ALL SELECT 'sha256:' || sha256('{\"nation\":\"' || (s_nationkey + 1) || '\",\"provider\":\"' || s_name || '\"}'), s_name, 2 FROM v WHERE changed")
+def provider_snapshots(t):
+    """Snapshots of providers known by their content: what says the same again is not added."""
+    def told(seen, nation):
+        return t("supplier").select(state.content_id(provider=F.col("s_name"), nation=nation.cast("string")).alias("fingerprint"), F.col("s_name").alias("provider"), F.lit(seen).alias("seen"))
+
+    nation = F.col("s_nationkey")
+    return state.store("provider_snapshot", told(1, nation), told(2, F.when(F.col("s_suppkey") % 3 == 0, nation + 1).otherwise(nation)))
+
+
 _VALID = {"ref": "l_orderkey IS NOT NULL AND l_partkey IS NOT NULL", "quantity": "l_quantity BETWEEN 1 AND 45", "discount": "l_discount < 0.1"}
 
 

@@ -21,7 +21,7 @@ def coverage_strata(t):
 
 @query("SELECT source, count(*) AS docs, count(DISTINCT lang) AS langs, sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END)::BIGINT AS long_docs FROM documents GROUP BY source")
 def coverage_snapshot(t):
-    """Counts by source."""
+    """Counts by source."""
     return t("documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 2000).alias("long_docs"))
 
 
@@ -99,7 +99,7 @@ _MIME = "CASE p_size % 6 WHEN 0 THEN 'application/jats+xml' WHEN 1 THEN 'applica
 
 @query(f"WITH a AS (SELECT p_partkey, p_size, lower({_REP}) AS r, lower(coalesce({_MIME}, '')) AS m FROM part), s AS (SELECT *, CASE r WHEN 'jats' THEN 100 WHEN 'xml' THEN 90 WHEN 'tei' THEN 90 WHEN 'tex' THEN 85 WHEN 'latex' THEN 85 WHEN 'source' THEN 80 WHEN 'html' THEN 70 WHEN 'text' THEN 60 WHEN 'plain_text' THEN 60 WHEN 'abstract' THEN 50 WHEN 'pdf' THEN 10 WHEN 'landing_page' THEN 0 ELSE 20 END AS own, CASE WHEN m LIKE '%jats%' THEN 100 WHEN m LIKE '%tei%' THEN 90 WHEN m LIKE '%tex%' THEN 85 WHEN m LIKE '%html%' THEN 70 WHEN m LIKE 'text/%' THEN 60 ELSE 0 END AS raised FROM a) SELECT p_partkey AS id, CAST(greatest(own, raised) AS INTEGER) AS score FROM s WHERE p_size % 5 <> 0 AND p_size % 7 NOT IN (0, 1) AND p_partkey % 3 <> 0")
 def asset_rank(t):
-    """Assets that may be mined and kept, by representation and MIME type."""
+    """Assets that may be mined and kept, by representation and MIME type."""
     permission = lambda n: F.when(F.col("p_size") % 7 == n, "denied").when(F.col("p_partkey") % 3 != 0, "allowed").alias("tdm" if n else "retention")
     d = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "gone").otherwise("retrievable").alias("availability"), permission(1), permission(0), F.expr(_REP).alias("representation"), F.expr(_MIME).alias("mime"))
     return coverage.rank_assets(d)
@@ -107,7 +107,7 @@ def asset_rank(t):
 
 @query("SELECT o_custkey, max_by(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS o_orderkey FROM orders GROUP BY o_custkey")
 def upsert_last_wins(t):
-    """The last order of each customer."""
+    """F8: the last order of each customer."""
     return ordered.keep_best(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
@@ -148,7 +148,7 @@ def budget_exhausted(t):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_records(t):
-    """A1, A4: typed fields of JSON records."""
+    """A field of JSON texts, with its type."""
     return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 

@@ -52,7 +52,7 @@ _ANY = lambda hints: " OR ".join(f"contains(f, '{h}')" for h in hints)  # noqa:
 @query(f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, i, x, replace(lower(x), 'ß', 'ss') AS f FROM l WHERE trim(x) <> ''), g AS (SELECT doc_id, count(*) AS sections, sum(len(regexp_extract_all(x, '[A-Za-z0-9][A-Za-z0-9_''-]*'))) AS words, sum(CASE WHEN {_ANY(records.PROBLEM_HINTS)} THEN 1 ELSE 0 END) AS problem, sum(CASE WHEN {_ANY(records.METHOD_HINTS)} THEN 1 ELSE 0 END) AS method, sum(CASE WHEN len(regexp_extract_all(x, '[A-Za-z] = ')) >= 2 THEN 1 ELSE 0 END) AS dense FROM s GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(sections, 0) AS INTEGER) AS sections, CAST(coalesce(words, 0) AS INTEGER) AS words, CAST(coalesce(problem, 0) AS INTEGER) AS problem_sections, CAST(coalesce(method, 0) AS INTEGER) AS method_sections, CAST(coalesce(dense, 0) AS INTEGER) AS math_dense, CASE WHEN sections IS NULL THEN 'document contains no parsed sections,' ELSE '' END || 'document contains no parsed references' AS warnings FROM documents LEFT JOIN g USING (doc_id)""")
 def document_intelligence(t):
-    """Words, sections with hints of problems and methods, sections dense in equations, and warnings. Sections are the lines with ink."""
+    """Words, sections with hints of problems and methods, sections dense in equations, and warnings. Sections are the lines with ink."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     section = F.transform(lines, lambda x: F.struct(F.lit("body").alias("kind"), x.alias("text"), F.size(text.every(x, "[A-Za-z] = ")).alias("equations")))
     return t("documents").select("doc_id", records.intelligence(section, F.lit(0)).alias("r")).select("doc_id", *[f"r.{c}" for c in ("sections", "words", "problem_sections", "method_sections", "math_dense")], F.array_join("r.warnings", ",").alias("warnings"))
@@ -80,7 +80,7 @@ def stable_ids(t):
 
 @query("""SELECT p_partkey, 'sha256:' || sha256('{"brand":"' || p_brand || '","name":"' || p_name || '"}') AS fingerprint FROM part""")
 def fingerprints(t):
-    """H2-H4: hashes of compact sorted JSON."""
+    """H2: hashes of compact sorted JSON."""
     return t("part").select("p_partkey", text.canonical_fingerprint(name=F.col("p_name"), brand=F.col("p_brand")).alias("fingerprint"))
 
 
