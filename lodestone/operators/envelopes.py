@@ -147,3 +147,32 @@ def link(runs: DataFrame, envelopes: DataFrame, campaign: str) -> DataFrame:
     """envelopes(run_id, campaign, ...): those of the runs(run_id) that belong to no campaign yet join this one."""
     met = envelopes.join(runs.select("run_id", F.lit(True).alias("_own")).distinct(), "run_id", "left")
     return met.withColumn("campaign", F.coalesce("campaign", F.when(F.col("_own"), F.lit(campaign)))).drop("_own")
+
+
+def chosen(found: DataFrame, key: str, capability: str) -> DataFrame:
+    """operations() of manifests -> key, operation_id, path, error: the one operation that serves a capability; none or several are an error, a manifest without operations is not there."""
+    n = found.groupBy(key).agg(F.count_if(_serves(capability)).alias("n"), F.min(F.when(_serves(capability), F.struct("operation_id", "path"))).alias("o"))
+    one = F.col("n") == 1
+    return n.select(key, F.when(one, F.col("o.operation_id")).alias("operation_id"), F.when(one, F.col("o.path")).alias("path"), F.when(F.col("n") == 0, f"no operation serves {capability}").when(~one, f"{capability} is ambiguous").alias("error"))
+
+
+def _serves(capability: str) -> Column:
+    return F.coalesce((F.col("capability") == capability) | F.array_contains("capabilities", capability), F.lit(False))
+
+
+def citation_edges(envelopes: DataFrame, asked: str, direction: str, column: str = "json") -> DataFrame:
+    """asked, direction, place, source, target, provider, edge_id of answers on references or cited_by; ends without an id are unknown."""
+    v = envelopes.select(asked, j.parsed(F.col(column)).alias("v"))
+    e = v.select(asked, F.posexplode(j.items(F.col("v"), "data.edges")).alias("place", "e"))
+    end = lambda n: F.coalesce(j.first_text(F.col("e"), (f"{n}.raw_id", f"{n}.id")), F.lit("unknown"))
+    return e.select(asked, F.lit(direction).alias("direction"), "place", end("source").alias("source"), end("target").alias("target"), F.coalesce(j.first_text(F.col("e"), ("provider", "asserting_provider")), F.lit("unknown")).alias("provider"), j.first_text(F.col("e"), ("edge_id", "id")).alias("edge_id"))
+
+
+def asset_rows(envelopes: DataFrame, asked: str, column: str = "json") -> DataFrame:
+    """asked, place, id, representation, url, provider, retention: assets of the answer, else those of its first citation; rights an asset lacks are the citation's."""
+    v = envelopes.select(asked, j.parsed(F.col(column)).alias("v")).withColumn("c", F.get(citations(F.col("v")), 0))
+    own = j.objects(F.col("v"), "data.assets")
+    listed = F.when(F.size(j.items(F.col("v"), "data.assets")) > 0, own).otherwise(F.coalesce(j.objects(F.col("c"), "assets"), F.array().cast("array<variant>")))
+    a = v.select(asked, "c", F.posexplode(listed).alias("place", "a"))
+    rights = permission(j.field(F.col("a"), "rights"), j.field(F.col("c"), "rights"), "retention")
+    return a.select(asked, "place", j.first_text(F.col("a"), ("id", "asset_id")).alias("id"), F.coalesce(j.first_text(F.col("a"), ("representation", "type")), F.lit("unknown")).alias("representation"), j.first_text(F.col("a"), ("url", "href")).alias("url"), F.coalesce(j.text(F.col("c"), "provider"), F.lit("unknown")).alias("provider"), rights.alias("retention"))

@@ -129,3 +129,33 @@ def source_works(t):
     d = d.withColumn("w", F.when(k == 0, providers.openalex(F.col("v"))).when(k == 1, providers.crossref(F.col("v"))).when(k == 2, providers.europe_pmc(F.col("v"))).otherwise(providers.arxiv(F.col("raw"))))
     listed = lambda c, sep, a, b: F.array_join(F.transform(f"w.{c}", lambda x: F.concat(x[a], F.lit(sep), x[b])), ",").alias(c)
     return d.select("p_partkey", "w.title", "w.abstract", "w.year", "w.kind", listed("identifiers", ":", "scheme", "value"), F.array_join("w.authors", ",").alias("authors"), listed("assets", "=", "representation", "url"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 1 THEN NULL END AS operation_id, CASE s_suppkey % 3 WHEN 0 THEN 'search is ambiguous' ELSE 'no operation serves search' END AS error, CASE WHEN s_suppkey % 3 = 0 THEN 'p' END AS fetches FROM supplier WHERE s_suppkey % 3 < 2")
+def operation_dispatch(t):
+    """The operation of each manifest that serves a search or a fetch, or why none can be chosen."""
+    o = envelopes.operations(t("supplier").select("s_suppkey", F.expr(MANIFEST).alias("json")), "s_suppkey")
+    fetch = envelopes.chosen(o, "s_suppkey", "fetch").select("s_suppkey", F.col("operation_id").alias("fetches"))
+    return envelopes.chosen(o, "s_suppkey", "search").join(fetch, "s_suppkey").select("s_suppkey", "operation_id", "error", "fetches")
+
+
+_EDGES = """CASE s_suppkey % 4 WHEN 0 THEN '{"data":{"edges":[{"source":{"raw_id":"a' || s_suppkey || '","id":"no"},"target":{"id":"b"},"provider":"p","edge_id":"e1"},{"source":"text","target":{"raw_id":" "},"asserting_provider":"q","id":"e2"},7]}}'
+WHEN 1 THEN '{"data":{"edges":"none"}}' WHEN 2 THEN '{"data":{"edges":[{"target":{"id":"c"}}]}}' END"""
+
+
+@query("""SELECT s_suppkey, 'references' AS direction, CAST(place AS INTEGER) AS place, source, target, provider, edge_id FROM (SELECT s_suppkey, 0 AS place, 'a' || s_suppkey AS source, 'b' AS target, 'p' AS provider, 'e1' AS edge_id FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT s_suppkey, 1, 'unknown', 'unknown', 'q', 'e2' FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 2, 'unknown', 'unknown', 'unknown', NULL FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 0, 'unknown', 'c', 'unknown', NULL FROM supplier WHERE s_suppkey % 4 = 2)""")
+def reference_edges(t):
+    """Citation edges of answers, well formed or not."""
+    return envelopes.citation_edges(t("supplier").select("s_suppkey", F.expr(_EDGES).alias("json")), "s_suppkey", "references")
+
+
+_ASSETS = """CASE s_suppkey % 4 WHEN 0 THEN '{"data":{"assets":[{"id":"x' || s_suppkey || '","representation":"jats","url":"u","rights":{"retention":"denied"}},{"asset_id":"y","type":"pdf","href":"v"},"text"]},"citation":[{"provider":"c","rights":{"retention":"allowed"},"assets":[{"id":"not this"}]}]}'
+WHEN 1 THEN '{"data":{"assets":[]},"citation":{"provider":"d","rights":{"citation_only":true},"assets":[{"id":"z","url":"w"}]}}' WHEN 2 THEN '{"data":{},"citation":[]}' END"""
+
+
+@query("""SELECT s_suppkey, CAST(place AS INTEGER) AS place, id, representation, url, provider, retention FROM (SELECT s_suppkey, 0 AS place, 'x' || s_suppkey AS id, 'jats' AS representation, 'u' AS url, 'c' AS provider, 'denied' AS retention FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT s_suppkey, 1, 'y', 'pdf', 'v', 'c', 'allowed' FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 0, 'z', 'unknown', 'w', 'd', 'denied' FROM supplier WHERE s_suppkey % 4 = 1)""")
+def answered_assets(t):
+    """Assets of answers, else of their first citation, with rights that they inherit."""
+    return envelopes.asset_rows(t("supplier").select("s_suppkey", F.expr(_ASSETS).alias("json")), "s_suppkey")

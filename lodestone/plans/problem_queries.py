@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import problems as op
 from .registry import query
 
@@ -95,3 +96,11 @@ def record_completeness(t):
 def problem_quality(t):
     """Completeness and evidence over the eight fields of high value, and what makes a problem ambiguous."""
     return op.quality(_records(t)).select("p_partkey", "completeness", F.array_join("missing", "|").alias("missing"), "evidence_coverage", F.array_join("ambiguity_flags", "|").alias("flags"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(concat_ws(' ', 'The ' || p_name || ' and that', CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_type END, array_to_string(string_split(p_name, ' ')[:p_size % 3], ' '), CASE WHEN p_size % 5 > 0 THEN p_brand END), '[A-Za-z][A-Za-z0-9_-]{2,}'), lambda x: replace(lower(x), 'ß', 'ss')), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this')))), '|') AS tokens FROM part")
+def lexical_view(t):
+    """The distinct folded words of a problem's statement, objective, inputs, outputs and constraints, without seven stop words."""
+    said = F.concat_ws(" ", F.concat(F.lit("The "), "p_name", F.lit(" and that")), "objective", F.array_join("inputs", " "), F.array_join("outputs", " "), F.array_join("constraints", " "))
+    d = _records(t).join(t("part").select("p_partkey", "p_name"), "p_partkey")
+    return d.select("p_partkey", F.array_join(F.array_sort(text.lexical_tokens(said)), "|").alias("tokens"))
