@@ -100,3 +100,20 @@ def snapshot(groups: dict[str, tuple[DataFrame, str]], tables: dict[str, DataFra
     for d in told:
         out = d.unionByName(out)
     return out
+
+
+def budget(calls: DataFrame, key: str, order: list[Column], requests: int, results: int, cost: float | None = None) -> DataFrame:
+    """calls(key, results, cost, ...) with requests_used, results_seen, cost_used and exhausted after each call of a key, in order: each of the caps that is reached exhausts. What is below 0 or null counts as 0."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    used = lambda c, kind: F.sum(F.greatest(F.lit(0).cast(kind), F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)))).over(w)
+    d = calls.select("*", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("requests_used"), used("results", "long").alias("results_seen"), used("cost", "double").alias("cost_used"))
+    over = (F.col("requests_used") >= requests) | (F.col("results_seen") >= results)
+    return d.withColumn("exhausted", over if cost is None else over | (F.col("cost_used") >= cost))
+
+
+def grouped_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """dimension, value, n: rows by each column by itself, in one pass; null is unknown."""
+    d = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in columns])
+    sets = d.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.count("*").alias("n"))
+    which = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns])
+    return sets.select(which.alias("dimension"), F.coalesce(*columns).alias("value"), "n")

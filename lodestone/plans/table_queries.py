@@ -146,6 +146,19 @@ def budget_exhausted(t):
     return t("events").select("user_id", "event_id", (F.sum("value").over(w) >= 500).alias("exhausted"))
 
 
+@query("SELECT client_id, click_id, CAST(row_number() OVER w AS BIGINT) AS requests_used, CAST(sum(greatest(0, coalesce(CAST(trunc(value) AS BIGINT), 0))) OVER w AS BIGINT) AS results_seen, row_number() OVER w >= 20 OR sum(greatest(0, coalesce(CAST(trunc(value) AS BIGINT), 0))) OVER w >= 400 AS exhausted FROM (SELECT DISTINCT click_id, client_id, ts, value FROM clicks) WINDOW w AS (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST, value NULLS FIRST ROWS UNBOUNDED PRECEDING)")
+def budget_caps(t):
+    """Requests, results and cost used after each call of a client, and whether a cap is reached."""
+    c = t("clicks").select("click_id", "client_id", "ts", "value").distinct().withColumns({"results": F.col("value").cast("long"), "cost": F.lit(None).cast("double")})
+    return ordered.budget(c, "client_id", [F.col("ts").asc_nulls_first(), F.col("click_id").asc_nulls_first(), F.col("value").asc_nulls_first()], 20, 400).select("client_id", "click_id", "requests_used", "results_seen", "exhausted")
+
+
+@query("SELECT 'segment' AS dimension, coalesce(segment, 'unknown') AS value, count(*) AS n FROM clients GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM clients GROUP BY 2")
+def benchmark_summary(t):
+    """Rows by each of two columns, in one pass."""
+    return ordered.grouped_counts(t("clients"), ["segment", "source"])
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_records(t):
     """A field of JSON texts, with its type."""
