@@ -5,9 +5,10 @@
    freed share D V / N is the probability of an unknown word.
 2. The WORDS most frequent words, and one class for the rest, are the vocabulary of the
    log-bilinear model (see _lbl): three words of context, each with a matrix of its
-   own, and a vector for each word to be told. Every task makes a pass over all training
-   texts of its share, of about TASK_TOKENS tokens, from the same start; what tasks moved is
-   averaged row by row, each weighed by how often it moved the row.
+   own, and a vector for each word to be told. Texts are dealt to rounds, one more for each
+   fourfold of the corpus. In a round every task makes a pass over its share, of about
+   TASK_TOKENS tokens, from the mean of the round before; what tasks moved is averaged row
+   by row, each weighed by how often it moved the row, in groups of tasks first.
 3. All texts are scored in batches: matrix products give each token's probability,
    normalised over the vocabulary; a rest word adds its discounted share of the rest.
 
@@ -35,7 +36,7 @@ from . import _lbl
 from ._cut import cut
 from ._text import FOLD, SPACED, pieces, spans, word_hashes
 
-WORDS, WIDE, TASK_TOKENS, ROUNDS, CHUNK = (1 << 16) - 1, 1 << 19, 1 << 22, 1, 1024
+WORDS, WIDE, TASK_TOKENS, PASSES, CHUNK = (1 << 16) - 1, 1 << 19, 1 << 22, 1, 1024
 END = np.uint64(0xE0D)
 
 
@@ -150,8 +151,8 @@ def lookup(counts: Counts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.where(i >= 0, counts.ranks[np.maximum(i, 0)] if len(counts.ranks) else 0, 0).astype(np.int32)
 
 
-def train_round(train: DataFrame, counts: Counts, tree: _lbl.Tree, model: _lbl.Model, seed: int, tokens_each: int = TASK_TOKENS) -> _lbl.Model:
-    """One pass over all training texts, in tasks that each start from model; the average of what they moved."""
+def train_round(train: DataFrame, counts: Counts, tree: _lbl.Tree, model: _lbl.Model, seed: int, total: int, tokens_each: int = TASK_TOKENS) -> _lbl.Model:
+    """One pass over these training texts, of about `total` tokens, in tasks that each start from model; the average of what they moved."""
     sent = train.sparkSession.sparkContext.broadcast((counts, tree, model))
 
     def run(batches):
@@ -178,12 +179,12 @@ def train_round(train: DataFrame, counts: Counts, tree: _lbl.Tree, model: _lbl.M
                 z = slice(i, i + CHUNK)
                 if seen[z].any():
                     moved = (new[z] - old[z]) * seen[z][:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([moved.tobytes()]), pa.array([seen[z].tobytes()])], ["k", "i", "moved", "seen"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([TaskContext.get().partitionId() % groups]), pa.array([moved.tobytes()]), pa.array([seen[z].tobytes()])], ["k", "i", "g", "moved", "seen"])
 
-    def total(batches):
+    def summed(batches):
         key, moved, seen = None, None, None
         for batch in batches:
-            for k, i, m, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, i, m, n in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "moved", "seen")), strict=True):
                 m, n = np.frombuffer(m, np.float32).astype(np.float64), np.frombuffer(n, np.float32).astype(np.float64)
                 if key == (k, i):
                     moved, seen = moved + m, seen + n
@@ -195,27 +196,38 @@ def train_round(train: DataFrame, counts: Counts, tree: _lbl.Tree, model: _lbl.M
             yield done(key, moved, seen)
 
     def done(key, moved, seen):
-        mean = (moved.reshape(len(seen), -1) / np.maximum(seen, 1e-9)[:, None]).astype(np.float32)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([mean.tobytes()])], ["k", "i", "moved"])
-
-    tasks = max(1, -(-counts.total // tokens_each))
-    moved = train.select("text").coalesce(tasks).mapInArrow(run, "k long, i long, moved binary, seen binary")
-    mean = moved.repartition("k", "i").sortWithinPartitions("k", "i").mapInArrow(total, "k long, i long, moved binary").toArrow()  # the size of the model
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([moved.astype(np.float32).tobytes()]), pa.array([seen.astype(np.float32).tobytes()])], ["k", "i", "moved", "seen"])
+
+    tasks = max(1, -(-total // tokens_each))
+    groups = max(1, round(tasks**0.5))  # what tasks moved is summed by group of tasks, then over groups, so that no task has all of a chunk
+    moved = train.select("text").coalesce(tasks).mapInArrow(run, "k long, i long, g long, moved binary, seen binary")
+    for keys in (["k", "i", "g"], ["k", "i"]):
+        moved = moved.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(summed, "k long, i long, moved binary, seen binary")
+    mean = moved.toArrow()  # the size of the model
     out = _lbl.Model(model.C.copy(), model.R.copy(), [v.copy() for v in model.V])
-    for k, i, m in zip(*(mean[c].to_pylist() for c in ("k", "i", "moved")), strict=True):
+    for k, i, m, n in zip(*(mean[c].to_pylist() for c in ("k", "i", "moved", "seen")), strict=True):
         a = out.arrays()[k]
-        a[i : i + CHUNK] += np.frombuffer(m, np.float32).reshape(-1, a.shape[1])
+        a[i : i + CHUNK] += np.frombuffer(m, np.float32).reshape(-1, a.shape[1]) / np.maximum(np.frombuffer(n, np.float32), 1e-9)[:, None]
     sent.unpersist()
     return out
 
 
-def fit(train: DataFrame, words: int = WORDS, wide: int = WIDE, rounds: int = ROUNDS, tokens_each: int = TASK_TOKENS) -> Fitted:
-    """train(text): counts and the model of all its texts."""
+def rounds_of(total: int, tokens_each: int = TASK_TOKENS) -> int:
+    """One round, and one more for each fourfold of what a task takes."""
+    return 1 + max(0, int(np.log(max(1.0, total / tokens_each)) / np.log(4)))
+
+
+def fit(train: DataFrame, words: int = WORDS, wide: int = WIDE, passes: int = PASSES, tokens_each: int = TASK_TOKENS) -> Fitted:
+    """train(text, and doc_id if there is one): counts and the model of all its texts."""
     table, counts = gather(train, words, wide)
     tree = counts.tree()
     model = _lbl.Model.new(tree)
-    for i in range(rounds if counts.total else 0):
-        model = train_round(train, counts, tree, model, i, tokens_each)
+    rounds = rounds_of(counts.total, tokens_each)
+    # texts are dealt to rounds, each of which goes on from the mean of the one before
+    own = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in train.columns]), F.lit(rounds))
+    for i in range(passes * rounds if counts.total else 0):
+        part = train if rounds == 1 else train.where(own == i % rounds)
+        model = train_round(part, counts, tree, model, i, counts.total // rounds, tokens_each)
     return Fitted(table, counts, tree, model)
 
 
