@@ -25,6 +25,17 @@ def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, bloc
         own = Window.partitionBy("node")
         ranked = e.join(size, "by").withColumn("_r", F.row_number().over(own.orderBy("n", "by"))).withColumn("_all", F.count("*").over(own))
         met = ranked.where(F.col("_r") <= F.col("_all") - (least - 1)).select("node", "by")
+    pairs = meetings(met, hot, block)
+    if least == 1:
+        return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), *[F.min("by").alias("first")] * first)
+    pairs = pairs.select("left_id", "right_id").distinct()
+    has = e.groupBy("node").agg(F.collect_set("by").alias("s")).where(F.size("s") >= least)
+    both = pairs.join(has.select(F.col("node").alias("left_id"), F.col("s").alias("l")), "left_id").join(has.select(F.col("node").alias("right_id"), F.col("s").alias("r")), "right_id")
+    return both.select("left_id", "right_id", F.size(F.array_intersect("l", "r")).cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
+def meetings(met: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+    """met(node, by), distinct -> by, left_id < right_id of each two nodes that meet at a `by`; those of hot(by, n), cut, with n nodes or more in all, are dealt in pairs of blocks."""
     crowded = not hot.isEmpty()
     plain = met.join(sent(hot.select("by")), "by", "left_anti") if crowded else met
     a, c = plain.withColumnRenamed("node", "left_id"), plain.withColumnRenamed("node", "right_id")
@@ -35,12 +46,7 @@ def shared_neighbours(edges: DataFrame, node: str, by: str, least: int = 1, bloc
         c = d.select("by", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "b")).alias("lo"), F.col("b").alias("hi"))
         dealt = a.join(c, ["by", "lo", "hi"]).where("lo < hi OR x < y")
         pairs = pairs.unionByName(dealt.select("by", F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")))
-    if least == 1:
-        return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), *[F.min("by").alias("first")] * first)
-    pairs = pairs.select("left_id", "right_id").distinct()
-    has = e.groupBy("node").agg(F.collect_set("by").alias("s")).where(F.size("s") >= least)
-    both = pairs.join(has.select(F.col("node").alias("left_id"), F.col("s").alias("l")), "left_id").join(has.select(F.col("node").alias("right_id"), F.col("s").alias("r")), "right_id")
-    return both.select("left_id", "right_id", F.size(F.array_intersect("l", "r")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    return pairs
 
 
 def degrees(edges: DataFrame) -> DataFrame:
