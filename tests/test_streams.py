@@ -6,6 +6,7 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import Row
 
 from lodestone.sources.paged import paged_source
 from lodestone.streaming import jobs as stream
@@ -123,3 +124,33 @@ def test_paged_batch(spark, pages):
     read = spark.read.format("fixture").options(path=f"{pages}/p", log=f"{pages}/log")
     assert read.load().count() == 15 and read.option("pages", 2).load().count() == 6
     assert sorted(r.work for r in read.options(cursor="c4", pages=9).load().collect()) == ["w40", "w41", "w42"]
+
+
+def test_a_job_costs_few_calls_of_its_state():
+    """Rows of a job are stepped as they are, and timers are asked for only if one may be set."""
+    calls = []
+
+    class State:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, v):
+            self.now = v
+
+    class Handle:
+        getValueState = lambda self, *a: State()
+        listTimers = lambda self: calls.append("list") or [7]
+        deleteTimer = lambda self, t: calls.append(("delete", t))
+        registerTimer = lambda self, t: calls.append(("register", t))
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    row = lambda kind, at, seq: Row(kind=kind, at_ms=at, due_ms=None, seq=seq, priority=None, max_attempts=None, error="x")
+    jobs = stream.Jobs(30)
+    jobs.init(Handle())
+    out = list(jobs.handleInputRows(("a",), iter([row("claim", 6, 2), row("enqueue", 5, 1)]), Now()))
+    assert [(r.id, r.status, r.attempts, r.notice) for r in out] == [("a", "running", 1, False)] and calls == []
+    assert [r.status for r in jobs.handleInputRows(("a",), iter([row("fail", 8, 3)]), Now())] == ["pending"] and calls == [("register", 38)]
+    assert [r.status for r in jobs.handleInputRows(("a",), iter([row("complete", 9, 4)]), Now())] == ["completed"] and calls[1:] == ["list", ("delete", 7)]
