@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, every, let, reference_ids, title_norm, word_tokens
+from .graph import expanded, kinds, packed
 
 # fixed values: what tells sections on problems and on methods
 PROBLEM_HINTS = ("problem", "objective", "we seek", "we solve", "we consider", "estimate", "infer", "optimize", "simulate", "predict", "control", "reconstruct")
@@ -72,22 +73,26 @@ def possible_identities(works: DataFrame, least: float = 0.82, years: int = 1) -
     A pair whose known years differ by more than `years` counts half. Pairs meet at the
     rarest words of each title only: titles that overlap by `least` share one of the
     first n - ceil(least n) + 1 of their n words in order of rarity, so no such pair is lost.
+    Works of equal words and year are met once, as a kind, and paired in the task that has their kinds.
     Titles without words have no pairs.
     """
-    t = works.select("id", "year", F.array_distinct(F.filter(F.split(title_norm(F.col("title")), " "), lambda x: x != "")).alias("words")).where(F.size("words") > 0)
+    words = F.array_distinct(F.filter(F.split(title_norm(F.col("title")), " "), lambda x: x != ""))
+    kind, own = kinds(works.select("id", "year", words.alias("words")).where(F.size("words") > 0), "id", ["words", "year"])
+    t = kind.select(F.col("kind").alias("id"), "year", "words")
     w = t.select("id", F.explode("words").alias("word"))
     ranked = w.join(w.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
     head = F.slice("r.word", 1, (F.size("r") - F.ceil(least * F.size("r") - 1e-9) + 1).cast("int"))
     t = t.join(ranked.select("id", head.alias("head")), "id")
     side = lambda s: t.select(F.struct("id", "year", "words", "head").alias(s), F.explode("head").alias("word"))
     a, b = side("a"), side("b")
-    both = a.join(b, "word").where("a.id < b.id").where(F.size("a.words") >= least * F.size("b.words") - 1e-9).where(F.size("b.words") >= least * F.size("a.words") - 1e-9)
+    both = a.join(b, "word").where("a.id <= b.id").where(F.size("a.words") >= least * F.size("b.words") - 1e-9).where(F.size("b.words") >= least * F.size("a.words") - 1e-9)
     # a pair that meets at several words counts at the first
     both = both.where(F.array_intersect("a.head", "b.head")[0] == F.col("word"))
     score = F.size(F.array_intersect("a.words", "b.words")) / F.size(F.array_union("a.words", "b.words"))
     apart = F.coalesce(F.abs(F.col("a.year") - F.col("b.year")) > years, F.lit(False))
-    scored = both.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.when(apart, score * 0.5).otherwise(score).alias("score"))
-    return scored.where(F.col("score") >= least).withColumn("score", F.round("score", 6))
+    scored = both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.when(apart, score * 0.5).otherwise(score).alias("score")).where(F.col("score") >= least)
+    d = expanded(scored, packed(own.select("kind", F.col("id").alias("own"))), "{}")
+    return d.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), F.round("score", 6).alias("score"))
 
 
 def disagreement(votes: DataFrame) -> DataFrame:
