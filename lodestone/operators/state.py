@@ -87,11 +87,14 @@ def upsert_works(works: DataFrame, ids: DataFrame, new: DataFrame) -> tuple[Data
 
     A new work is an old one by its id, else by the first of its identifiers that is known;
     its fields replace the old ones, nulls too. Unknown identifiers are added, known ones stay where they are.
-    New works should not share an identifier among themselves: of those that do, each stays.
+    New works should not share an identifier among themselves: of those that do, each stays. Of new works
+    that are one old work, that with the smallest id of its own stays, then by its other columns in their order.
     """
     told = owned(works, ids, new)
-    rows = told.select(*[F.col("_id").alias("id") if c == "id" else F.col(c) for c in works.columns])
-    after = works.join(rows.select("id").distinct(), "id", "left_anti").unionByName(rows.dropDuplicates(["id"]))
+    rest = [c for c in works.columns if c != "id"]
+    one = told.groupBy("_id").agg(F.min(F.struct("id", *rest)).alias("_one"))
+    rows = one.select(*[F.col("_id").alias("id") if c == "id" else F.col(f"_one.{c}").alias(c) for c in works.columns])
+    after = works.join(rows.select("id"), "id", "left_anti").unionByName(rows)
     listed = told.select("_id", F.explode("identifiers").alias("x")).select("_id", "x.scheme", "x.value")
     added = listed.join(ids, ["scheme", "value"], "left_anti").groupBy("scheme", "value").agg(F.min("_id").alias("work_id"))
     return after, ids.unionByName(added.select(*ids.columns))

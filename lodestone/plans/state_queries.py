@@ -45,9 +45,9 @@ def seed_identifiers(t):
     return state.first_identifier(hits, ids)
 
 
-@query("""WITH old AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS lang FROM customer), new AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 100000 + s_suppkey END AS id, s_name AS title, s_suppkey FROM supplier),
-m AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey WHEN s_suppkey % 3 <> 2 THEN s_suppkey ELSE id END AS id, title, NULL::VARCHAR AS lang FROM new)
-SELECT id, title, lang FROM m UNION ALL SELECT id, title, lang FROM old WHERE id NOT IN (SELECT id FROM m)""")
+@query(f"""WITH old AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS lang FROM customer), new AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 100000 + s_suppkey END AS id, s_name AS title, s_suppkey FROM supplier),
+i AS {_IDS}, m AS (SELECT CASE WHEN new.id IN (SELECT id FROM old) THEN new.id ELSE coalesce((SELECT min(work_id) FROM i WHERE scheme = 'doi' AND value = '10.5/c' || s_suppkey), new.id) END AS id, title, NULL::VARCHAR AS lang, new.id AS own FROM new)
+SELECT id, title, lang FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY own, title) = 1 UNION ALL SELECT id, title, lang FROM old WHERE id NOT IN (SELECT id FROM m)""")
 def upsert_works(t):
     """L1: works merged by id, else by their first known identifier; fields are overwritten, by nulls too."""
     old = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("lang"))
