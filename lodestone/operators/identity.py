@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold
-from .graph import components, shared_neighbours
+from .graph import components, expanded, packed
 
 
 def normalized(scheme: Column, value: Column) -> Column:
@@ -22,9 +22,22 @@ def identifiers(works: DataFrame) -> DataFrame:
 
 
 def same_works(works: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs of works that share an identifier: left_id < right_id, relation, reason (the smallest one shared), confidence. An identifier of very many works is dealt in pairs of blocks."""
-    pairs = shared_neighbours(identifiers(works), "id", "identifier", block=block, first=True)
-    return pairs.select("left_id", "right_id", F.lit("same_work").alias("relation"), F.concat(F.lit("exact identifier agreement on "), "first").alias("reason"), F.lit(1.0).alias("confidence"))
+    """Pairs of works that share an identifier: left_id < right_id, relation, reason (the smallest one shared), confidence.
+
+    A pair is made at its smallest shared identifier alone, in the task that has a pair of packs of about `block` of its
+    works, and is not moved: each work brings its smaller identifiers along, those of one work left out, and where
+    two share one of them they have met there. `_bits` tells most that share none.
+    """
+    held = identifiers(works)
+    shared = held.groupBy("identifier").agg(F.count("*").alias("n")).where("n > 1").select("identifier")
+    held = held.join(shared, "identifier").groupBy("id").agg(F.array_sort(F.collect_set("identifier")).alias("all")).select("id", F.posexplode("all").alias("p", "kind"), "all")
+    smaller = F.slice("all", F.lit(1), F.col("p"))
+    bits = F.aggregate(smaller, F.lit(0).cast("long"), lambda z, x: z.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    packs = packed(held.select("kind", F.struct("id", bits.alias("_bits"), smaller.alias("smaller")).alias("own")), block)
+    at = packs.select(F.col("kind").alias("a"), F.col("kind").alias("b")).distinct()
+    pairs = expanded(at, packs).where((F.col("x._bits").bitwiseAND(F.col("y._bits")) == 0) | ~F.arrays_overlap("x.smaller", "y.smaller"))
+    reason = F.concat(F.lit("exact identifier agreement on "), "a").alias("reason")
+    return pairs.select(F.least("x.id", "y.id").alias("left_id"), F.greatest("x.id", "y.id").alias("right_id"), F.lit("same_work").alias("relation"), reason, F.lit(1.0).alias("confidence"))
 
 
 def work_classes(works: DataFrame) -> DataFrame:
