@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as j
 from ..operators import envelopes, providers
+from .lineage import dealt
 from .registry import query
 
 #: an envelope for each event, of seven shapes
@@ -124,7 +125,7 @@ CASE p_partkey % 4 WHEN 0 THEN 'A B' WHEN 1 THEN 'G F,H' WHEN 2 THEN 'Q R' ELSE
 CASE p_partkey % 4 WHEN 0 THEN 'pdf=u1,landing_page=u2,landing_page=u3' WHEN 1 THEN 'fulltext=u,link=v' WHEN 2 THEN 'pdf=u,fulltext=v' ELSE 'alternate=h1,pdf=h2' END AS assets FROM part""")
 def source_works(t):
     """Works from the records of four public sources."""
-    d = t("part").select("p_partkey", F.expr(WORKS).alias("raw")).withColumn("v", j.parsed(F.col("raw")))
+    d = dealt(t("part").select("p_partkey", "p_name", "p_size"), "p_partkey").select("p_partkey", F.expr(WORKS).alias("raw")).withColumn("v", j.parsed(F.col("raw")))
     k = F.col("p_partkey") % 4
     d = d.withColumn("w", F.when(k == 0, providers.openalex(F.col("v"))).when(k == 1, providers.crossref(F.col("v"))).when(k == 2, providers.europe_pmc(F.col("v"))).otherwise(providers.arxiv(F.col("raw"))))
     listed = lambda c, sep, a, b: F.array_join(F.transform(f"w.{c}", lambda x: F.concat(x[a], F.lit(sep), x[b])), ",").alias(c)
