@@ -8,7 +8,7 @@ from lodestone.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["source_works"])
+@pytest.mark.parametrize("name", ["source_works", "xml_documents", "latex_documents", "document_formulas"])
 def test_rows_of_one_file_are_parsed_in_many_tasks(spark, name):
     got = QUERIES[name](spark, SF)
     sizes = got.select("p_partkey").rdd.glom().map(len).collect()
@@ -23,5 +23,5 @@ def test_tasks_grow_with_rows(spark):
 
 
 def test_an_entry_is_read_once(spark):
-    plan = QUERIES["source_works"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["source_works", "xml_documents", "latex_documents", "document_formulas"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.lower().count("from_xml(") == 1
