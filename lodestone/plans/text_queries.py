@@ -155,7 +155,6 @@ def set_jaccard(t):
 
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT lang, w AS token, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM n JOIN documents USING (doc_id) GROUP BY lang, w")
 def token_multiset(t):
-    """Counts of words by language, and of the documents that hold them; a document's own words are counted before they move."""
-    own = F.map_entries(text.multiset(text.every(F.lower("text"), "[a-z]+")))
-    w = t("documents").select("lang", F.explode(own).alias("e")).select("lang", F.col("e.key").alias("token"), F.col("e.value").alias("n"))
-    return w.groupBy("lang", "token").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("docs"))
+    """Counts of words by language, and of the documents that hold them; words are counted where documents are read, before they move."""
+    n = vocabulary.term_counts(t("documents"), text.every(F.lower("text"), "[a-z]+"), F.col("lang"))
+    return n.select(F.col("by").alias("lang"), F.col("term").alias("token"), F.col("tf").alias("n"), F.col("df").alias("docs"))

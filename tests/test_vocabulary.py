@@ -68,3 +68,11 @@ def test_counts_by_language(spark):
     docs = spark.createDataFrame([("de", ["a", "b", "a"]), ("de", ["a"]), (None, ["a"]), ("fr", None), ("fr", ["b", "a"])], "lang string, words array<string>").coalesce(1)
     got = {(r.by, r.term): (r.tf, r.df, r.most) for r in vocabulary.term_counts(docs, F.col("words"), F.col("lang")).collect()}
     assert got == {("de", "a"): (3, 2, 2), ("de", "b"): (1, 1, 1), (None, "a"): (1, 1, 1), ("fr", "a"): (1, 1, 1), ("fr", "b"): (1, 1, 1)}
+
+
+def test_words_by_language_are_counted_before_they_move(spark):
+    from lodestone.plans import text_queries  # noqa: F401
+    from lodestone.plans.registry import QUERIES
+
+    plan = QUERIES["token_multiset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
