@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets, text
 from ..operators import coverage, graph, index, similarity, threshold_join
+from .lineage import cut, spread
 from .registry import query
 
 #: benchmark items as records: the task is the number of words modulo 6, views are words by length
@@ -56,8 +57,20 @@ def graph_degrees(t):
 
 @query()
 def all_components(t):
-    """Components of all orders and parts. No SQL: the recursive form is quadratic in a component."""
-    return graph.components(t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")))
+    """Components of all orders and parts. No SQL: the recursive form is quadratic in a component.
+
+    Nodes go as numbers, even ones orders, odd ones parts. Of a component's numbers of one kind, sign and length the
+    nearest to 0 is the first as text too, so its label is the least of these few.
+    """
+    number = F.col("node").bitwiseAND(1)
+    key = lambda n: F.shiftright(n, 1)
+    named = lambda n: F.concat(F.when(n.bitwiseAND(1) == 0, "o").otherwise("p"), key(n).cast("string"))
+    c = cut(graph.components(t("lineitem").select((F.col("l_orderkey").cast("long") * 2).alias("a"), (F.col("l_partkey").cast("long") * 2 + 1).alias("b"))))
+    size = c.groupBy("label", number.alias("kind"), F.length(key(F.col("node")).cast("string")).alias("length"), (F.col("node") < 0).alias("sign"))
+    # beyond -1 the greatest is nearest to 0
+    few = size.agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
+    label = cut(few.groupBy("label").agg(F.min(named(F.when(F.col("sign"), F.col("hi")).otherwise(F.col("lo")))).alias("name"), F.sum("n").alias("n")))
+    return spread(c, label, ["label"], "n", "node").select(named(F.col("node")).alias("node"), F.col("name").alias("label"))
 
 
 @query("WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent_id FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), r AS (SELECT 'r1' AS id, 0 AS depth UNION SELECT e.id, r.depth + 1 FROM e JOIN r ON e.parent_id = r.id) SELECT id, CAST(depth AS INTEGER) AS depth FROM r")
