@@ -34,10 +34,9 @@ def same_works(works: DataFrame, block: int = 1024) -> DataFrame:
     smaller = F.slice("all", F.lit(1), F.col("p"))
     bits = F.aggregate(smaller, F.lit(0).cast("long"), lambda z, x: z.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
     packs = packed(held.select("kind", F.struct("id", bits.alias("_bits"), smaller.alias("smaller")).alias("own")), block)
-    at = packs.select(F.col("kind").alias("a"), F.col("kind").alias("b")).distinct()
+    at = packs.select(F.col("kind").alias("a"), F.col("kind").alias("b"), F.concat(F.lit("exact identifier agreement on "), "kind").alias("reason")).distinct()
     pairs = expanded(at, packs).where((F.col("x._bits").bitwiseAND(F.col("y._bits")) == 0) | ~F.arrays_overlap("x.smaller", "y.smaller"))
-    reason = F.concat(F.lit("exact identifier agreement on "), "a").alias("reason")
-    return pairs.select(F.least("x.id", "y.id").alias("left_id"), F.greatest("x.id", "y.id").alias("right_id"), F.lit("same_work").alias("relation"), reason, F.lit(1.0).alias("confidence"))
+    return pairs.select(F.least("x.id", "y.id").alias("left_id"), F.greatest("x.id", "y.id").alias("right_id"), F.lit("same_work").alias("relation"), "reason", F.lit(1.0).alias("confidence"))
 
 
 def work_classes(works: DataFrame) -> DataFrame:
