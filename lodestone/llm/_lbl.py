@@ -169,8 +169,8 @@ class Trainer:
             begun += (said[at] * m.C[j]).sum(0)
             starts += int(at.sum())
             ok = ~at[j + 1 :]
-            back[: len(y) - j - 1][ok] += said[j + 1 :][ok] * m.C[j]
-            times[: len(y) - j - 1] += ok
+            back[: len(ok)][ok] += said[j + 1 :][ok] * m.C[j]  # a batch may be shorter than the context
+            times[: len(ok)] += ok
         heads = _segments(y)
         self._move(1, y[heads], np.add.reduceat(back[order], heads), np.maximum(1, np.add.reduceat(times[order], heads)))
         if starts:

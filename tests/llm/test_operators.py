@@ -680,3 +680,21 @@ def test_pii_many_unlike_entities(spark):
     assert [got[k] for k in range(6)] == [(n + (n // 2 if k % 2 else 0), n + (n // 2 if k % 2 else 0)) for k in range(6)]
     assert got[2000] == got[2001] == (n // 2, n // 2) and got[10] == (0, 0)
     assert took < 90, took
+
+
+def test_lm_batches_of_any_length(monkeypatch):
+    """The last batch of some texts may have one or two tokens, fewer than there are places of context; what each moved is counted."""
+    from lodestone.llm import _lbl
+
+    tree = _lbl.Tree.of(np.arange(1.0, 40.0)[::-1])
+    for n in range(1, 7):
+        own = _lbl.Trainer(tree, _lbl.Model.new(tree))
+        own.texts(np.arange(1, n + 1), np.array([0, n]))
+        assert own.seen[1][1 : n + 1].tolist() == [max(1, min(_lbl.PLACES, n - i)) for i in range(1, n + 1)]
+        assert own.seen[1][tree.words] == sum(max(0, _lbl.PLACES - i) for i in range(n)) and own.seen[4][1 : n + 1].all()
+        assert all(np.isfinite(a).all() for a in own.model.arrays())
+    monkeypatch.setattr(_lbl, "BATCH", 8)
+    for n in range(9, 13):
+        own = _lbl.Trainer(tree, _lbl.Model.new(tree))
+        own.texts(np.arange(n) % 30, np.array([0, 5, n]))
+        assert own.seen[4].sum() >= n
